@@ -46,29 +46,29 @@ def _parse(reply: str, fallback: str) -> str:
     return f"case when ({number}) is null then {fallback} else greatest(0.0::double, least(1.0::double, {number})) end"
 
 
-def _split_long(pieces: str, pattern: str, cap: int) -> str:
-    return (
-        f"flatten(list_transform({pieces}, lambda p: case when length(p) <= {cap} then [p] "
-        f"else {_pieces('p', pattern)} end))"
-    )
-
-
-def _recursive_pieces(text: str, cap: int) -> str:
-    out = f"[{text}]"
-    for pattern in (tx.PARAGRAPH, tx.LINE, tx.SENTENCE, tx.WORD, f"(?s).{{1,{cap}}}"):
-        out = _split_long(out, pattern, cap)
-    return f"list_filter({out}, lambda p: length(p) > 0)"
+def _split_steps(cap: int) -> dict[str, str]:
+    """One table per separator level; ``path`` orders the pieces of a document."""
+    steps = {"level0": "select doc_id, source, text as piece, []::bigint[] as path from docs"}
+    patterns = (tx.PARAGRAPH, tx.LINE, tx.SENTENCE, tx.WORD)
+    cut = f"list_transform(range(0, (length(piece) + {cap - 1}) // {cap}), lambda i: substr(piece, i * {cap} + 1, {cap}))"
+    for level, split in enumerate([*(_pieces("piece", p) for p in patterns), cut], 1):
+        steps[f"level{level}"] = f"""
+    select doc_id, source, piece, path || [0::bigint] as path from level{level - 1} where length(piece) <= {cap}
+    union all
+    select doc_id, source, unnest(parts) as piece, path || [generate_subscripts(parts, 1)] as path
+    from (select *, {split} as parts from level{level - 1} where length(piece) > {cap})"""
+    return steps
 
 
 def _pack(items: str, cap: int) -> str:
     """Chunk number of each {size, cut} item by a fold."""
-    fresh = f"(x.cut or (a.cur > 0 and a.cur + x.size > {cap}))"
+    fresh = f"(a.cur > 0 and (x.cut or a.cur + x.size > {cap}))"
     return (
         f"list_reduce({items}, lambda a, x: {{"
         f"'cur': case when {fresh} then x.size else a.cur + x.size end, "
         f"'cid': a.cid + case when {fresh} then 1 else 0 end, "
         f"'ids': list_append(a.ids, a.cid + case when {fresh} then 1 else 0 end)}}, "
-        f"{{'cur': 0::bigint, 'cid': -1::bigint, 'ids': []::bigint[]}}).ids"
+        f"{{'cur': 0::bigint, 'cid': 0::bigint, 'ids': []::bigint[]}}).ids"
     )
 
 
@@ -130,12 +130,14 @@ _STEPS: dict[str, str] = {
     "sents": f"""
     select doc_id, source, unnest(ss) as sentence, generate_subscripts(ss, 1) - 1 as position
     from (select doc_id, source, {_pieces('text', tx.SENTENCE)} as ss from docs)""",
+    **_split_steps(_CAP_RECURSIVE),
     "recursive_parts": f"""
     select doc_id, source, unnest(pieces) as piece, unnest(ids) as chunk_index, generate_subscripts(pieces, 1) as pos
     from (
-      select *, {_pack("list_transform(pieces, lambda p: {'size': length(p)::bigint, 'cut': false})", _CAP_RECURSIVE)}
-             as raw, list_transform(raw, lambda i: i - raw[1]) as ids
-      from (select doc_id, source, {_recursive_pieces('text', _CAP_RECURSIVE)} as pieces from docs))""",
+      select *, {_pack("items", _CAP_RECURSIVE)} as ids
+      from (select doc_id, source, list(piece order by path) as pieces,
+                   list({{'size': length(piece)::bigint, 'cut': false}} order by path) as items
+            from level5 where length(piece) > 0 group by doc_id, source))""",
     "recursive": _chunk_rows("recursive", """
     select doc_id, source, chunk_index, string_agg(piece, '' order by pos) as text
     from recursive_parts group by doc_id, source, chunk_index"""),
