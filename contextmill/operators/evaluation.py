@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from contextmill.functions.numbers import parse_reply
-from contextmill.functions.text import sentences, strip, word_overlap, word_set
+from contextmill.functions.text import sentences, strip, word_set
 from contextmill.operators.models import Model, answer_prompt
 
 DATASET_COLUMNS = ("user_input", "retrieved_contexts", "response", "reference")
@@ -22,14 +22,17 @@ def offline_replies(candidates: DataFrame) -> DataFrame:
 
     Works on the candidate pairs only: ``candidates(user_input, text, ...)``.
     """
-    question, chunk = word_set(F.col("user_input")), word_set(F.col("text"))
-    shared = F.size(F.array_intersect(question, chunk)).cast("double")
-    both = F.size(F.array_union(question, chunk))
+    shared = F.col("shared").cast("double")
+    shares = {
+        "base_reply": F.size("question_words"),
+        "reflect_reply": F.size("chunk_words"),
+        "critic_reply": F.size("question_words") + F.size("chunk_words") - F.col("shared"),
+    }
     return (
-        candidates.withColumn("base_reply", F.round(word_overlap(F.col("user_input"), F.col("text")), 9))
-        .withColumn("reflect_reply", F.round(F.try_divide(shared, F.size(chunk)), 9))
-        .withColumn("critic_reply", F.round(F.try_divide(shared, both), 9))
-        .withColumns({c: F.col(c).cast("string") for c in ("base_reply", "reflect_reply", "critic_reply")})
+        candidates.withColumns({"question_words": word_set(F.col("user_input")), "chunk_words": word_set(F.col("text"))})
+        .withColumn("shared", F.size(F.array_intersect("question_words", "chunk_words")))
+        .withColumns({n: F.round(F.try_divide(shared, size), 9).cast("string") for n, size in shares.items()})
+        .drop("question_words", "chunk_words", "shared")
     )
 
 

@@ -104,12 +104,13 @@ def filter_by_relevance(scored: DataFrame, min_chunks: int = MIN_CHUNKS) -> Data
 def audit(scored: DataFrame, min_chunks: int = MIN_CHUNKS) -> DataFrame:
     """Per question: candidates, passes, threshold, score spread, fallback fired.
 
-    Two pre-aggregated passes, so a question with very many candidates costs no
-    more than one row per task in the shuffle.
+    For candidate lists of any length. Both passes pre-aggregate, so a question with
+    very many candidates sends one row per task. The statistics, one row per question,
+    are written in between: their size is then known, and the planner broadcasts them
+    if they are small instead of moving the candidates.
     """
-    stats = score_stats(scored).withColumn(
-        "threshold", threshold(F.col("mean"), F.col("std"), F.col("var"))
-    )
+    limit = threshold(F.col("mean"), F.col("std"), F.col("var"))
+    stats = materialise(score_stats(scored).withColumn("threshold", limit), "score-stats")
     passes = (
         scored.join(stats.select("query_id", "threshold"), "query_id")
         .groupBy("query_id")
@@ -121,20 +122,20 @@ def audit(scored: DataFrame, min_chunks: int = MIN_CHUNKS) -> DataFrame:
 def filter_long_lists(scored: DataFrame, min_chunks: int = MIN_CHUNKS) -> DataFrame:
     """The same result as ``filter_by_relevance`` without gathering a whole list.
 
-    A question may hold any share of the rows: statistics are pre-aggregated and
-    the fallback keeps ``min_chunks`` rows per task before its shuffle. Adds
-    ``order_key``, which sorts a question's kept rows, in place of ``position``.
+    A question may hold any share of the rows: the candidates are joined with one
+    written row per question, and the fallback keeps ``min_chunks`` rows per task
+    before its shuffle. Adds ``order_key``, which sorts a question's kept rows, in
+    place of ``position``.
     """
-    verdict = audit(scored, min_chunks).select("query_id", "threshold", "fallback")
-    by_score = Window.partitionBy("query_id").orderBy(F.desc("final_score"), "rank")
-    passing = (
-        scored.join(verdict.filter(~F.col("fallback")), "query_id")
-        .filter(F.col("final_score") >= F.col("threshold"))
-        .withColumn("order_key", F.col("rank").cast("long"))
+    verdict = materialise(audit(scored, min_chunks).select("query_id", "threshold", "fallback"), "verdicts")
+    judged = scored.join(verdict, "query_id")
+    passing = judged.filter(~F.col("fallback") & (F.col("final_score") >= F.col("threshold"))).withColumn(
+        "order_key", F.col("rank").cast("long")
     )
+    by_score = Window.partitionBy("query_id").orderBy(F.desc("final_score"), "rank")
     best = (
-        scored.withColumn("order_key", F.row_number().over(by_score).cast("long"))
+        judged.filter("fallback")
+        .withColumn("order_key", F.row_number().over(by_score).cast("long"))
         .filter(F.col("order_key") <= min_chunks)
-        .join(verdict.filter("fallback"), "query_id")
     )
-    return passing.unionByName(best.select(passing.columns))
+    return passing.unionByName(best)

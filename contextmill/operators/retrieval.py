@@ -167,20 +167,22 @@ def _many_blocks(questions: DataFrame, corpus: DataFrame, k: int, dim: int,
     return spark.read.schema(out).parquet(path)
 
 
-def broadcast_if_small(df: DataFrame, max_rows: int, row_bytes: int) -> DataFrame:
-    """A broadcast hint only where the row bound proves the side small."""
-    return F.broadcast(df) if max_rows * row_bytes <= BROADCAST_BYTES else df
+def hit_bound(questions: DataFrame, k: int, row_bytes: int = 128) -> int | None:
+    """The most hits the questions can have, or None above what is broadcast."""
+    most = BROADCAST_BYTES // (row_bytes * k)
+    found = questions.select("query_id").limit(most + 1).count()
+    return found * k if found <= most else None
 
 
 def attach(hits: DataFrame, payload: DataFrame, max_hits: int | None = None) -> DataFrame:
     """Add payload columns, such as the text, to ranked hits by ``chunk_id``.
 
     Only the winners' payload is moved. ``max_hits`` is a proven bound on the number
-    of hits, if there is one.
+    of hits, from ``hit_bound``; with one, the payload is filtered where it is read.
     """
     wanted = hits.select("chunk_id").distinct()
     if max_hits is not None:
-        wanted = broadcast_if_small(wanted, max_hits, 128)
+        wanted = F.broadcast(wanted)
     found = payload.join(wanted, "chunk_id", "left_semi")
     return hits.join(found, "chunk_id", "left")
 

@@ -11,7 +11,7 @@ from contextmill.operators import chunking
 from contextmill.operators.evaluation import offline_replies
 from contextmill.operators.models import hashed_embedder
 from contextmill.operators.relevance import score_replies
-from contextmill.operators.retrieval import attach
+from contextmill.operators.retrieval import OVERFETCH, attach, hit_bound
 from contextmill.sources.corpus import assemble_pages, read_table, scan_documents
 
 DIM = 64
@@ -26,7 +26,7 @@ def spread(df: DataFrame) -> DataFrame:
     A large input has more splits than cores and is left as it is.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    return df.repartition(cores, "doc_id") if df.rdd.getNumPartitions() < cores else df
 
 
 def documents(spark: SparkSession, folder: str) -> DataFrame:
@@ -63,12 +63,13 @@ def vector_replies(spark: SparkSession, folder: str) -> Callable[[DataFrame], Da
     read label 0."""
     labels = vector_corpus(spark, folder).select("chunk_id", "label")
     questions = vector_questions(spark, folder).select("query_id", "question_label")
+    most = hit_bound(questions, OVERFETCH * TOP)
 
     def replies(hits: DataFrame) -> DataFrame:
         base = (1 + F.col("sim")) / 2
         critic = F.pmod(F.col("chunk_id") * 37, F.lit(101)) / F.lit(100.0)
         return (
-            attach(hits, labels)
+            attach(hits, labels, most)
             .join(questions, "query_id")
             .withColumn("base_reply", base.cast("string"))
             .withColumn("reflect_reply", F.when(F.col("label") != F.col("question_label"), (base * base).cast("string")))
@@ -144,4 +145,5 @@ def text_scores(questions: DataFrame, points: DataFrame) -> Callable[[DataFrame]
     """Offline scores for text hits; the text and question join the candidates only."""
     texts = points.select("chunk_id", "text")
     asked = questions.select("query_id", "user_input")
-    return lambda hits: score_replies(offline_replies(attach(hits, texts).join(asked, "query_id")))
+    most = hit_bound(questions, OVERFETCH * TOP)
+    return lambda hits: score_replies(offline_replies(attach(hits, texts, most).join(asked, "query_id")))

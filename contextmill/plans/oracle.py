@@ -235,7 +235,7 @@ _STEPS: dict[str, str] = {
 }
 
 
-def _text_steps(points: str) -> dict[str, str]:
+def _text_steps(points: str, response: str) -> dict[str, str]:
     """Search, scores and evaluation over one table of chunks."""
     p = points
     return {
@@ -262,7 +262,7 @@ def _text_steps(points: str) -> dict[str, str]:
     union all
     select query_id, chunk_id, text, 'filtered' as mode, position from {p}_judged where position <= {TOP}""",
         f"{p}_data": f"""
-    select '{p}' as chunker, m.mode, t.query_id, t.user_input, t.response, coalesce(k.reference, '') as reference,
+    select '{p}' as chunker, m.mode, t.query_id, t.user_input, {response} as response, coalesce(k.reference, '') as reference,
            coalesce(c.contexts, []) as contexts
     from tq t cross join (values ('baseline'), ('filtered')) m(mode)
     left join (select query_id, mode, list(text order by position) as contexts from {p}_both group by all) c
@@ -271,8 +271,9 @@ def _text_steps(points: str) -> dict[str, str]:
     }
 
 
-for _points in ("overlap", "recursive", "semantic"):
-    _STEPS.update(_text_steps(_points))
+_STEPS.update(_text_steps("overlap", "t.response"))
+for _points in ("recursive", "semantic"):
+    _STEPS.update(_text_steps(_points, "coalesce(c.contexts[1], '')"))
 
 
 def _verdict_steps(data: str) -> dict[str, str]:
@@ -474,7 +475,7 @@ ORACLE: dict[str, str] = {
                          max(mean) filter (chunker = 'semantic') as s from sweep_long group by metric, mode)""",
         "best_configuration": """
             select metric, chunker, mode, round(mean, 9) as mean from sweep_long where mean is not null
-            qualify row_number() over (partition by metric order by mean desc, chunker, mode) = 1""",
+            qualify row_number() over (partition by metric order by round(mean, 12) desc, chunker, mode) = 1""",
         "run_report": f"""
             select chunker, mode, mode = 'filtered' as filtering_enabled,
                    max(questions) as num_questions,

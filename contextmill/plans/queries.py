@@ -176,7 +176,7 @@ def knn_topk(spark, folder):
 def retrieve_baseline(spark, folder):
     questions, corpus = inputs.vector_questions(spark, folder), inputs.vector_corpus(spark, folder)
     hits = ret.retrieve(questions, corpus, DIM, TOP)
-    return ret.attach(hits, inputs.document_texts(spark, folder)).select(
+    return ret.attach(hits, inputs.document_texts(spark, folder), ret.hit_bound(questions, TOP)).select(
         "query_id", "position", "chunk_id", "sim", "text"
     )
 
@@ -195,18 +195,19 @@ def retrieve_filtered(spark, folder):
 
 @query
 def hit_preview(spark, folder):
-    hits = _hits(spark, folder, 15)
-    return ret.hit_preview(ret.attach(hits, inputs.document_texts(spark, folder)))
+    most = ret.hit_bound(inputs.vector_questions(spark, folder), 15)
+    return ret.hit_preview(ret.attach(_hits(spark, folder, 15), inputs.document_texts(spark, folder), most))
 
 
 @query
 def retrieval_diff(spark, folder):
+    questions = inputs.vector_questions(spark, folder)
     both = ret.retrieve_both(
-        inputs.vector_questions(spark, folder), inputs.vector_corpus(spark, folder), DIM,
+        questions, inputs.vector_corpus(spark, folder), DIM,
         inputs.vector_scores(spark, folder), TOP,
     ).select("query_id", "chunk_id", "mode", "position")
     diff = ret.compare_retrieval(both.filter("mode = 'baseline'"), both.filter("mode = 'filtered'"))
-    return ret.attach(diff, inputs.document_texts(spark, folder)).select(
+    return ret.attach(diff, inputs.document_texts(spark, folder), ret.hit_bound(questions, 2 * TOP)).select(
         "query_id", "chunk_id", "baseline_position", "filtered_position", "kept_by",
         F.length("text").alias("n_chars"), preview(F.col("text"), 200).alias("preview"),
     )
@@ -274,16 +275,21 @@ def _overlap_points(spark, folder):
     return materialise(embed_chunks(chunks, hashed_embedder(DIM)), "points")
 
 
+def _written_questions(spark, folder):
+    return materialise(inputs.embedded(inputs.text_questions(spark, folder)), "questions")
+
+
 def _text_hits(spark, folder, k):
-    questions = inputs.embedded(inputs.text_questions(spark, folder))
+    questions = _written_questions(spark, folder)
     points = _overlap_points(spark, folder)
-    hits = ret.attach(ret.knn(questions, points, k, DIM), points.select("chunk_id", "text"))
+    hits = ret.knn(questions, points, k, DIM)
+    hits = ret.attach(hits, points.select("chunk_id", "text"), ret.hit_bound(questions, k))
     return questions.drop("embedding"), hits.withColumn("position", F.col("rank"))
 
 
 @query
 def retrieve_text(spark, folder):
-    questions = inputs.embedded(inputs.text_questions(spark, folder))
+    questions = _written_questions(spark, folder)
     points = _overlap_points(spark, folder)
     hits = ret.retrieve(questions, points, DIM, TOP, use_filtering=True, score=inputs.text_scores(questions, points))
     return hits.select("query_id", "position", "chunk_id", "sim", "final_score")
@@ -352,15 +358,20 @@ def metric_factual_f1(spark, folder):
 
 
 def sweep_dataset(spark, folder):
-    """Evaluation rows for every chunker and mode: documents in, datasets out."""
+    """Evaluation rows for every chunker and mode: documents in, datasets out.
+
+    Collections, questions and results are written once each, so that no search and
+    no embedding runs again for a later step.
+    """
     points = ingest(inputs.documents(spark, folder), work_folder(spark, "collection"), hashed_embedder(DIM), DIM, SWEEP)
-    asked = inputs.text_questions(spark, folder)
-    questions = inputs.embedded(asked)
-    known = inputs.references(spark, folder)
+    questions = _written_questions(spark, folder)
+    asked = questions.select("query_id", "user_input")
+    known = materialise(inputs.references(spark, folder), "references")
     out = None
     for chunker in SWEEP:
         collection = points.filter(F.col("chunker") == chunker)
-        hits = ret.retrieve_both(questions, collection, DIM, inputs.text_scores(questions, collection), TOP)
+        scores = inputs.text_scores(questions, collection)
+        hits = materialise(ret.retrieve_both(questions, collection, DIM, scores, TOP), "hits")
         for mode in reporting.MODES.values():
             rows = evaluation.build_dataset(asked, hits.filter(F.col("mode") == mode), known)
             rows = rows.withColumns({"chunker": F.lit(chunker), "mode": F.lit(mode)})
