@@ -108,14 +108,14 @@ def overlapping_chunks(docs: DataFrame, size: int = WINDOW_TOKENS, overlap: int
     """Windows of ``size`` whitespace tokens, each sharing ``overlap`` with the last."""
     step = size - overlap
     tokens = docs.withColumn("tokens", tx.split_pieces(F.col("text"), tx.SPACED_TOKEN))
-    tokens = tokens.filter(F.size("tokens") > 0)
     fresh = F.greatest(F.size("tokens") - overlap - 1, F.lit(0))
-    last = ((fresh - F.pmod(fresh, F.lit(step))) / step).cast("int")
+    last = F.floor(fresh / step).cast("int")
     windows = F.transform(
         F.sequence(F.lit(0), last),
         lambda i: tx.strip(F.array_join(F.slice("tokens", i * step + 1, F.lit(size)), "")),
     )
-    return _explode_chunks(tokens, windows)
+    # Filtering the windows, not the tokens, keeps the split out of the scan's filter.
+    return _explode_chunks(tokens, windows).filter(F.length("text") > 0)
 
 
 def overlapping_sentence_chunks(docs: DataFrame, size: int = WINDOW_TOKENS,

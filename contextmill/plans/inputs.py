@@ -12,6 +12,7 @@ from contextmill.operators.evaluation import offline_replies
 from contextmill.operators.models import hashed_embedder
 from contextmill.operators.relevance import score_replies
 from contextmill.operators.retrieval import OVERFETCH, attach, hit_bound
+from contextmill.session import materialise
 from contextmill.sources.corpus import assemble_pages, read_table, scan_documents
 
 DIM = 64
@@ -20,13 +21,13 @@ TOP = 5
 OFFLINE_THRESHOLD = 0.4
 
 
-def spread(df: DataFrame) -> DataFrame:
+def spread(df: DataFrame, key: str = "doc_id") -> DataFrame:
     """Share out a small input that arrives in fewer splits than there are cores.
 
     A large input has more splits than cores and is left as it is.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores, "doc_id") if df.rdd.getNumPartitions() < cores else df
+    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
 
 
 def documents(spark: SparkSession, folder: str) -> DataFrame:
@@ -97,12 +98,16 @@ def event_replies(spark: SparkSession, folder: str) -> DataFrame:
         .when(kind == "purchase", F.concat(F.lit("-"), value))
         .when(kind == "signup", F.concat(value, F.lit("d")))
     )
-    return read_table(spark, folder, "events").select("event_id", "user_id", "event_type", "value", reply.alias("reply"))
+    events = spread(read_table(spark, folder, "events"), "event_id")
+    return events.select("event_id", "user_id", "event_type", "value", reply.alias("reply"))
 
 
 def event_scores(spark: SparkSession, folder: str) -> DataFrame:
-    """A long candidate list per user, scored from the event replies."""
-    return score_replies(
+    """A long candidate list per user, scored from the event replies.
+
+    Written once, as replies of a model would be, since several passes read it.
+    """
+    scored = score_replies(
         event_replies(spark, folder).select(
             F.col("user_id").alias("query_id"),
             F.col("event_id").alias("chunk_id"),
@@ -112,6 +117,7 @@ def event_scores(spark: SparkSession, folder: str) -> DataFrame:
             (F.col("value") / 50).cast("string").alias("critic_reply"),
         )
     )
+    return materialise(scored, "scores")
 
 
 def text_questions(spark: SparkSession, folder: str) -> DataFrame:
