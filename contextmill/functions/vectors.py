@@ -19,7 +19,10 @@ def matrix(column: pa.Array, dim: int) -> np.ndarray:
         raise ValueError(f"a vector does not have the declared {dim} elements")
     if dim and np.any(np.asarray(column.value_lengths()) != dim):
         raise ValueError(f"a vector does not have the declared {dim} elements")
-    return flat.to_numpy(zero_copy_only=False).reshape(len(column), dim)
+    values = flat.to_numpy(zero_copy_only=False)
+    if not np.isfinite(values).all():
+        raise ValueError("a vector has an element that is not a finite number")
+    return values.reshape(len(column), dim)
 
 
 def norms(rows: np.ndarray) -> np.ndarray:

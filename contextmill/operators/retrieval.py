@@ -16,39 +16,50 @@ from contextmill.operators.relevance import filter_by_relevance, judge
 from contextmill.session import work_folder
 
 QUESTION_BLOCK_BYTES = 64 << 20
+QUESTION_BLOCK_ROWS = 16384
 BROADCAST_BYTES = 64 << 20
 OVERFETCH = 3
 SALTS = 64
 
-# Pairs of (chunk, question) scored at a time, and survivors re-scored at a time.
+# Pairs of (chunk, question) scored at a time, vector elements re-scored at a time,
+# and survivors gathered before they are merged.
 _TILE_PAIRS = 1 << 22
-_EXACT_PAIRS = 1 << 15
+_EXACT_ELEMENTS = 1 << 21
+_MERGE_PAIRS = 1 << 18
 
 
 class _Best:
-    """The k best chunks per question seen so far in one partition."""
+    """The k best chunks per question seen so far in one partition.
+
+    Survivors are gathered and merged together, so a merge costs little per pair.
+    """
 
     def __init__(self, n_questions: int, k: int):
         self.k = k
-        self.question = np.empty(0, dtype=np.int64)
-        self.sim = np.empty(0, dtype=np.float64)
-        self.ids: np.ndarray | None = None
+        self.parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        self.waiting = 0
         self.floor = np.full(n_questions, -np.inf)
 
     def add(self, question: np.ndarray, sim: np.ndarray, ids: np.ndarray) -> None:
-        if self.ids is not None:
-            question = np.concatenate([self.question, question])
-            sim = np.concatenate([self.sim, sim])
-            ids = np.concatenate([self.ids, ids])
+        self.parts.append((question, sim, ids))
+        self.waiting += len(question)
+        if self.waiting >= max(_MERGE_PAIRS, self.k * len(self.floor)):
+            self.merge()
+
+    def merge(self) -> tuple[np.ndarray, np.ndarray, np.ndarray] | None:
+        if not self.parts:
+            return None
+        question, sim, ids = (np.concatenate(column) for column in zip(*self.parts))
         order = np.lexsort((ids, -sim, question))
         question, sim, ids = question[order], sim[order], ids[order]
         starts = np.flatnonzero(np.r_[True, question[1:] != question[:-1]])
         sizes = np.diff(np.r_[starts, len(question)])
         place = np.arange(len(question)) - np.repeat(starts, sizes)
-        keep = place < self.k
-        self.question, self.sim, self.ids = question[keep], sim[keep], ids[keep]
         last = place == self.k - 1
         self.floor[question[last]] = sim[last]
+        keep = place < self.k
+        self.parts, self.waiting = [(question[keep], sim[keep], ids[keep])], 0
+        return self.parts[0]
 
 
 def _partition_top_k(
@@ -72,6 +83,7 @@ def _partition_top_k(
         unit_t = np.ascontiguousarray(unit.astype(np.float32).T)
         best = _Best(n_questions, k)
         step = max(1, _TILE_PAIRS // n_questions)
+        exact = max(1, _EXACT_ELEMENTS // dim)
 
         for batch in batches:
             ids = batch.column(0).to_numpy(zero_copy_only=False)
@@ -89,19 +101,19 @@ def _partition_top_k(
                     at = len(tile) - k
                     floor = np.maximum(floor, np.partition(sims, at, axis=0)[at])
                 hit_row, hit_question = np.nonzero(sims >= (floor - margin).astype(np.float32))
-                for s in range(0, len(hit_row), _EXACT_PAIRS):
-                    r, q = hit_row[s : s + _EXACT_PAIRS], hit_question[s : s + _EXACT_PAIRS]
+                for s in range(0, len(hit_row), exact):
+                    r, q = hit_row[s : s + exact], hit_question[s : s + exact]
                     best.add(q, row_cosine(wide[r], questions[q]), tile_ids[r])
 
-        if best.ids is not None:
-            yield pa.RecordBatch.from_arrays(
-                [
-                    question_ids.take(pa.array(best.question)),
-                    pa.array(best.ids.tolist(), type=schema.field(1).type),
-                    pa.array(best.sim),
-                ],
-                schema=schema,
-            )
+        merged = best.merge()
+        if merged is not None:
+            question, sim, found = merged
+            columns = [
+                question_ids.take(pa.array(question)),
+                pa.array(found.tolist(), type=schema.field(1).type),
+                pa.array(sim),
+            ]
+            yield pa.RecordBatch.from_arrays(columns, schema=schema)
 
     return run
 
@@ -123,8 +135,8 @@ def knn(questions: DataFrame, corpus: DataFrame, k: int, dim: int,
 
     ``questions(query_id, embedding)`` and ``corpus(chunk_id, embedding)`` give
     ``(query_id, chunk_id, sim, rank)``. The corpus is never shuffled: each task
-    holds one block of question vectors, no larger than ``block_bytes``, and sends
-    on at most k rows per question. A larger question table takes one pass over
+    holds one block of question vectors, of checked size, and sends on at most k rows
+    per question. A larger question table takes one pass over
     the corpus per block, each written out before the next block is read.
     """
     questions = questions.select("query_id", "embedding")
@@ -132,7 +144,7 @@ def knn(questions: DataFrame, corpus: DataFrame, k: int, dim: int,
     out = T.StructType(
         [questions.schema["query_id"], corpus.schema["chunk_id"], T.StructField("sim", T.DoubleType())]
     )
-    rows = max(1, block_bytes // (8 * dim))
+    rows = max(1, min(QUESTION_BLOCK_ROWS, block_bytes // (8 * dim)))
     probe = questions.limit(rows + 1).toArrow()
     if probe.num_rows <= rows:
         partial, _ = _block_top_k(probe, corpus, k, dim, out)

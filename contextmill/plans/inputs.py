@@ -147,9 +147,5 @@ def offline_semantic(docs: DataFrame) -> DataFrame:
     return chunking.semantic_chunks(docs, hashed_embedder(DIM), DIM, OFFLINE_THRESHOLD)
 
 
-def text_scores(questions: DataFrame, points: DataFrame) -> Callable[[DataFrame], DataFrame]:
-    """Offline scores for text hits; the text and question join the candidates only."""
-    texts = points.select("chunk_id", "text")
-    asked = questions.select("query_id", "user_input")
-    most = hit_bound(questions, OVERFETCH * TOP)
-    return lambda hits: score_replies(offline_replies(attach(hits, texts, most).join(asked, "query_id")))
+def offline_scores(candidates: DataFrame) -> DataFrame:
+    return score_replies(offline_replies(candidates))

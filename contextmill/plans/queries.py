@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from contextmill.functions.numbers import parse_reply
 from contextmill.functions.text import preview, word_overlap
-from contextmill.operators import chunking, evaluation, reporting, sequences
+from contextmill.operators import chunking, evaluation, reporting, runs, sequences
 from contextmill.operators import relevance as rel
 from contextmill.operators import retrieval as ret
 from contextmill.operators.ingest import embed_chunks, ingest
@@ -291,7 +291,8 @@ def _text_hits(spark, folder, k):
 def retrieve_text(spark, folder):
     questions = _written_questions(spark, folder)
     points = _overlap_points(spark, folder)
-    hits = ret.retrieve(questions, points, DIM, TOP, use_filtering=True, score=inputs.text_scores(questions, points))
+    scorer = runs.candidate_scorer(questions, points, inputs.offline_scores, TOP)
+    hits = ret.retrieve(questions, points, DIM, TOP, use_filtering=True, score=scorer)
     return hits.select("query_id", "position", "chunk_id", "sim", "final_score")
 
 
@@ -358,35 +359,16 @@ def metric_factual_f1(spark, folder):
 
 
 def sweep_dataset(spark, folder):
-    """Evaluation rows for every chunker and mode: documents in, datasets out.
-
-    Collections, questions and results are written once each, so that no search and
-    no embedding runs again for a later step.
-    """
-    points = ingest(inputs.documents(spark, folder), work_folder(spark, "collection"), hashed_embedder(DIM), DIM, SWEEP)
-    questions = _written_questions(spark, folder)
-    asked = questions.select("query_id", "user_input")
+    """Evaluation rows for every chunker and mode: documents in, datasets out."""
+    embed = hashed_embedder(DIM)
+    points = ingest(inputs.documents(spark, folder), work_folder(spark, "collection"), embed, DIM, SWEEP)
     known = materialise(inputs.references(spark, folder), "references")
-    out = None
-    for chunker in SWEEP:
-        collection = points.filter(F.col("chunker") == chunker)
-        scores = inputs.text_scores(questions, collection)
-        hits = materialise(ret.retrieve_both(questions, collection, DIM, scores, TOP), "hits")
-        for mode in reporting.MODES.values():
-            rows = evaluation.build_dataset(asked, hits.filter(F.col("mode") == mode), known)
-            rows = rows.withColumns({"chunker": F.lit(chunker), "mode": F.lit(mode)})
-            out = rows if out is None else out.unionByName(rows)
-    return materialise(out, "sweep")
-
-
-def sweep_rows(spark, folder):
-    keys = [*RUN, "query_id"]
-    dataset = sweep_dataset(spark, folder)
-    return dataset, evaluation.metrics_for(dataset, evaluation.claim_verdicts(dataset), keys)
+    asked = inputs.text_questions(spark, folder).drop("response")
+    return runs.evaluation_dataset(asked, points, known, SWEEP, embed, DIM, inputs.offline_scores, k=TOP)
 
 
 def _summary(spark, folder):
-    return reporting.metric_summary(sweep_rows(spark, folder)[1], [*RUN, "query_id"])
+    return reporting.metric_summary(runs.run_metrics(sweep_dataset(spark, folder)), runs.KEYS)
 
 
 @query
@@ -398,7 +380,7 @@ def sweep_metrics(spark, folder):
 def metric_summary(spark, folder):
     rows = _metrics(spark, folder).withColumnRenamed("factual_correctness", reporting.FACTUAL_NAMES[0])
     rows = rows.withColumns({"chunker": F.lit("overlap"), "mode": F.lit("baseline")})
-    summary = reporting.resolve_factual(reporting.metric_summary(rows, [*RUN, "query_id"]))
+    summary = reporting.resolve_factual(reporting.metric_summary(rows, runs.KEYS))
     return summary.withColumns(_round("mean"))
 
 
@@ -429,10 +411,10 @@ def best_configuration(spark, folder):
 @query
 def run_report(spark, folder):
     """The reports as written to and read back from JSON."""
-    dataset, rows = sweep_rows(spark, folder)
-    summary = reporting.metric_summary(rows, [*RUN, "query_id"])
-    reports = reporting.run_report(
-        summary, dataset, timestamp="20240101_000000",
+    dataset = sweep_dataset(spark, folder)
+    path = work_folder(spark, "report")
+    runs.write_run(
+        dataset, runs.run_metrics(dataset), path, timestamp="20240101_000000",
         models={"embedding_model": "hashed words", "llm_model": "shared words"},
         chunking={
             "recursive": {"chunk_size": chunking.RECURSIVE_CHARS, "chunk_overlap": 0},
@@ -440,9 +422,7 @@ def run_report(spark, folder):
         },
         k=TOP,
     )
-    path = work_folder(spark, "report")
-    reporting.write_json(reports, path)
-    read = spark.read.schema(reports.schema).json(path)
+    read = spark.read.json(f"{path}/reports")
     return read.select(
         *RUN, "metadata.filtering_enabled", "metadata.num_questions",
         *[F.round(F.col(f"metrics_summary.{m}.value"), 9).alias(m) for m in evaluation.METRICS],

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from contextmill.functions.text import strip
@@ -40,12 +40,27 @@ def assemble_pages(pages: DataFrame) -> DataFrame:
     """One document per ``doc_id``: its non-empty pages in order, joined by newlines.
 
     Empty pages go before the shuffle. A document is one row of the result, so the
-    pages gathered for it are bounded by what a row can hold.
+    pages gathered for it are bounded by what a row can hold; for documents beyond
+    that there is ``assemble_parts``.
     """
-    ordered = F.array_sort(F.collect_list(F.struct("page_no", "text")))
     kept = [c for c in ("doc_id", "source") if c in pages.columns]
-    joined = non_empty(pages).groupBy(*kept).agg(
-        strip(F.array_join(F.transform(ordered, lambda p: p["text"]), "\n")).alias("text"),
-        F.count(F.lit(1)).alias("pages"),
-    )
+    joined = non_empty(pages).groupBy(*kept).agg(strip(_in_order()).alias("text"), F.count(F.lit(1)).alias("pages"))
     return non_empty(joined)
+
+
+def assemble_parts(pages: DataFrame, pages_per_part: int = 10_000) -> DataFrame:
+    """Documents too long for one row, as numbered parts of neighbouring pages.
+
+    No group is larger than ``pages_per_part``. The parts of a document joined by
+    newlines and stripped are the text ``assemble_pages`` would give.
+    """
+    kept = [c for c in ("doc_id", "source") if c in pages.columns]
+    part = F.floor(F.col("page_no") / pages_per_part).cast("long")
+    return non_empty(pages).groupBy(*kept, part.alias("part")).agg(
+        _in_order().alias("text"), F.count(F.lit(1)).alias("pages")
+    )
+
+
+def _in_order() -> Column:
+    ordered = F.array_sort(F.collect_list(F.struct("page_no", "text")))
+    return F.array_join(F.transform(ordered, lambda p: p["text"]), "\n")

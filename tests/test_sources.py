@@ -80,3 +80,14 @@ def test_hashed_embedder(spark):
     got = [r.v for r in rows.select(hashed_embedder(16)(F.col("t")).alias("v")).collect()]
     assert sorted(got[0], reverse=True)[:2] == [2.0, 1.0] and sum(got[0]) == 3.0
     assert got[1] == got[2] == [0.0] * 16
+
+
+def test_long_documents_in_parts(spark):
+    rows = [(1, i, None if i % 5 == 0 else f" p{i}") for i in range(1, 40)] + [(2, 3, "x")]
+    pages = spark.createDataFrame(rows, PAGES)
+    parts = {}
+    for r in corpus.assemble_parts(pages, 7).orderBy("part").collect():
+        assert r.pages <= 7
+        parts.setdefault(r.doc_id, []).append(r.text)
+    whole = {r.doc_id: r.text for r in corpus.assemble_pages(pages).collect()}
+    assert {d: "\n".join(t).strip() for d, t in parts.items()} == whole
