@@ -342,10 +342,46 @@ def _sql(select: str) -> str:
     return (f"with {steps}\n" if ordered else "") + select.strip()
 
 
+# Columns that Spark's length, size and row_number give as 32-bit integers.
+_INTEGERS = {
+    "corpus_scan": "n_chars",
+    "sentences": "position",
+    "chunk_recursive": "chunk_index",
+    "chunk_semantic": "chunk_index",
+    "chunk_overlap": "chunk_index",
+    "chunk_stats": "min_chars max_chars",
+    "chunk_all": "chunk_index n_chars n_tokens",
+    "chunk_ids": "chunk_index",
+    "embed_join": "n_chars dim",
+    "vector_validation": "min_dim max_dim",
+    "collection_write": "n_chars",
+    "knn_topk": "rank",
+    "retrieve_baseline": "position",
+    "retrieve_filtered": "position",
+    "hit_preview": "rank",
+    "retrieval_diff": "baseline_position filtered_position n_chars",
+    "score_base": "rank",
+    "score_chain": "rank",
+    "filter_fallback": "position",
+    "retrieve_text": "position",
+    "answer_prompts": "n_chars",
+    "claim_verdicts": "claim_id",
+    "question_summary": "answer_length_chars num_contexts_retrieved",
+}
+
+
+def _typed(name: str, select: str) -> str:
+    columns = _INTEGERS.get(name, "").split()
+    if not columns:
+        return select
+    casts = ", ".join(f"{c}::integer as {c}" for c in columns)
+    return f"select * replace ({casts}) from ({select.strip()})"
+
+
 _CHUNK_COLUMNS = "select doc_id, source, chunk_index, text from {}"
 
 ORACLE: dict[str, str] = {
-    name: _sql(select)
+    name: _sql(_typed(name, select))
     for name, select in {
         "corpus_scan": "select doc_id, source, length(text) as n_chars, md5(text) as text_md5 from docs",
         "page_assembly": f"""
@@ -375,7 +411,7 @@ ORACLE: dict[str, str] = {
                            lag(embedding, 2) over w as p2, lag(embedding, 3) over w as p3
                     from embeddings window w as (partition by label order by vec_id)))""",
         "semantic_segments": f"""
-            select doc_id, segment, min(position) as first_position, max(position) as last_position,
+            select doc_id, segment::bigint as segment, min(position) as first_position, max(position) as last_position,
                    count(*) as sentences
             from (select *, sum(case when sim is null or sim < 0 then 1 else 0 end)
                          over (partition by doc_id order by position) - 1 as segment
@@ -482,8 +518,8 @@ ORACLE: dict[str, str] = {
                    round(max(mean) filter (metric = 'context_recall'), 9) as context_recall,
                    round(max(mean) filter (metric = 'faithfulness'), 9) as faithfulness,
                    round(max(mean) filter (metric = 'factual_correctness'), 9) as factual_correctness,
-                   case chunker when 'recursive' then {_CAP_RECURSIVE} else {_CAP_SEMANTIC} end as chunk_size,
-                   case mode when 'filtered' then {_CANDIDATES} else {TOP} end as retrieval_initial_k,
+                   case chunker when 'recursive' then {_CAP_RECURSIVE} else {_CAP_SEMANTIC} end::bigint as chunk_size,
+                   case mode when 'filtered' then {_CANDIDATES} else {TOP} end::bigint as retrieval_initial_k,
                    case mode when 'filtered' then 'base_score,self_reflection,critic_eval' end as filtering_stages
             from sweep_long group by chunker, mode""",
     }.items()
