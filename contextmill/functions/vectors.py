@@ -40,5 +40,6 @@ def row_cosine(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 def has_dimension(vector: Column, dim: int) -> Column:
     """True for a usable vector: right size, no NULL or NaN element."""
-    whole = F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x))
-    return F.coalesce((F.size(vector) == dim) & whole, F.lit(False))
+    # NULL, not False, where an element is NULL: the search cannot be sure.
+    has_nan = F.array_contains(vector, F.lit(float("nan")).cast("float"))
+    return F.coalesce((F.size(vector) == dim) & ~has_nan, F.lit(False))

@@ -19,6 +19,7 @@ QUESTION_BLOCK_BYTES = 64 << 20
 QUESTION_BLOCK_ROWS = 16384
 BROADCAST_BYTES = 64 << 20
 OVERFETCH = 3
+# A question's rows from all tasks are ranked in this many parts first.
 SALTS = 64
 
 # Pairs of (chunk, question) scored at a time, vector elements re-scored at a time,

@@ -21,8 +21,8 @@ BLOCK = 16384
 
 
 def _block(position: str, width: int) -> Column:
-    """The first position of the block a row lies in."""
-    return F.col(position).cast("long") - F.pmod(F.col(position).cast("long"), F.lit(width))
+    """The first position of the block a row lies in; the width is a power of two."""
+    return F.col(position).cast("long").bitwiseAND(F.lit(-width).cast("long"))
 
 
 def _before(blocks: DataFrame, keys: list[str], value: str, out: str) -> DataFrame:
@@ -69,9 +69,10 @@ def sentence_similarity(
         F.explode(F.when(near_end, F.array(block, block + width)).otherwise(F.array(block))).alias("block"),
     )
     ordered = placed.repartition("doc_id", "block").sortWithinPartitions("doc_id", "block", "position")
-    out = T.StructType(
-        [ordered.schema["doc_id"], ordered.schema["position"], T.StructField("sim", T.DoubleType())]
-    )
+    # Keys declared present keep the optimizer from adding NULL checks that would make
+    # two uses of the result differ, and their shuffle with them.
+    keys = [T.StructField(c, ordered.schema[c].dataType, False) for c in ("doc_id", "position")]
+    out = T.StructType([*keys, T.StructField("sim", T.DoubleType())])
     run = _block_similarity(dim, window, width, to_arrow_schema(out))
     return ordered.select("doc_id", "position", "block", "vector").mapInArrow(run, out)
 
@@ -108,22 +109,22 @@ def semantic_segments(
 ) -> DataFrame:
     """Number the runs of similar sentences: a similarity under the threshold cuts.
 
-    Cuts are counted per block first, so a document is numbered by many tasks.
-    Neighbouring runs only: groups that do not touch are never merged.
+    Gives ``(doc_id, position, segment)``. Cuts are counted within a block first and
+    the blocks' totals summed up, so a document is numbered by many tasks. Both steps
+    read one shuffle. Neighbouring runs only: groups that do not touch are never
+    merged.
     """
     cut = F.when(F.col("sim").isNull() | (F.col("sim") < threshold), 1).otherwise(0)
-    flagged = similarity.withColumn("cut", cut).withColumn("block", _block("position", width))
-    blocks = flagged.groupBy("doc_id", "block").agg(F.sum("cut").alias("cuts"))
-    offsets = _before(blocks, ["doc_id"], "cuts", "offset").drop("cuts")
     running = (
         Window.partitionBy("doc_id", "block").orderBy("position").rowsBetween(Window.unboundedPreceding, 0)
     )
-    return (
-        flagged.withColumn("in_block", F.sum("cut").over(running))
-        .join(offsets, ["doc_id", "block"])
-        .withColumn("segment", (F.col("in_block") + F.col("offset") - 1).cast("long"))
-        .drop("block", "in_block", "offset", "cut")
-    )
+    counted = similarity.select(
+        "doc_id", "position", _block("position", width).alias("block"), cut.alias("cut")
+    ).select("doc_id", "position", "block", F.sum("cut").over(running).alias("cuts_so_far"))
+    blocks = counted.groupBy("doc_id", "block").agg(F.max("cuts_so_far").alias("cuts"))
+    offsets = _before(blocks, ["doc_id"], "cuts", "offset").drop("cuts")
+    segment = (F.col("cuts_so_far") + F.col("offset") - 1).cast("long")
+    return counted.join(offsets, ["doc_id", "block"]).select("doc_id", "position", segment.alias("segment"))
 
 
 def segment_bounds(segments: DataFrame) -> DataFrame:

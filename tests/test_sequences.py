@@ -17,7 +17,7 @@ def brute(matrix, i):
     return x @ mean / np.linalg.norm(x) / np.linalg.norm(mean)
 
 
-@pytest.mark.parametrize("width", [4, 7, 64, 16384])
+@pytest.mark.parametrize("width", [4, 8, 64, 16384])
 @pytest.mark.parametrize("batch", ["3", "10000"])
 def test_similarity(spark, setting, width, batch):
     """One document holds most of the rows and is spread over many blocks."""
@@ -44,7 +44,7 @@ def test_segments(spark, width):
     assert all(b.last_position - b.first_position + 1 == b.sentences for b in bounds)
 
 
-@pytest.mark.parametrize("width", [3, 16384])
+@pytest.mark.parametrize("width", [4, 16384])
 def test_numbering_a_hot_group(spark, width):
     rows = [("hot", i * 7 - 100) for i in range(300)] + [("cold", 5), ("cold", 2)]
     df = spark.createDataFrame(rows, "key string, id long").repartition(6)
