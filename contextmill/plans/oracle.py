@@ -170,6 +170,27 @@ _STEPS: dict[str, str] = {
     from (select *, unnest(range(0, 1 + greatest(len(tokens) - 51, 0) // 462)) as i
           from (select doc_id, source, {_pieces('text', tx.SPACED_TOKEN)} as tokens from docs)
           where len(tokens) > 0)"""),
+    "sized": f"""
+    select *, sum(size) over w as upto, sum(size) over w - size as before
+    from (select *, {_tokens('sentence')}::bigint as size from sents) window w as (partition by doc_id order by position)""",
+    "span_ends": f"""
+    select f.doc_id, f.position as first, f.before,
+           greatest(f.position, max(e.position) filter (e.upto <= f.before + {chunking.WINDOW_TOKENS})) as last
+    from sized f join sized e on e.doc_id = f.doc_id and e.position >= f.position
+    group by f.doc_id, f.position, f.before""",
+    "span_next": f"""
+    select s.doc_id, s.first, s.last, case when max(n.position) is not null then
+           coalesce(min(b.position) filter (l.upto - b.before <=
+               least({chunking.WINDOW_OVERLAP}, {chunking.WINDOW_TOKENS} - n.size)), s.last + 1) end as next_first
+    from span_ends s join sized l on l.doc_id = s.doc_id and l.position = s.last
+    left join sized n on n.doc_id = s.doc_id and n.position = s.last + 1
+    left join sized b on b.doc_id = s.doc_id and b.position > s.first and b.position <= s.last
+    group by s.doc_id, s.first, s.last""",
+    "spans": """
+    select doc_id, first, last, next_first, 0 as chunk_index from span_next where first = 0
+    union all
+    select n.doc_id, n.first, n.last, n.next_first, s.chunk_index + 1
+    from spans s join span_next n on n.doc_id = s.doc_id and n.first = s.next_first""",
     "chunks": "select * from recursive union all select * from semantic",
     # vector retrieval
     "vq": """
@@ -330,16 +351,21 @@ _STEPS.update(_verdict_steps("sweep"))
 def _sql(select: str) -> str:
     """A query with the steps it needs, each after the steps it reads itself."""
     ordered: list[str] = []
+    open_steps: list[str] = []
 
     def visit(sql: str) -> None:
         for name in re.findall(r"\b(?:from|join)\s+(\w+)", sql):
-            if name in _STEPS and name not in ordered:
+            if name in _STEPS and name not in ordered and name not in open_steps:
+                open_steps.append(name)
                 visit(_STEPS[name])
                 ordered.append(name)
 
     visit(select)
-    steps = ",\n".join(f"{name} as materialized ({_STEPS[name].strip()})" for name in ordered)
-    return (f"with {steps}\n" if ordered else "") + select.strip()
+    def step(name: str) -> str:
+        kind = "" if name in _STEPS[name].split() else "materialized "
+        return f"{name} as {kind}({_STEPS[name].strip()})"
+
+    return ("with recursive " + ",\n".join(map(step, ordered)) + "\n" if ordered else "") + select.strip()
 
 
 # Columns that Spark's length, size and row_number give as 32-bit integers.
@@ -349,6 +375,7 @@ _INTEGERS = {
     "chunk_recursive": "chunk_index",
     "chunk_semantic": "chunk_index",
     "chunk_overlap": "chunk_index",
+    "chunk_overlap_sentences": "chunk_index",
     "chunk_stats": "min_chars max_chars",
     "chunk_all": "chunk_index n_chars n_tokens",
     "chunk_ids": "chunk_index",
@@ -392,6 +419,10 @@ ORACLE: dict[str, str] = {
         "chunk_recursive": _CHUNK_COLUMNS.format("recursive"),
         "chunk_semantic": _CHUNK_COLUMNS.format("semantic"),
         "chunk_overlap": _CHUNK_COLUMNS.format("overlap"),
+        "chunk_overlap_sentences": """
+            select s.doc_id, s.source, p.chunk_index, string_agg(s.sentence, '' order by s.position) as text
+            from spans p join sents s on s.doc_id = p.doc_id and s.position between p.first and p.last
+            group by s.doc_id, s.source, p.chunk_index""",
         "chunk_stats": """
             select source, chunker, coalesce(chunks, 0) as chunks, coalesce(avg_chars, 0) as avg_chars,
                    coalesce(avg_tokens, 0) as avg_tokens, coalesce(min_chars, 0) as min_chars,
