@@ -35,10 +35,6 @@ def sentences(text: Column) -> Column:
     return split_pieces(text, SENTENCE)
 
 
-def whitespace_tokens(text: Column) -> Column:
-    return split_pieces(text, WHITESPACE_TOKEN)
-
-
 def word_tokens(text: Column) -> Column:
     """Lower-cased runs of letters and digits."""
     return split_pieces(F.lower(text), WORD_TOKEN)
@@ -49,7 +45,7 @@ def word_set(text: Column) -> Column:
 
 
 def token_count(text: Column) -> Column:
-    return F.size(whitespace_tokens(text))
+    return F.regexp_count(text, F.lit(WHITESPACE_TOKEN))
 
 
 def preview(text: Column, length: int) -> Column:

@@ -114,7 +114,7 @@ def event_scores(spark: SparkSession, folder: str) -> DataFrame:
             F.col("event_id").alias("rank"),
             F.col("reply").alias("base_reply"),
             F.lit(None).cast("string").alias("reflect_reply"),
-            (F.col("value") / 50).cast("string").alias("critic_reply"),
+            (F.col("value") / (F.col("value") + 50)).cast("string").alias("critic_reply"),
         )
     )
     return materialise(scored, "scores")

@@ -224,7 +224,7 @@ _STEPS: dict[str, str] = {
     from events""",
     "escored": f"""
     select *, {_final("base", "base", "critic")} as final_score from (
-      select *, {_parse("(value / 50)::varchar", "base")} as critic from (
+      select *, {_parse("(value / (value + 50))::varchar", "base")} as critic from (
         select user_id as query_id, event_id as chunk_id, event_id as rank, value,
                {_parse("reply", "0.5::double")} as base from replies))""",
     "estats": """
