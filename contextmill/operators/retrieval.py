@@ -26,7 +26,7 @@ SALTS = 64
 # and survivors gathered before they are merged.
 _TILE_PAIRS = 1 << 22
 _EXACT_ELEMENTS = 1 << 21
-_MERGE_PAIRS = 1 << 18
+_MERGE_PAIRS = 1 << 14
 
 
 class _Best:
@@ -97,11 +97,13 @@ def _partition_top_k(
                 size = norms(wide)[:, None]
                 scaled = np.divide(wide, size, out=np.zeros_like(wide), where=size > 0).astype(np.float32)
                 sims = scaled @ unit_t
-                floor = best.floor
-                if len(tile) > k:
+                hits = np.flatnonzero(sims >= (best.floor - margin).astype(np.float32))
+                if len(hits) > 4 * k * n_questions and len(tile) > k:
+                    # Early on the floor is low: raise it to the tile's own k-th best.
                     at = len(tile) - k
-                    floor = np.maximum(floor, np.partition(sims, at, axis=0)[at])
-                hit_row, hit_question = np.nonzero(sims >= (floor - margin).astype(np.float32))
+                    floor = np.maximum(best.floor, np.partition(sims, at, axis=0)[at])
+                    hits = np.flatnonzero(sims >= (floor - margin).astype(np.float32))
+                hit_row, hit_question = np.divmod(hits, n_questions)
                 for s in range(0, len(hit_row), exact):
                     r, q = hit_row[s : s + exact], hit_question[s : s + exact]
                     best.add(q, row_cosine(wide[r], questions[q]), tile_ids[r])
