@@ -8,6 +8,7 @@ from __future__ import annotations
 import math
 import os
 import sys
+import tempfile
 import time
 
 import duckdb
@@ -23,6 +24,7 @@ TABLES = (
 def connect(folder: str) -> duckdb.DuckDBPyConnection:
     con = duckdb.connect()
     con.sql("set timezone = 'UTC'")
+    con.sql(f"set temp_directory = '{tempfile.mkdtemp(prefix='run-')}'")
     for table in TABLES:
         path = os.path.join(folder, f"{table}.parquet")
         if os.path.exists(path):
