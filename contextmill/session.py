@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-import os
+import re
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_DIR = "spark.checkpoint.dir"
+#: The library's own setting, for sessions whose cluster names no checkpoint folder.
+WORK_DIR = "contextmill.workDir"
+_REMOVED_AT_END: set[str] = set()
 
 
 def local_session(cores: str = "8", memory: str = "16g", app: str = "contextmill") -> SparkSession:
@@ -25,19 +28,32 @@ def local_session(cores: str = "8", memory: str = "16g", app: str = "contextmill
     )
 
 
-def work_folder(spark: SparkSession, name: str) -> str:
-    """A fresh path for one intermediate table, in the folder all executors share.
+def work_base(spark: SparkSession) -> str:
+    """The folder below which this application writes its intermediates.
 
-    The folder is the one the cluster names in ``spark.checkpoint.dir``. Only a
-    local session, whose tasks all run on this machine, may go without it.
+    The cluster names it in ``spark.checkpoint.dir``, or the user in
+    ``contextmill.workDir``. Only a local session, whose tasks all run on this
+    machine, may go without either. The folder is removed when the session's JVM ends.
     """
-    base = spark.conf.get(CHECKPOINT_DIR, None)
+    base = spark.conf.get(CHECKPOINT_DIR, None) or spark.conf.get(WORK_DIR, None)
     if not base:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError(f"set {CHECKPOINT_DIR} to a folder every executor can reach")
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError(f"set {CHECKPOINT_DIR} or {WORK_DIR} to a folder every executor can reach")
         base = tempfile.mkdtemp(prefix="contextmill-")
-        spark.conf.set(CHECKPOINT_DIR, base)
-    return os.path.join(base, f"{name}-{uuid.uuid4().hex}")
+        spark.conf.set(WORK_DIR, base)
+    own = f"{base.rstrip('/')}/contextmill-{spark.sparkContext.applicationId}"
+    if own not in _REMOVED_AT_END:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(own)
+        files = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        files.mkdirs(path)
+        files.deleteOnExit(path)
+        _REMOVED_AT_END.add(own)
+    return own
+
+
+def work_folder(spark: SparkSession, name: str) -> str:
+    """A fresh path for one intermediate table, in the folder all executors share."""
+    return f"{work_base(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 def materialise(df: DataFrame, name: str) -> DataFrame:

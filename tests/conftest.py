@@ -9,7 +9,7 @@ ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 sys.path.insert(0, ROOT)
 sys.path.insert(0, os.path.join(ROOT, "tests"))
 
-from contextmill.session import CHECKPOINT_DIR, local_session  # noqa: E402
+from contextmill.session import CHECKPOINT_DIR, WORK_DIR, local_session  # noqa: E402
 
 SMALL = "/root/testdata/sf0.001"
 
@@ -19,7 +19,7 @@ def spark(tmp_path_factory):
     session = local_session("4", "4g")
     session.sparkContext.setLogLevel("ERROR")
     if not session.conf.get(CHECKPOINT_DIR, None):
-        session.conf.set(CHECKPOINT_DIR, str(tmp_path_factory.mktemp("work")))
+        session.conf.set(WORK_DIR, str(tmp_path_factory.mktemp("work")))
     yield session
     session.stop()
 

@@ -1,32 +1,26 @@
+import os
+import subprocess
+import sys
 from types import SimpleNamespace
 
 import pytest
+from conftest import ROOT
 
-from contextmill.session import CHECKPOINT_DIR, materialise, work_folder
-
-
-def fake(master, settings):
-    conf = SimpleNamespace(get=lambda k, d=None: settings.get(k, d), set=settings.__setitem__)
-    return SimpleNamespace(conf=conf, sparkContext=SimpleNamespace(master=master))
-
-
-def test_cluster_folder_is_used():
-    spark = fake("yarn", {CHECKPOINT_DIR: "hdfs://host/shared"})
-    first, second = work_folder(spark, "a"), work_folder(spark, "a")
-    assert first.startswith("hdfs://host/shared/a-") and first != second
+from contextmill.session import CHECKPOINT_DIR, WORK_DIR, materialise, work_folder
 
 
 def test_cluster_without_folder_fails():
-    with pytest.raises(ValueError, match=CHECKPOINT_DIR):
-        work_folder(fake("yarn", {}), "a")
+    for master in ("yarn", "local-cluster[2,1,1024]"):
+        conf = SimpleNamespace(get=lambda k, d=None: d)
+        spark = SimpleNamespace(conf=conf, sparkContext=SimpleNamespace(master=master))
+        with pytest.raises(ValueError, match=CHECKPOINT_DIR):
+            work_folder(spark, "a")
 
 
-def test_local_session_gets_one_folder():
-    settings = {}
-    spark = fake("local[2]", settings)
-    path = work_folder(spark, "a")
-    assert path.startswith(settings[CHECKPOINT_DIR])
-    assert work_folder(spark, "b").startswith(settings[CHECKPOINT_DIR])
+def test_paths_are_fresh_and_below_the_named_folder(spark):
+    named = spark.conf.get(CHECKPOINT_DIR, None) or spark.conf.get(WORK_DIR)
+    first, second = work_folder(spark, "a"), work_folder(spark, "a")
+    assert first.startswith(named) and first != second
 
 
 def test_materialised_table_is_read_back(spark):
@@ -34,3 +28,21 @@ def test_materialised_table_is_read_back(spark):
     written = materialise(df, "numbers")
     assert "FileScan" in written._jdf.queryExecution().executedPlan().toString()
     assert sorted(written.collect()) == sorted(df.collect()) and written.columns == df.columns
+
+
+PLAIN = """
+from contextmill.session import local_session, materialise, work_base
+spark = local_session("1", "1g")
+assert materialise(spark.range(5), "t").count() == 5
+print("BASE", work_base(spark))
+spark.stop()
+"""
+
+
+def test_plain_session_without_preset_options(tmp_path):
+    """A real session with an empty configuration folder; its work folder goes with it."""
+    env = {**os.environ, "SPARK_CONF_DIR": str(tmp_path), "PYTHONPATH": ROOT}
+    done = subprocess.run([sys.executable, "-c", PLAIN], env=env, capture_output=True, text=True, timeout=300)
+    assert done.returncode == 0, done.stderr[-2000:]
+    base = next(x.split()[1] for x in done.stdout.splitlines() if x.startswith("BASE"))
+    assert not os.path.exists(base)
