@@ -110,19 +110,18 @@ def mark_contamination(
     windows; repeated items and repeated ids of one window count once. Columns of ``docs`` with
     the three new names are replaced. Without benchmark windows nothing is hit.
     """
-    kept = [f for f in docs.schema.fields if f.name not in ("n_words", "hits", "items")]
-    made = "n_words bigint, hits array<struct<start:int,end:int>>, items array<string>"
-    empty = [
+    kept = [f"`{c}`" for c in docs.columns if c not in ("n_words", "hits", "items")]
+    out = docs.select(
+        *kept,
         F.lit(None).cast("bigint").alias("n_words"),
         F.array().cast("array<struct<start:int,end:int>>").alias("hits"),
         F.array().cast("array<string>").alias("items"),
-    ]
-    out = docs.select(*[f"`{f.name}`" for f in kept], *empty)
-    schema = out.select(*[f"`{f.name}`" for f in kept]).schema.simpleString()
+    )
+    schema = out.schema
     sets = list(_blocks(benchmark_windows(benchmark, item, item_text, window), block_bytes)) or [WindowSet([])]
     for each in sets:
         held = docs.sparkSession.sparkContext.broadcast(each)
-        out = out.mapInArrow(_scan(held, text), f"{schema[len('struct<'):-1]}, {made}")
+        out = out.mapInArrow(_scan(held, text), schema)
     return out
 
 
