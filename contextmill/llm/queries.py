@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from contextmill.llm import chat, decontamination, exact_dedup, ngram_join, sharding, substring_dedup, toxicity
+from contextmill.llm import byte_bpe, chat, decontamination, exact_dedup, ngram_join, sharding, substring_dedup, toxicity
 from contextmill.session import materialise
 
 
@@ -47,6 +48,14 @@ def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
+def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ranks = byte_bpe.read_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    decoded = byte_bpe.decode(byte_bpe.encode(docs, ranks).drop("text"), ranks)
+    return decoded.select(
+        "doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 #: A conversation whose texts hold the template's control strings.
 PROBE = r"\### Assistant: </turn> ok"
 
@@ -125,6 +134,7 @@ QUERIES = {
     "op4_substring_dedup": op4_substring_dedup,
     "op5_ngram_jaccard_join": op5_ngram_jaccard_join,
     "op7_exact_dedup": op7_exact_dedup,
+    "op8_byte_bpe": op8_byte_bpe,
     "op9_chat_format": op9_chat_format,
     "op10_sharding": op10_sharding,
 }
