@@ -2,7 +2,7 @@
 
 First pass: each task sketches its windows, and the sketches are merged. A sketch never counts
 too little, so windows it estimates as single are single. Second pass: the windows estimated
-as repeated, and only they, are grouped exactly. Third pass: their words are removed.
+as repeated, and only they, are grouped exactly. Last, their words are removed.
 
 A window is counted by its minimiser, the smallest hash of any 25 consecutive words in it:
 equal windows have equal minimisers, so the estimate still is an upper bound, and neighbouring
@@ -16,6 +16,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -134,45 +135,89 @@ def _estimated_repeated(low: np.ndarray, bitmaps: list[np.ndarray], width_bits:
     return keep
 
 
-def repeated_windows(
+def _digests(words: Words, first: np.ndarray, last: np.ndarray) -> list[bytes]:
+    """A 128-bit digest of the words from ``first`` to ``last`` each, joined by single spaces."""
+    data, starts, ends = words.canonical()
+    spans = zip(starts[first].tolist(), ends[last].tolist())
+    return [hashlib.blake2b(data[a:b], digest_size=16).digest() for a, b in spans]
+
+
+def _rows(part: pa.RecordBatch, words: Words, digests: list[bytes], at: np.ndarray, **more: pa.Array) -> pa.RecordBatch:
+    of = words.text_of(at)
+    columns = {
+        "digest": pa.array(digests, pa.binary()),
+        "doc_id": part.column("doc_id").take(pa.array(of)),
+        "text_hash": part.column("text_hash").take(pa.array(of)),
+        "start": pa.array(at - words.first[of], pa.int32()),
+        **more,
+    }
+    return pa.RecordBatch.from_arrays(list(columns.values()), list(columns))
+
+
+def _first_seen(found: DataFrame) -> DataFrame:
+    """``found`` with ``first``: the least doc_id with the same digest, NULL if it is the only one."""
+    firsts = found.groupBy("digest").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"))
+    return found.join(firsts.filter("first < last").drop("last"), "digest", "left")
+
+
+def repeated_ranges(
     docs: DataFrame, window: int = WINDOW, seed: int = SEED_WORDS, width_bits: int = WIDTH_BITS
 ) -> DataFrame:
-    """(doc_id, text_hash, starts): windows that also start in a document with a smaller id.
+    """(doc_id, text_hash, ranges): word ranges of windows that start in a smaller doc_id, too.
 
-    ``docs`` has doc_id, text, text_hash. Grouping is by a 128-bit digest of the window's words.
+    ``docs`` has doc_id, text, text_hash. Windows estimated as repeated are grouped in two steps,
+    by digests of all their words. First runs of windows that share a minimiser: a run that is in
+    a smaller document goes as a whole. Then the single windows of each distinct run, in the
+    first document that has it, which is all that copies of a run could add.
     """
     bitmaps = repeated_cells(docs, window, seed, width_bits)
     held = docs.sparkSession.sparkContext.broadcast(bitmaps)
+    id_type = docs.schema["doc_id"].dataType.simpleString()
 
-    def candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         splitter = blank_separated()
         for batch in batches:
             for part in slices(batch, "text"):
                 words = splitter.split(part.column("text"))
                 at, low = minimisers(words, words.hashes(), window, seed)
-                at = at[_estimated_repeated(low, held.value, width_bits)] if len(at) else at
+                if len(at):
+                    keep = _estimated_repeated(low, held.value, width_bits)
+                    at, low = at[keep], low[keep]
                 if not len(at):
                     continue
-                data, starts, ends = words.canonical()
-                spans = zip(starts[at].tolist(), ends[at + window - 1].tolist())
-                digests = [hashlib.blake2b(data[a:b], digest_size=16).digest() for a, b in spans]
                 of = words.text_of(at)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(digests, pa.binary()),
-                        part.column("doc_id").take(pa.array(of)),
-                        part.column("text_hash").take(pa.array(of)),
-                        pa.array(at - words.first[of], pa.int32()),
-                    ],
-                    ["digest", "doc_id", "text_hash", "start"],
-                )
+                fresh = (np.diff(at, prepend=-2) != 1) | (np.diff(low, prepend=~low[:1]) != 0) | (np.diff(of, prepend=-1) != 0)
+                begin = np.flatnonzero(fresh)
+                n = np.diff(np.append(begin, len(at)))
+                at = at[begin]
+                yield _rows(part, words, _digests(words, at, at + n + window - 2), at, n=pa.array(n, pa.int32()))
+
+    def singles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        splitter = blank_separated()
+        for batch in batches:
+            for part in slices(batch, "text"):
+                words = splitter.split(part.column("text"))
+                lists = part.column("own")
+                count = np.asarray(pc.list_value_length(lists), np.int64)
+                flat = lists.flatten()
+                at = np.asarray(flat.field("start"), np.int64) + np.repeat(words.first[:-1], count)
+                n = np.asarray(flat.field("n"), np.int64)
+                at = np.repeat(at, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+                if len(at):
+                    yield _rows(part, words, _digests(words, at, at + window - 1), at)
 
-    kind = f"digest binary, doc_id {docs.schema['doc_id'].dataType.simpleString()}, text_hash bigint, start int"
+    kind = f"digest binary, doc_id {id_type}, text_hash bigint, start int"
     source = docs.filter(F.col("doc_id").isNotNull()).select("doc_id", "text_hash", "text")
-    found = materialise(source.mapInArrow(candidates, kind), "windows")
-    firsts = found.groupBy("digest").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).filter("first < last")
-    later = found.join(firsts, "digest").filter("first < doc_id")
-    return later.groupBy("doc_id", "text_hash").agg(F.collect_set("start").alias("starts"))
+    found = _first_seen(materialise(source.mapInArrow(runs, f"{kind}, n int"), "runs"))
+    placed = materialise(
+        found.select("doc_id", "text_hash", "start", "n", F.coalesce(F.col("first") == F.col("doc_id"), F.lit(True)).alias("own")), "placed")
+    own = placed.filter("own").groupBy("doc_id", "text_hash").agg(F.collect_set(F.struct("start", "n")).alias("own"))
+    windows = materialise(source.join(own, ["doc_id", "text_hash"]).mapInArrow(singles, kind), "windows")
+    later = _first_seen(windows).filter("first < doc_id")
+    span = lambda n: F.struct("start", (F.col("start") + n).cast("int").alias("end"))
+    gone = placed.filter("not own").select("doc_id", "text_hash", span(F.col("n") + window - 1).alias("range"))
+    gone = gone.union(later.select("doc_id", "text_hash", span(F.lit(window)).alias("range")))
+    return gone.groupBy("doc_id", "text_hash").agg(F.collect_set("range").alias("ranges"))
 
 
 def remove_repeats(
@@ -189,18 +234,19 @@ def remove_repeats(
         raise ValueError("a minimiser's words lie within a window")
     source = docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text"))
     hashed = source.withColumn("text_hash", F.xxhash64("text"))
-    marks = repeated_windows(hashed, window, seed, width_bits)
-    joined = hashed.join(marks, ["doc_id", "text_hash"], "left").select("doc_id", "text", "starts")
+    marks = repeated_ranges(hashed, window, seed, width_bits)
+    joined = hashed.join(marks, ["doc_id", "text_hash"], "left").select("doc_id", "text", "ranges")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         splitter = blank_separated()
         for batch in batches:
             for part in slices(batch, "text"):
                 words = splitter.split(part.column("text"))
-                lists = part.column("starts")
-                n = np.asarray(pa.compute.fill_null(pa.compute.list_value_length(lists), 0), np.int64)
-                at = np.asarray(pa.compute.list_flatten(lists), np.int64) + np.repeat(words.first[:-1], n)
-                gone = words.covered(at, at + window)
+                lists = part.column("ranges")
+                base = np.repeat(words.first[:-1], np.asarray(pc.fill_null(pc.list_value_length(lists), 0), np.int64))
+                flat = lists.flatten()
+                at, to = (np.asarray(flat.field(x), np.int64) + base for x in ("start", "end"))
+                gone = words.covered(at, to)
                 data, starts, ends = words.canonical()
                 removed, kept = words.per_text(gone), []
                 for t in range(part.num_rows):
