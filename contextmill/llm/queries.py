@@ -7,7 +7,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from contextmill.llm import byte_bpe, chat, decontamination, exact_dedup, ngram_join, sharding, substring_dedup, toxicity
+from contextmill.llm import byte_bpe, chat, decontamination, exact_dedup, ngram_join, sharding, substring_dedup, token_files, toxicity
 from contextmill.session import materialise
 
 
@@ -21,6 +21,17 @@ def op1_toxicity_ordinal(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, model).drop("text")
 
 
+END_ID = 2
+
+
+def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    folder = token_files.new_folder(docs)
+    manifest = token_files.write_tokens(docs, public_tokenizers.path("word_bpe_49k.json"), END_ID, folder)
+    back = token_files.read_tokens(folder, manifest)
+    return back.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
 def op3_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
     marked = decontamination.mark_contamination(docs, read(spark, sf_dir, "benchmark"))
@@ -130,6 +141,7 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_toxicity_ordinal": op1_toxicity_ordinal,
+    "op2_token_files": op2_token_files,
     "op3_benchmark_decontamination": op3_benchmark_decontamination,
     "op4_substring_dedup": op4_substring_dedup,
     "op5_ngram_jaccard_join": op5_ngram_jaccard_join,
