@@ -7,8 +7,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from contextmill.llm import byte_bpe, chat, decontamination, exact_dedup, ngram_join, sharding, substring_dedup, token_files, toxicity
-from contextmill.session import materialise
+from contextmill.llm import byte_bpe, chat, decontamination, exact_dedup, ngram_join, sharding, substring_dedup, token_files, toxicity, warc
+from contextmill.session import materialise, work_folder
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -54,6 +54,15 @@ def op5_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.ngram_join(read(spark, sf_dir, "documents")).drop("row")
 
 
+def op6_warc_index_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = work_folder(spark, "warc")
+    captures = warc.write_archives(read(spark, sf_dir, "pages"), folder)
+    index = warc.merge_index(captures).select("file", "offset", "url_key", "timestamp", "position")
+    records = warc.read_archives(captures, folder)
+    return records.drop("payload").join(index, ["file", "offset"]).select(
+        "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url_key", "timestamp", "position")
+
+
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = exact_dedup.exact_duplicates(read(spark, sf_dir, "documents"))
     return found.select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
@@ -145,6 +154,7 @@ QUERIES = {
     "op3_benchmark_decontamination": op3_benchmark_decontamination,
     "op4_substring_dedup": op4_substring_dedup,
     "op5_ngram_jaccard_join": op5_ngram_jaccard_join,
+    "op6_warc_index_merge": op6_warc_index_merge,
     "op7_exact_dedup": op7_exact_dedup,
     "op8_byte_bpe": op8_byte_bpe,
     "op9_chat_format": op9_chat_format,

@@ -26,7 +26,7 @@ def write_file(folder: str, stem: str, suffix: str, pieces: list[bytes]) -> str:
     """Write a file under a fresh name and return the name."""
     name = f"{stem}-{uuid.uuid4().hex}.{suffix}"
     system, base = fs.FileSystem.from_uri(folder)
-    with system.open_output_stream(f"{base}/{name}") as out:
+    with system.open_output_stream(f"{base}/{name}", compression=None) as out:
         for piece in pieces:
             out.write(piece)
     return name
