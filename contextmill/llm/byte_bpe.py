@@ -19,6 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -27,7 +28,7 @@ from contextmill.llm.pretokens import Pretokens, character_classes, gather, hash
 from contextmill.llm.words import slices
 from contextmill.session import materialise
 
-#: Distinct words whose ids are broadcast, at most: about 48 MB.
+#: Distinct words whose ids are broadcast, at most: about 40 MB.
 MEMO_WORDS = 1 << 20
 #: Characters of a word that the fold takes; its steps grow with the square of the length. Longer
 #: words, which are hardly words, are merged with a heap in the task that reads them.
@@ -53,15 +54,19 @@ def _rank_literal(ranks: dict[bytes, int]) -> Column:
 
 def merged_ids(word: Column, ranks: dict[bytes, int]) -> Column:
     """The ids of a word (a string column): array<int>. An empty or NULL word has none."""
-    table = _rank_literal(ranks)
 
+    def let(value: Column, body) -> Column:
+        """``body`` of a value that is worked out once."""
+        return F.transform(F.array(value), body)[0]
+
+    return let(_rank_literal(ranks), lambda table: _fold(word, table, let))
+
+
+def _fold(word: Column, table: Column, let) -> Column:
     def rank(key: Column) -> Column:
         bucket = F.element_at(table, (F.crc32(key) % _BUCKETS + 1).cast("int"))
         return F.coalesce(F.try_element_at(bucket, key), F.lit(_NONE))
 
-    def let(value: Column, body) -> Column:
-        return F.transform(F.array(value), body)[0]
-
     def join(state: Column, at: Column) -> Column:
         """Pieces ``at`` and ``at`` + 1 become one; the ranks left and right of it are new."""
         p, r = state["p"], state["r"]
@@ -155,24 +160,13 @@ def word_counts(docs: DataFrame, classes) -> DataFrame:
 class Memo:
     """Ids of distinct words, found by two hashes."""
 
-    def __init__(self, words: list[str], ids: pa.ListArray, classes: np.ndarray):
-        flat, offsets = ids.flatten(), np.asarray(ids.offsets, np.int64)
-        one, two = np.zeros(0, np.uint64), np.zeros(0, np.uint64)
-        hashed = []
-        for i in range(0, len(words), 50_000):
-            some = words[i : i + 50_000]
-            cut = Pretokens(some, classes, spaced=True)
-            # A word is one pre-token as a whole: spans are those of the texts.
-            cut.starts, cut.ends = cut.begin[:-1], cut.begin[1:] - 1
-            hashed.append(cut.hashes(*hash_bases()))
-        if hashed:
-            one, two = (np.concatenate(x) for x in zip(*hashed))
+    def __init__(self, one: np.ndarray, two: np.ndarray, lengths: np.ndarray, ids: np.ndarray):
         order = np.argsort(one)
-        self.one, self.two = one[order], two[order]
-        self.lengths = np.diff(offsets)[order].astype(np.int32)
-        begin = offsets[:-1][order]
-        self.ids = gather(np.asarray(flat, np.int32), begin, self.lengths)
-        self.begin = np.concatenate(([0], np.cumsum(self.lengths)))[:-1]
+        begin = np.concatenate(([0], np.cumsum(lengths)))[:-1][order]
+        self.one, self.two, self.lengths = one[order], two[order], lengths[order].astype(np.int32)
+        # One number more, so that there is something to point at in an empty memo.
+        self.ids = np.append(gather(ids, begin, self.lengths), np.int32(0))
+        self.begin = np.concatenate(([0], np.cumsum(self.lengths, dtype=np.int64)))[:-1].astype(np.int32)
 
     def find(self, one: np.ndarray, two: np.ndarray) -> np.ndarray:
         """The number of each word, -1 for unknown ones."""
@@ -191,15 +185,46 @@ def build_memo(docs: DataFrame, ranks: dict[bytes, int], classes, most: int = ME
         if count > left:
             break
         left, least = left - count, n
+
+    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bases, table = hash_bases(), classes.value
+        for batch in batches:
+            cut = Pretokens(batch.column("word").to_pylist(), table, spaced=True)
+            # A word is one pre-token as a whole: spans are those of the texts.
+            cut.starts, cut.ends = cut.begin[:-1], cut.begin[1:] - 1
+            one, two = (pa.array(x.astype(np.int64)) for x in cut.hashes(*bases))
+            yield pa.RecordBatch.from_arrays([one, two, batch.column("ids")], ["one", "two", "ids"])
+
     chosen = words.filter(F.col("n") >= least).select("word", merged_ids(F.col("word"), ranks).alias("ids"))
-    table = chosen.toArrow().combine_chunks()
-    ids = table.column("ids").combine_chunks() if table.num_rows else pa.array([], pa.list_(pa.int32()))
-    return Memo(table.column("word").to_pylist(), ids, classes.value)
+    found = chosen.mapInArrow(hashed, "one bigint, two bigint, ids array<int>").toArrow().combine_chunks()
+    one, two = (np.asarray(found.column(c), np.int64).astype(np.uint64) for c in ("one", "two"))
+    ids = found.column("ids")
+    flat = np.concatenate([np.asarray(c.flatten(), np.int32) for c in ids.chunks] or [np.zeros(0, np.int32)])
+    return Memo(one, two, np.asarray(pc.list_value_length(ids), np.int64), flat)
 
 
-def encode(docs: DataFrame, ranks: dict[bytes, int], text: str = "text", memo_words: int = MEMO_WORDS) -> DataFrame:
+class Pieces:
+    """The bytes of each id."""
+
+    def __init__(self, ranks: dict[bytes, int]):
+        self.size = np.zeros(max(ranks.values()) + 1, np.int64)
+        pieces = [b""] * len(self.size)
+        for word, rank in ranks.items():
+            pieces[rank], self.size[rank] = word, len(word)
+        self.flat = np.frombuffer(b"".join(pieces), np.uint8)
+        self.begin = np.cumsum(self.size) - self.size
+
+    def join(self, ids: np.ndarray) -> bytes:
+        return gather(self.flat, self.begin[ids], self.size[ids]).tobytes()
+
+
+def encode(
+    docs: DataFrame, ranks: dict[bytes, int], text: str = "text", memo_words: int = MEMO_WORDS, decoded: bool = False,
+) -> DataFrame:
     """``docs`` with n_tokens and ids: little-endian unsigned 32-bit numbers in one binary.
 
+    ``decoded`` adds what ``decode`` makes of the ids, in the same pass, and leaves out the text.
+
     Ids are those of the rank file, without special tokens. NULL and empty texts have no ids.
     Columns of ``docs`` named like the two new ones are replaced.
     """
@@ -207,7 +232,9 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], text: str = "text", memo_wo
     classes = context.broadcast(character_classes())
     memo = context.broadcast(build_memo(docs.select(F.col(text).alias("text")), ranks, classes, memo_words))
     held = context.broadcast(ranks)
-    kept = docs.select(*[f"`{c}`" for c in docs.columns if c not in ("n_tokens", "ids")])
+    replaced = ("n_tokens", "ids", "decoded") if decoded else ("n_tokens", "ids")
+    kept = docs.select(*[f"`{c}`" for c in docs.columns if c not in replaced])
+    left = [f for f in kept.schema.fields if not (decoded and f.name == text)]
 
     def look_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bases, table, known, ranks = hash_bases(), classes.value, memo.value, held.value
@@ -237,10 +264,10 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], text: str = "text", memo_wo
                             word = ""
                         lists[t].append(word)
                     stand_in.append(-1 - seen[cut.word(i)])
-                flat_source = np.concatenate((known.ids, np.array(stand_in, np.int32)))
-                begin[rare] = len(known.ids) + np.arange(len(rare))
-                flat = gather(flat_source, begin, lengths)
-                ends = np.concatenate(([0], np.cumsum(lengths)))[cut.first]
+                flat = gather(known.ids, begin, lengths)
+                ends = np.concatenate(([0], np.cumsum(lengths)))
+                flat[ends[rare]] = np.array(stand_in, np.int32)
+                ends = ends[cut.first]
                 ids = [flat[a:b].tobytes() for a, b in zip(ends[:-1].tolist(), ends[1:].tolist())]
                 merged: list[list[dict]] = [[] for _ in lists]
                 for (t, j), found in longs.items():
@@ -258,14 +285,15 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], text: str = "text", memo_wo
     found = kept.mapInArrow(look_up, kind).withColumn("__merged", F.transform("__rare", lambda w: merged_ids(w, ranks)))
 
     def assemble(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pieces = Pieces(held.value) if decoded else None
         for batch in batches:
-            out, counts = [], []
+            out, counts, bytes_of = [], [], []
             merged = batch.column("__merged")
             inner = merged.flatten()
             values = np.asarray(inner.flatten(), np.int32)
-            sizes = np.asarray(pa.compute.fill_null(pa.compute.list_value_length(inner), 0), np.int64)
+            sizes = np.asarray(pc.fill_null(pc.list_value_length(inner), 0), np.int64)
             starts = np.concatenate(([0], np.cumsum(sizes)))
-            lists = np.concatenate(([0], np.cumsum(np.asarray(pa.compute.list_value_length(merged), np.int64))))
+            lists = np.concatenate(([0], np.cumsum(np.asarray(pc.list_value_length(merged), np.int64))))
             longs = batch.column("__long").to_pylist()
             for t, raw in enumerate(batch.column("__ids").to_pylist()):
                 ids = np.frombuffer(raw, np.int32)
@@ -285,13 +313,19 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], text: str = "text", memo_wo
                     ids = gather(np.concatenate((pool, ids)), at, lengths)
                 out.append(ids.astype("<u4").tobytes())
                 counts.append(len(ids))
-            columns = {n: batch.column(n) for n in batch.schema.names if n not in ("__ids", "__rare", "__long", "__merged")}
+                if pieces:
+                    bytes_of.append(pieces.join(ids))
+            columns = {f.name: batch.column(f.name) for f in left}
             columns["n_tokens"] = pa.array(counts, pa.int64())
             columns["ids"] = pa.array(out, pa.binary())
+            if pieces:
+                columns["decoded"] = pa.array(bytes_of, pa.binary())
             yield pa.RecordBatch.from_arrays(list(columns.values()), list(columns))
 
-    return found.mapInArrow(assemble, T.StructType(
-        [*kept.schema.fields, T.StructField("n_tokens", T.LongType()), T.StructField("ids", T.BinaryType())]))
+    made = [T.StructField("n_tokens", T.LongType()), T.StructField("ids", T.BinaryType())]
+    made += [T.StructField("decoded", T.BinaryType())] * decoded
+    return found.select(*[f"`{f.name}`" for f in left], "__ids", "__rare", "__long", "__merged").mapInArrow(
+        assemble, T.StructType([*left, *made]))
 
 
 def decode(df: DataFrame, ranks: dict[bytes, int], ids: str = "ids") -> DataFrame:
@@ -303,17 +337,9 @@ def decode(df: DataFrame, ranks: dict[bytes, int], ids: str = "ids") -> DataFram
     kept = df.select(*[f"`{c}`" for c in df.columns if c != "decoded"])
 
     def put_together(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sizes = np.zeros(max(held.value.values()) + 1, np.int64)
-        pieces = [b""] * len(sizes)
-        for word, rank in held.value.items():
-            pieces[rank], sizes[rank] = word, len(word)
-        flat = np.frombuffer(b"".join(pieces), np.uint8)
-        begin = np.concatenate(([0], np.cumsum(sizes)))[:-1]
+        pieces = Pieces(held.value)
         for batch in batches:
-            out = []
-            for raw in batch.column(ids).to_pylist():
-                own = np.frombuffer(raw or b"", "<u4")
-                out.append(gather(flat, begin[own], sizes[own]).tobytes())
+            out = [pieces.join(np.frombuffer(raw or b"", "<u4")) for raw in batch.column(ids).to_pylist()]
             columns = {n: batch.column(n) for n in batch.schema.names}
             columns["decoded"] = pa.array(out, pa.binary())
             yield pa.RecordBatch.from_arrays(list(columns.values()), list(columns))

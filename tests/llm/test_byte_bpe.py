@@ -62,6 +62,9 @@ def test_round_trip(spark, memo):
         want = LIBRARY.encode_ordinary(texts[r.doc_id] or "")
         assert np.frombuffer(r.ids, "<u4").tolist() == want and r.n_tokens == len(want), repr(r.text)
         assert bytes(r.decoded) == (texts[r.doc_id] or "").encode()
+    once = byte_bpe.encode(df, RANKS, memo_words=memo, decoded=True)
+    assert once.columns == ["doc_id", "n_tokens", "ids", "decoded"]
+    assert {(r.doc_id, bytes(r.ids), bytes(r.decoded)) for r in once.collect()} == {(r.doc_id, bytes(r.ids), bytes(r.decoded)) for r in out}
 
 
 def test_columns_and_empty_tables(spark):
