@@ -58,4 +58,5 @@ def test_stages_keep_columns_and_take_odd_rows(spark, tmp_path):
         out = frame.collect()
         assert bool(out) == rows_left
         if rows_left:
-            assert {-1, -2} <= {r.doc_id for r in out} and all(r.lossless for r in out)
+            # Of the wordless texts the least id stays.
+            assert {-3, -2} <= {r.doc_id for r in out} and -1 not in {r.doc_id for r in out} and all(r.lossless for r in out)
