@@ -34,7 +34,11 @@ MEMO_WORDS = 1 << 20
 #: words, which are hardly words, are merged with a heap in the task that reads them.
 FOLD_CHARS = 64
 _BUCKETS = 1 << 15
-_FLUSH = 400_000
+_FLUSH = 250_000
+#: Bytes of text looked at together, so that their arrays stay in the processor's cache.
+_COUNT_BYTES, _LOOK_UP_BYTES = 1 << 18, 1 << 17
+#: Documents put together at a time.
+_ROWS = 250
 _NONE = (1 << 31) - 1
 
 
@@ -138,11 +142,11 @@ def word_counts(docs: DataFrame, classes) -> DataFrame:
                 [pa.array([w for w, _ in often], pa.string()), pa.array([n for _, n in often], pa.int64())], ["word", "n"])
 
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", _COUNT_BYTES):
                 cut = Pretokens([t or "" for t in part.column("text").to_pylist()], table, spaced=True)
                 if not len(cut):
                     continue
-                known, at, n = np.unique(cut.hashes(*bases)[0], return_index=True, return_counts=True)
+                known, at, n = np.unique(cut.hash(bases[0]), return_index=True, return_counts=True)
                 short = cut.ends[at] - cut.starts[at] <= FOLD_CHARS
                 for h, i, c in zip(known[short].tolist(), at[short].tolist(), n[short].tolist()):
                     if h in counts:
@@ -167,13 +171,24 @@ class Memo:
         # One number more, so that there is something to point at in an empty memo.
         self.ids = np.append(gather(ids, begin, self.lengths), np.int32(0))
         self.begin = np.concatenate(([0], np.cumsum(self.lengths, dtype=np.int64)))[:-1].astype(np.int32)
+        # Where the words of each beginning of the hash are; a few at most share one.
+        self.shift = np.uint64(64 - max(1, int(len(one)).bit_length()))
+        edges = np.arange((1 << (64 - int(self.shift))) + 1, dtype=np.uint64)
+        self.first = np.searchsorted(self.one >> self.shift, edges).astype(np.int32)
+        self.most = int(np.diff(self.first).max())
 
     def find(self, one: np.ndarray, two: np.ndarray) -> np.ndarray:
         """The number of each word, -1 for unknown ones."""
-        if not len(self.one):
-            return np.full(len(one), -1)
-        at = np.minimum(np.searchsorted(self.one, one), len(self.one) - 1)
-        return np.where((self.one[at] == one) & (self.two[at] == two), at, -1)
+        at = self.first[(one >> self.shift).astype(np.int64)].astype(np.int64)
+        found = np.full(len(one), -1)
+        left = np.arange(len(one))
+        for _ in range(self.most if len(self.one) else 0):
+            spot = np.minimum(at[left], len(self.one) - 1)
+            hit = (self.one[spot] == one[left]) & (self.two[spot] == two[left])
+            found[left[hit]] = spot[hit]
+            at[left] += 1
+            left = left[~hit & (self.one[spot] < one[left])]
+        return found
 
 
 def build_memo(docs: DataFrame, ranks: dict[bytes, int], classes, most: int = MEMO_WORDS) -> Memo:
@@ -239,7 +254,7 @@ def encode(
     def look_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bases, table, known, ranks = hash_bases(), classes.value, memo.value, held.value
         for batch in batches:
-            for part in slices(batch, text):
+            for part in slices(batch, text, _LOOK_UP_BYTES):
                 cut = Pretokens([t or "" for t in part.column(text).to_pylist()], table, spaced=True)
                 number = known.find(*cut.hashes(*bases))
                 rare = np.flatnonzero(number < 0)
@@ -286,7 +301,7 @@ def encode(
 
     def assemble(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = Pieces(held.value) if decoded else None
-        for batch in batches:
+        for batch in (b.slice(at, _ROWS) for b in batches for at in range(0, b.num_rows, _ROWS)):
             out, counts, bytes_of = [], [], []
             merged = batch.column("__merged")
             inner = merged.flatten()
@@ -338,7 +353,7 @@ def decode(df: DataFrame, ranks: dict[bytes, int], ids: str = "ids") -> DataFram
 
     def put_together(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = Pieces(held.value)
-        for batch in batches:
+        for batch in (b.slice(at, _ROWS) for b in batches for at in range(0, b.num_rows, _ROWS)):
             out = [pieces.join(np.frombuffer(raw or b"", "<u4")) for raw in batch.column(ids).to_pylist()]
             columns = {n: batch.column(n) for n in batch.schema.names}
             columns["decoded"] = pa.array(out, pa.binary())

@@ -85,16 +85,18 @@ class Pretokens:
     def word(self, i: int) -> str:
         return self.joined[self.starts[i] : self.ends[i]]
 
+    def hash(self, powers: Powers, turn: int = 0) -> np.ndarray:
+        """A 64-bit hash of each pre-token."""
+        value = mix(self.codes + np.uint64(1))
+        up, down = powers.to(len(value) + 1)
+        if turn:
+            value = (value << np.uint64(turn)) | (value >> np.uint64(64 - turn))
+        sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(value * up[: len(value)], dtype=np.uint64)))
+        return mix((sums[self.ends] - sums[self.starts]) * down[self.starts] + (self.ends - self.starts).astype(np.uint64))
+
     def hashes(self, one: Powers, two: Powers) -> tuple[np.ndarray, np.ndarray]:
-        """Two independent 64-bit hashes of each pre-token."""
-        out = []
-        base = mix(self.codes + np.uint64(1))
-        for powers, turn in ((one, 0), (two, 21)):
-            up, down = powers.to(len(base) + 1)
-            value = (base << np.uint64(turn)) | (base >> np.uint64(64 - turn)) if turn else base
-            sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(value * up[: len(base)], dtype=np.uint64)))
-            out.append(mix((sums[self.ends] - sums[self.starts]) * down[self.starts] + (self.ends - self.starts).astype(np.uint64)))
-        return out[0], out[1]
+        """Two independent hashes."""
+        return self.hash(one), self.hash(two, 21)
 
 
 def hash_bases() -> tuple[Powers, Powers]:
