@@ -39,7 +39,7 @@ def row_cosine(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def has_dimension(vector: Column, dim: int) -> Column:
-    """True for a usable vector: right size, no NULL or NaN element."""
+    """True for a usable vector: right size, every element a finite number."""
     # NULL, not False, where an element is NULL: the search cannot be sure.
-    has_nan = F.array_contains(vector, F.lit(float("nan")).cast("float"))
-    return F.coalesce((F.size(vector) == dim) & ~has_nan, F.lit(False))
+    odd = [F.array_contains(vector, F.lit(x).cast("float")) for x in (float("nan"), float("inf"), float("-inf"))]
+    return F.coalesce((F.size(vector) == dim) & ~(odd[0] | odd[1] | odd[2]), F.lit(False))

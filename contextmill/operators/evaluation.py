@@ -121,7 +121,10 @@ def claim_verdicts(dataset: DataFrame, share: float = SUPPORT_SHARE) -> DataFram
 
 
 def judge_claims(dataset: DataFrame, ask: Model) -> DataFrame:
-    """Verdicts by a model that replies 1 for a supported claim and 0 otherwise."""
+    """Verdicts by a model that replies 1 for a supported claim and 0 otherwise.
+
+    A failed call or an unreadable reply is no verdict (NULL), which no metric counts.
+    """
     claims = claim_rows(dataset)
     keys = [c for c in claims.columns if c not in ("claims", "found_in")]
     each = claims.select(*keys, "found_in", F.posexplode("claims").alias("claim_id", "claim"))
@@ -130,7 +133,7 @@ def judge_claims(dataset: DataFrame, ask: Model) -> DataFrame:
         F.lit("\n\nClaim: "), F.col("claim"),
     )
     return each.select(
-        *keys, "claim_id", (parse_reply(ask(prompt), F.lit(0.0)) >= 0.5).alias("supported")
+        *keys, "claim_id", (parse_reply(ask(prompt), F.lit(None).cast("double")) >= 0.5).alias("supported")
     )
 
 
@@ -139,7 +142,11 @@ def _is(side: str, evidence: str) -> Column:
 
 
 def metric_table(verdicts: DataFrame, keys: list[str]) -> DataFrame:
-    """The three metrics per question, NULL where a question has no such claims."""
+    """The three metrics per question, NULL where a question has no such claims.
+
+    Claims without a verdict count on neither side.
+    """
+    verdicts = verdicts.withColumn("judged", F.col("supported").isNotNull())
     yes = F.col("supported")
 
     def count(condition: Column) -> Column:
@@ -147,9 +154,9 @@ def metric_table(verdicts: DataFrame, keys: list[str]) -> DataFrame:
 
     counts = verdicts.groupBy(*keys).agg(
         count(_is("reference", "contexts") & yes).alias("recalled"),
-        count(_is("reference", "contexts")).alias("reference_claims"),
+        count(_is("reference", "contexts") & F.col("judged")).alias("reference_claims"),
         count(_is("response", "contexts") & yes).alias("grounded"),
-        count(_is("response", "contexts")).alias("response_claims"),
+        count(_is("response", "contexts") & F.col("judged")).alias("response_claims"),
         count(_is("response", "reference") & yes).alias("tp"),
         count(_is("response", "reference") & ~yes).alias("fp"),
         count(_is("reference", "response") & ~yes).alias("fn"),

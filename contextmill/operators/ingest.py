@@ -28,5 +28,5 @@ def ingest(
 ) -> DataFrame:
     """Chunk every document by every chunker, embed, and recreate the collections."""
     points = embed_chunks(chunk_documents(docs, chunkers), embedder)
-    collections.recreate(points, path, dim)
+    collections.recreate(points, path, dim, chunkers)
     return collections.read_collection(docs.sparkSession, path)

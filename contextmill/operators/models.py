@@ -105,9 +105,12 @@ CONTEXTS_ONLY = "Responde usando solo este contexto:\n"
 
 
 def answer_prompt(contexts: Column, question: Column | None) -> Column:
-    """Prompt over an array of context texts; without a question, contexts alone."""
-    packed = F.array_join(contexts, "\n\n")
+    """Prompt over an array of context texts; without a question, the list of contexts alone.
+
+    The list is written as JSON, which keeps the contexts apart.
+    """
     if question is None:
-        return F.concat(F.lit(CONTEXTS_ONLY), packed)
+        return F.concat(F.lit(CONTEXTS_ONLY), F.to_json(contexts))
+    packed = F.array_join(contexts, "\n\n")
     return F.concat(F.lit("Answer from this context only.\n\nContext:\n"), packed,
                     F.lit("\n\nQuestion: "), question)

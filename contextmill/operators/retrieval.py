@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -13,150 +15,138 @@ from pyspark.sql import types as T
 from contextmill.functions.text import preview
 from contextmill.functions.vectors import matrix, norms, row_cosine
 from contextmill.operators.relevance import filter_by_relevance, judge
-from contextmill.session import work_folder
+from contextmill.session import materialise
 
-QUESTION_BLOCK_BYTES = 64 << 20
-QUESTION_BLOCK_ROWS = 16384
-BROADCAST_BYTES = 64 << 20
 OVERFETCH = 3
 # A question's rows from all tasks are ranked in this many parts first.
 SALTS = 64
+# Bytes of vectors in one packed row of questions or of the corpus.
+QUESTION_BYTES, TILE_BYTES = 1 << 20, 4 << 20
 
-# Pairs of (chunk, question) scored at a time, vector elements re-scored at a time,
-# and survivors gathered before they are merged.
+# Pairs of (chunk, question) scored at a time and vector elements re-scored at a time.
 _TILE_PAIRS = 1 << 22
 _EXACT_ELEMENTS = 1 << 21
-_MERGE_PAIRS = 1 << 14
 
 
-class _Best:
-    """The k best chunks per question seen so far in one partition.
+def _packed(rows: DataFrame, name: str, dim: int, size: int) -> DataFrame:
+    """Runs of rows as one row each: ``{name}_ids`` and ``{name}_vectors``, at most ``size`` bytes.
 
-    Survivors are gathered and merged together, so a merge costs little per pair.
+    ``{name}_run`` tells the runs apart.
     """
+    from pyspark.sql.pandas.types import to_arrow_schema
 
-    def __init__(self, n_questions: int, k: int):
-        self.k = k
-        self.parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-        self.waiting = 0
-        self.floor = np.full(n_questions, -np.inf)
-
-    def add(self, question: np.ndarray, sim: np.ndarray, ids: np.ndarray) -> None:
-        self.parts.append((question, sim, ids))
-        self.waiting += len(question)
-        if self.waiting >= max(_MERGE_PAIRS, self.k * len(self.floor)):
-            self.merge()
-
-    def merge(self) -> tuple[np.ndarray, np.ndarray, np.ndarray] | None:
-        if not self.parts:
-            return None
-        question, sim, ids = (np.concatenate(column) for column in zip(*self.parts))
-        order = np.lexsort((ids, -sim, question))
-        question, sim, ids = question[order], sim[order], ids[order]
-        starts = np.flatnonzero(np.r_[True, question[1:] != question[:-1]])
-        sizes = np.diff(np.r_[starts, len(question)])
-        place = np.arange(len(question)) - np.repeat(starts, sizes)
-        last = place == self.k - 1
-        self.floor[question[last]] = sim[last]
-        keep = place < self.k
-        self.parts, self.waiting = [(question[keep], sim[keep], ids[keep])], 0
-        return self.parts[0]
-
-
-def _partition_top_k(
-    question_matrix, question_ids: pa.Array, k: int, dim: int, schema: pa.Schema
-) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Top k per question within one partition.
-
-    Single-precision products find the candidates. The margin covers the largest
-    possible rounding error, so no true member is lost; survivors are scored again
-    in double precision, independent of batch and tile sizes.
-    """
-    margin = np.float32(2 * (dim + 8) * 2.0**-24 + 2e-9)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        questions = question_matrix.value
-        n_questions = len(questions)
-        if n_questions == 0:
-            return
-        length = norms(questions.astype(np.float64))[:, None]
-        unit = np.divide(questions, length, out=np.zeros_like(questions, dtype=np.float64), where=length > 0)
-        unit_t = np.ascontiguousarray(unit.astype(np.float32).T)
-        best = _Best(n_questions, k)
-        step = max(1, _TILE_PAIRS // n_questions)
-        exact = max(1, _EXACT_ELEMENTS // dim)
+    out = T.StructType([
+        T.StructField(f"{name}_ids", T.ArrayType(rows.schema[0].dataType)),
+        T.StructField(f"{name}_vectors", T.BinaryType()),
+        T.StructField(f"{name}_run", T.StringType()),
+    ])
+    arrow = to_arrow_schema(out)
+    most = max(1, size // (8 * max(1, dim)))
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        names = (f"{TaskContext.get().partitionId()}-{n}" for n in count())
+
+        def run(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
+            table = pa.Table.from_batches(parts).combine_chunks()
+            ids, vectors = (c.combine_chunks() for c in table.columns)
+            values = np.ascontiguousarray(matrix(vectors, dim), np.float64)
+            lists = pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), ids)
+            columns = [lists.cast(arrow.field(0).type), pa.array([values.tobytes()], pa.binary()), pa.array([next(names)])]
+            return pa.RecordBatch.from_arrays(columns, schema=arrow)
 
         for batch in batches:
-            ids = batch.column(0).to_numpy(zero_copy_only=False)
-            if ids.dtype == object:
-                ids = ids.astype(str)
-            rows = matrix(batch.column(1), dim).astype(np.float32, copy=False)
-            for start in range(0, len(rows), step):
-                tile, tile_ids = rows[start : start + step], ids[start : start + step]
-                wide = tile.astype(np.float64)
-                size = norms(wide)[:, None]
-                scaled = np.divide(wide, size, out=np.zeros_like(wide), where=size > 0).astype(np.float32)
-                sims = scaled @ unit_t
-                hits = np.flatnonzero(sims >= (best.floor - margin).astype(np.float32))
-                if len(hits) > 4 * k * n_questions and len(tile) > k:
-                    # Early on the floor is low: raise it to the tile's own k-th best.
-                    at = len(tile) - k
-                    floor = np.maximum(best.floor, np.partition(sims, at, axis=0)[at])
-                    hits = np.flatnonzero(sims >= (floor - margin).astype(np.float32))
-                hit_row, hit_question = np.divmod(hits, n_questions)
-                for s in range(0, len(hit_row), exact):
-                    r, q = hit_row[s : s + exact], hit_question[s : s + exact]
-                    best.add(q, row_cosine(wide[r], questions[q]), tile_ids[r])
-
-        merged = best.merge()
-        if merged is not None:
-            question, sim, found = merged
-            columns = [
-                question_ids.take(pa.array(question)),
-                pa.array(found.tolist(), type=schema.field(1).type),
-                pa.array(sim),
-            ]
-            yield pa.RecordBatch.from_arrays(columns, schema=schema)
+            at = 0
+            while at < batch.num_rows:
+                part = batch.slice(at, most - sum(b.num_rows for b in held))
+                held.append(part)
+                at += part.num_rows
+                if sum(b.num_rows for b in held) == most:
+                    yield run(held)
+                    held = []
+        if held:
+            yield run(held)
 
-    return run
+    return rows.mapInArrow(pack, out)
 
 
-def _block_top_k(block: pa.Table, corpus: DataFrame, k: int, dim: int, out: T.StructType):
-    from pyspark.sql.pandas.types import to_arrow_schema
+def _units(rows: np.ndarray) -> np.ndarray:
+    size = norms(rows)[:, None]
+    return np.divide(rows, size, out=np.zeros_like(rows), where=size > 0).astype(np.float32)
+
+
+def _search(k: int, dim: int, schema: pa.Schema):
+    """Top k of each tile for each question of a block, less what earlier tiles rule out.
+
+    Single-precision products find the candidates. The margin covers the largest possible
+    rounding error, so no true member is lost; survivors are scored again in double precision,
+    independent of batch and tile sizes. A task remembers, per question, the best k-th
+    similarity of any of its tiles so far: nothing below it can be among the best k.
+    """
+    margin = np.float32(2 * (dim + 8) * 2.0**-24 + 2e-9)
+
+    def run(pairs: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        floors: dict[str, np.ndarray] = {}
+        for batch in pairs:
+            for i in range(batch.num_rows):
+                ids, question_ids = (batch.column(c)[i].values for c in ("chunk_ids", "query_ids"))
+                wide, questions = (
+                    np.frombuffer(batch.column(c)[i].as_py(), np.float64).reshape(-1, dim)
+                    for c in ("chunk_vectors", "query_vectors"))
+                block = batch.column("query_run")[i].as_py()
+                floor = floors.get(block, np.full(len(questions), -np.inf))
+                unit_t = np.ascontiguousarray(_units(questions).T)
+                found = []
+                step = max(k + 1, _TILE_PAIRS // len(questions))
+                for start in range(0, len(wide), step):
+                    tile = wide[start : start + step]
+                    sims = _units(tile) @ unit_t
+                    hits = np.flatnonzero(sims >= (floor - margin).astype(np.float32))
+                    if len(hits) > 4 * k * len(questions) and len(tile) > k:
+                        # The floor is low: raise it to the tile's own k-th best, less what rounding may have added.
+                        at = len(tile) - k
+                        floor = np.maximum(floor, np.partition(sims, at, axis=0)[at] - margin)
+                        hits = np.flatnonzero(sims >= (floor - margin).astype(np.float32))
+                    row, question = np.divmod(hits, len(questions))
+                    found.append((row + start, question))
+                floors[block] = floor
+                row, question = (np.concatenate(x) for x in zip(*found))
+                exact = max(1, _EXACT_ELEMENTS // max(1, dim))
+                sim = np.concatenate([np.zeros(0), *(
+                    row_cosine(wide[row[s : s + exact]], questions[question[s : s + exact]])
+                    for s in range(0, len(row), exact))])
+                yield pa.RecordBatch.from_arrays(
+                    [question_ids.take(pa.array(question)), ids.take(pa.array(row)), pa.array(sim)], schema=schema)
 
-    table = block.combine_chunks()
-    vectors = table.column(1).combine_chunks() if table.num_rows else pa.array([], pa.list_(pa.float32()))
-    ids = table.column(0).combine_chunks() if table.num_rows else pa.array([], table.schema.field(0).type)
-    held = corpus.sparkSession.sparkContext.broadcast(np.array(matrix(vectors, dim)))
-    run = _partition_top_k(held, ids, k, dim, to_arrow_schema(out))
-    return corpus.mapInArrow(run, out), held
+    return run
 
 
 def knn(questions: DataFrame, corpus: DataFrame, k: int, dim: int,
-        block_bytes: int = QUESTION_BLOCK_BYTES) -> DataFrame:
+        question_bytes: int = QUESTION_BYTES, tile_bytes: int = TILE_BYTES) -> DataFrame:
     """The k most similar chunks of every question, best first, ties by chunk id.
 
     ``questions(query_id, embedding)`` and ``corpus(chunk_id, embedding)`` give
-    ``(query_id, chunk_id, sim, rank)``. The corpus is never shuffled: each task
-    holds one block of question vectors, of checked size, and sends on at most k rows
-    per question. A larger question table takes one pass over
-    the corpus per block, each written out before the next block is read.
+    ``(query_id, chunk_id, sim, rank)``, written once. Tasks pack questions into blocks of
+    checked size and write them; a task of the search packs its part of the corpus into tiles
+    and passes all blocks by them. The corpus is read once and never shuffled, and neither
+    questions nor vectors go through the driver unless Spark finds the blocks small enough to
+    broadcast. Repeated ids are rows of their own.
     """
+    from pyspark.sql.pandas.types import to_arrow_schema
+
     questions = questions.select("query_id", "embedding")
     corpus = corpus.select("chunk_id", "embedding")
     out = T.StructType(
         [questions.schema["query_id"], corpus.schema["chunk_id"], T.StructField("sim", T.DoubleType())]
     )
-    rows = max(1, min(QUESTION_BLOCK_ROWS, block_bytes // (8 * dim)))
-    probe = questions.limit(rows + 1).toArrow()
-    if probe.num_rows <= rows:
-        partial, _ = _block_top_k(probe, corpus, k, dim, out)
-    else:
-        partial = _many_blocks(questions, corpus, k, dim, out, rows)
+    blocks = materialise(_packed(questions, "query", dim, question_bytes), "question-blocks")
+    # All blocks are one partition on their side, so each part of the corpus is made once.
+    pairs = _packed(corpus, "chunk", dim, tile_bytes).crossJoin(blocks.coalesce(1))
+    partial = pairs.mapInArrow(_search(k, dim, to_arrow_schema(out)), out)
 
     by_salt = Window.partitionBy("query_id", "salt").orderBy(F.desc("sim"), "chunk_id")
     by_query = Window.partitionBy("query_id").orderBy(F.desc("sim"), "chunk_id")
-    return (
+    ranked = (
         partial.withColumn("salt", F.pmod(F.xxhash64("chunk_id"), F.lit(SALTS)))
         .withColumn("rank", F.row_number().over(by_salt))
         .filter(F.col("rank") <= k)
@@ -164,42 +154,18 @@ def knn(questions: DataFrame, corpus: DataFrame, k: int, dim: int,
         .withColumn("rank", F.row_number().over(by_query))
         .filter(F.col("rank") <= k)
     )
+    return materialise(ranked, "hits")
 
 
-def _many_blocks(questions: DataFrame, corpus: DataFrame, k: int, dim: int,
-                 out: T.StructType, rows: int) -> DataFrame:
-    spark = questions.sparkSession
-    n_blocks = max(2, -(-questions.count() * 5 // (rows * 4)))
-    path = work_folder(spark, "knn")
-    block_of = F.pmod(F.xxhash64("query_id"), F.lit(n_blocks))
-    for number in range(n_blocks):
-        block = questions.filter(block_of == number).limit(2 * rows + 1).toArrow()
-        if block.num_rows > 2 * rows:
-            raise ValueError("question ids are not unique enough to split into blocks")
-        partial, held = _block_top_k(block, corpus, k, dim, out)
-        partial.write.mode("append").parquet(path)
-        held.destroy()
-    return spark.read.schema(out).parquet(path)
-
-
-def hit_bound(questions: DataFrame, k: int, row_bytes: int = 128) -> int | None:
-    """The most hits the questions can have, or None above what is broadcast."""
-    most = BROADCAST_BYTES // (row_bytes * k)
-    found = questions.select("query_id").limit(most + 1).count()
-    return found * k if found <= most else None
-
-
-def attach(hits: DataFrame, payload: DataFrame, max_hits: int | None = None) -> DataFrame:
+def attach(hits: DataFrame, payload: DataFrame) -> DataFrame:
     """Add payload columns, such as the text, to ranked hits by ``chunk_id``.
 
-    Only the winners' payload is moved. ``max_hits`` is a proven bound on the number
-    of hits, from ``hit_bound``; with one, the payload is filtered where it is read.
+    The payload is cut down to the winners where it is read if Spark finds their ids small
+    enough to broadcast, which it knows since hits are a written table; larger ones meet the
+    payload in a shuffle.
     """
     wanted = hits.select("chunk_id").distinct()
-    if max_hits is not None:
-        wanted = F.broadcast(wanted)
-    found = payload.join(wanted, "chunk_id", "left_semi")
-    return hits.join(found, "chunk_id", "left")
+    return hits.join(payload.join(wanted, "chunk_id", "left_semi"), "chunk_id", "left")
 
 
 def retrieve(
@@ -219,7 +185,7 @@ def retrieve(
         return knn(questions, corpus, k, dim).withColumn("position", F.col("rank"))
     if score is None:
         raise ValueError("filtering needs a score function")
-    scored = score(knn(questions, corpus, OVERFETCH * k, dim))
+    scored = materialise(score(knn(questions, corpus, OVERFETCH * k, dim)), "scores")
     return filter_by_relevance(scored, min_chunks=k).filter(F.col("position") <= k)
 
 
@@ -230,7 +196,7 @@ def retrieve_both(
 
     The first k of 3k neighbours are the k neighbours, so one search serves both.
     """
-    judged = judge(score(knn(questions, corpus, OVERFETCH * k, dim)), min_chunks=k)
+    judged = judge(materialise(score(knn(questions, corpus, OVERFETCH * k, dim)), "scores"), min_chunks=k)
     places = F.array(
         F.struct(F.lit("baseline").alias("mode"), F.col("rank").alias("position")),
         F.struct(F.lit("filtered").alias("mode"), F.col("position")),

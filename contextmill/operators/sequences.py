@@ -16,6 +16,7 @@ from pyspark.sql import types as T
 
 from contextmill.functions.vectors import matrix
 from contextmill.operators.chunking import SEMANTIC_THRESHOLD, SEMANTIC_WINDOW, trailing_similarity
+from contextmill.session import materialise
 
 BLOCK = 16384
 
@@ -31,22 +32,26 @@ def _before(blocks: DataFrame, keys: list[str], value: str, out: str) -> DataFra
     return blocks.withColumn(out, F.coalesce(F.sum(value).over(earlier), F.lit(0)))
 
 
-def numbered(df: DataFrame, keys: list[str], order: str, out: str, width: int = BLOCK) -> DataFrame:
-    """Number the rows of each group from 0 by a unique integer column.
+def numbered(df: DataFrame, keys: list[str], order: str, out: str) -> DataFrame:
+    """Number the rows of each group from 0 by a column of any ordered type.
 
-    Counts per block are pre-aggregated and summed up, then rows are numbered
-    within their block, so the sort never holds a whole group.
+    Rows are sorted by group and order over all partitions and written; a row's place there,
+    less its group's first place, is its number. Partition sizes and first places are
+    aggregates, so no task holds a group. Equal order values are numbered as they come.
     """
-    with_block = df.withColumn("block", _block(order, width))
-    counts = with_block.groupBy(*keys, "block").agg(F.count(F.lit(1)).alias("n"))
-    offsets = _before(counts, keys, "n", "offset").drop("n")
-    in_block = Window.partitionBy(*keys, "block").orderBy(order)
-    return (
-        with_block.withColumn(out, F.row_number().over(in_block) - 1)
-        .join(offsets, [*keys, "block"])
-        .withColumn(out, (F.col(out) + F.col("offset")).cast("long"))
-        .drop("block", "offset")
-    )
+    ranged = df.repartitionByRange(*keys, order).sortWithinPartitions(*keys, order)
+    placed = materialise(ranged.withColumn("__at", F.monotonically_increasing_id()), "numbered")
+    part, within = F.shiftright("__at", 33), F.col("__at").bitwiseAND((1 << 33) - 1)
+    sizes = dict(placed.groupBy(part.alias("part")).count().collect())  # one row per partition
+    before, total = [], 0
+    for p in range(max(sizes, default=-1) + 1):
+        before.append(total)
+        total += sizes.get(p, 0)
+    first = F.from_json(F.lit(str(before)), "array<bigint>")
+    placed = placed.withColumn("__at", F.element_at(first, (part + 1).cast("int")) + within)
+    groups = placed.groupBy(*[F.col(k).alias(f"__{k}") for k in keys]).agg(F.min("__at").alias("__first"))
+    same = [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in keys]
+    return placed.join(groups, same).select(*df.columns, (F.col("__at") - F.col("__first")).alias(out))
 
 
 def sentence_similarity(

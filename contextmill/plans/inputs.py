@@ -4,14 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from contextmill.operators import chunking
 from contextmill.operators.evaluation import offline_replies
 from contextmill.operators.models import hashed_embedder
 from contextmill.operators.relevance import score_replies
-from contextmill.operators.retrieval import OVERFETCH, attach, hit_bound
+from contextmill.operators.retrieval import attach
 from contextmill.session import materialise
 from contextmill.sources.corpus import assemble_pages, read_table, scan_documents
 
@@ -21,17 +21,8 @@ TOP = 5
 OFFLINE_THRESHOLD = 0.4
 
 
-def spread(df: DataFrame, key: str = "doc_id") -> DataFrame:
-    """Share out a small input that arrives in fewer splits than there are cores.
-
-    A large input has more splits than cores and is left as it is.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
-
-
 def documents(spark: SparkSession, folder: str) -> DataFrame:
-    return spread(scan_documents(read_table(spark, folder, "documents")))
+    return scan_documents(read_table(spark, folder, "documents"))
 
 
 def conversation_pages(spark: SparkSession, folder: str) -> DataFrame:
@@ -64,13 +55,12 @@ def vector_replies(spark: SparkSession, folder: str) -> Callable[[DataFrame], Da
     read label 0."""
     labels = vector_corpus(spark, folder).select("chunk_id", "label")
     questions = vector_questions(spark, folder).select("query_id", "question_label")
-    most = hit_bound(questions, OVERFETCH * TOP)
 
     def replies(hits: DataFrame) -> DataFrame:
         base = (1 + F.col("sim")) / 2
         critic = F.pmod(F.col("chunk_id") * 37, F.lit(101)) / F.lit(100.0)
         return (
-            attach(hits, labels, most)
+            attach(hits, labels)
             .join(questions, "query_id")
             .withColumn("base_reply", base.cast("string"))
             .withColumn("reflect_reply", F.when(F.col("label") != F.col("question_label"), (base * base).cast("string")))
@@ -98,7 +88,7 @@ def event_replies(spark: SparkSession, folder: str) -> DataFrame:
         .when(kind == "purchase", F.concat(F.lit("-"), value))
         .when(kind == "signup", F.concat(value, F.lit("d")))
     )
-    events = spread(read_table(spark, folder, "events"), "event_id")
+    events = read_table(spark, folder, "events")
     return events.select("event_id", "user_id", "event_type", "value", reply.alias("reply"))
 
 
@@ -121,22 +111,24 @@ def event_scores(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def text_questions(spark: SparkSession, folder: str) -> DataFrame:
-    """The first user turn of each conversation is a question; the assistant's turns
-    are its answer."""
-    turns = conversation_pages(spark, folder)
-    asked = turns.filter("role = 'user'").groupBy("doc_id").agg(F.min_by("text", "page_no").alias("user_input"))
-    answered = assemble_pages(turns.filter("role = 'assistant'")).select("doc_id", F.col("text").alias("response"))
-    return asked.join(answered, "doc_id", "left").select(
-        F.col("doc_id").alias("query_id"), "user_input", F.coalesce("response", F.lit("")).alias("response")
-    )
+    """Every user turn is a question; the assistant's turns up to the next one answer it."""
+    so_far = Window.partitionBy("doc_id").orderBy("page_no").rowsBetween(Window.unboundedPreceding, 0)
+    asks = (F.col("role") == "user").cast("int")
+    turns = conversation_pages(spark, folder).withColumn("asked", F.sum(asks).over(so_far))
+    opening = F.max(F.when(F.col("role") == "user", F.col("page_no"))).over(so_far)
+    turns = turns.withColumn("query_id", F.concat_ws("-", "doc_id", opening)).filter("asked > 0")
+    asked = turns.filter("role = 'user'").select("query_id", F.col("doc_id").alias("conv_id"), F.col("text").alias("user_input"))
+    said = turns.filter("role = 'assistant'").select(F.col("query_id").alias("doc_id"), "page_no", "text")
+    answered = assemble_pages(said).select(F.col("doc_id").alias("query_id"), F.col("text").alias("response"))
+    return asked.join(answered, "query_id", "left").withColumn("response", F.coalesce("response", F.lit("")))
 
 
 def references(spark: SparkSession, folder: str) -> DataFrame:
-    """Known answers: the document of a question's id, where it is labelled good."""
-    good = read_table(spark, folder, "labels").filter("quality = 1").select("doc_id")
-    texts = read_table(spark, folder, "documents").select("doc_id", F.col("text").alias("reference"))
-    asked = text_questions(spark, folder).select(F.col("query_id").alias("doc_id"), "user_input")
-    return asked.join(texts, "doc_id").join(good, "doc_id", "left_semi").select("user_input", "reference")
+    """Known answers: the document with the conversation's id, where it is labelled."""
+    labelled = read_table(spark, folder, "labels").select(F.col("doc_id").alias("conv_id"))
+    texts = read_table(spark, folder, "documents").select(F.col("doc_id").alias("conv_id"), F.col("text").alias("reference"))
+    asked = text_questions(spark, folder).select("conv_id", "user_input")
+    return asked.join(texts, "conv_id").join(labelled, "conv_id", "left_semi").select("user_input", "reference")
 
 
 def embedded(questions: DataFrame) -> DataFrame:

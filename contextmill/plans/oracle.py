@@ -8,15 +8,18 @@ from __future__ import annotations
 
 import re
 
-from contextmill.functions import text as tx
-from contextmill.operators import chunking, evaluation
-from contextmill.plans.inputs import DIM, OFFLINE_THRESHOLD, TOP
-
-_CAP_RECURSIVE = chunking.RECURSIVE_CHARS
-_CAP_SEMANTIC = chunking.SEMANTIC_CHARS
-_CANDIDATES = 3 * TOP
-
-_STRIP = "||".join(f"chr({ord(c)})" for c in tx.STRIP_CHARS)
+# Stated here anew, not taken from the engine, so that a changed value there shows.
+DIM, TOP, OFFLINE_THRESHOLD = 64, 5, 0.4
+_CAP_RECURSIVE, _CAP_SEMANTIC, _CANDIDATES = 2048, 500, 15
+_WINDOW_TOKENS, _WINDOW_OVERLAP, _SHARE = 512, 50, 0.5
+_PARAGRAPH, _LINE = r"(?s).+?(?:\n\n+|\z)", r"(?s).+?(?:\n+|\z)"
+_SENTENCE = r"(?s).+?(?:[.!?]+[ \n\t\r]+|\n+|\z)"
+_SPLIT_WORD = r"(?s).+?(?:[ \n\t\r]+|\z)"
+_TOKEN, _SPACED_TOKEN = r"[^ \n\t\r]+", r"[^ \n\t\r]+[ \n\t\r]*"
+
+# The code points that count as white space around a text.
+_BLANK = [9, 10, 11, 12, 13, 28, 29, 30, 31, 32, 133, 160, 5760, *range(8192, 8203), 8232, 8233, 8239, 8287, 12288]
+_STRIP = "||".join(f"chr({c})" for c in _BLANK)
 _WORD = r"[\p{L}\p{N}]+"
 _NUMBER = r"(?i)[+-]?((\d+(\.\d*)?|\.\d+)(e[+-]?\d+)?|inf(inity)?|nan)"
 
@@ -38,7 +41,7 @@ def _word_set(text: str) -> str:
 
 
 def _tokens(text: str) -> str:
-    return f"len({_pieces(text, tx.WHITESPACE_TOKEN)})"
+    return f"len({_pieces(text, _TOKEN)})"
 
 
 def _parse(reply: str, fallback: str) -> str:
@@ -49,7 +52,7 @@ def _parse(reply: str, fallback: str) -> str:
 def _split_steps(cap: int) -> dict[str, str]:
     """One table per separator level; ``path`` orders the pieces of a document."""
     steps = {"level0": "select doc_id, source, text as piece, []::bigint[] as path from docs"}
-    patterns = (tx.PARAGRAPH, tx.LINE, tx.SENTENCE, tx.WORD)
+    patterns = (_PARAGRAPH, _LINE, _SENTENCE, _SPLIT_WORD)
     cut = f"list_transform(range(0, (length(piece) + {cap - 1}) // {cap}), lambda i: substr(piece, i * {cap} + 1, {cap}))"
     for level, split in enumerate([*(_pieces("piece", p) for p in patterns), cut], 1):
         steps[f"level{level}"] = f"""
@@ -129,7 +132,7 @@ _STEPS: dict[str, str] = {
     "docs": f"select doc_id, source, {_strip('text')} as text from documents where length({_strip('text')}) > 0",
     "sents": f"""
     select doc_id, source, unnest(ss) as sentence, generate_subscripts(ss, 1) - 1 as position
-    from (select doc_id, source, {_pieces('text', tx.SENTENCE)} as ss from docs)""",
+    from (select doc_id, source, {_pieces('text', _SENTENCE)} as ss from docs)""",
     **_split_steps(_CAP_RECURSIVE),
     "recursive_parts": f"""
     select doc_id, source, unnest(pieces) as piece, unnest(ids) as chunk_index, generate_subscripts(pieces, 1) as pos
@@ -166,22 +169,22 @@ _STEPS: dict[str, str] = {
     from semantic_parts group by doc_id, source, chunk_index"""),
     "overlap": _chunk_rows("overlap", f"""
     select doc_id, source, i as chunk_index,
-           {_strip(f"array_to_string(tokens[i * 462 + 1 : i * 462 + {chunking.WINDOW_TOKENS}], '')")} as text
+           {_strip(f"array_to_string(tokens[i * 462 + 1 : i * 462 + {_WINDOW_TOKENS}], '')")} as text
     from (select *, unnest(range(0, 1 + greatest(len(tokens) - 51, 0) // 462)) as i
-          from (select doc_id, source, {_pieces('text', tx.SPACED_TOKEN)} as tokens from docs)
+          from (select doc_id, source, {_pieces('text', _SPACED_TOKEN)} as tokens from docs)
           where len(tokens) > 0)"""),
     "sized": f"""
     select *, sum(size) over w as upto, sum(size) over w - size as before
     from (select *, {_tokens('sentence')}::bigint as size from sents) window w as (partition by doc_id order by position)""",
     "span_ends": f"""
     select f.doc_id, f.position as first, f.before,
-           greatest(f.position, max(e.position) filter (e.upto <= f.before + {chunking.WINDOW_TOKENS})) as last
+           greatest(f.position, max(e.position) filter (e.upto <= f.before + {_WINDOW_TOKENS})) as last
     from sized f join sized e on e.doc_id = f.doc_id and e.position >= f.position
     group by f.doc_id, f.position, f.before""",
     "span_next": f"""
     select s.doc_id, s.first, s.last, case when max(n.position) is not null then
            coalesce(min(b.position) filter (l.upto - b.before <=
-               least({chunking.WINDOW_OVERLAP}, {chunking.WINDOW_TOKENS} - n.size)), s.last + 1) end as next_first
+               least({_WINDOW_OVERLAP}, {_WINDOW_TOKENS} - n.size)), s.last + 1) end as next_first
     from span_ends s join sized l on l.doc_id = s.doc_id and l.position = s.last
     left join sized n on n.doc_id = s.doc_id and n.position = s.last + 1
     left join sized b on b.doc_id = s.doc_id and b.position > s.first and b.position <= s.last
@@ -240,18 +243,22 @@ _STEPS: dict[str, str] = {
                case when var < 0.01 then mean + std else mean end)), 12) as threshold from estats) t using (query_id)
           group by e.query_id) p using (query_id)""",
     # text retrieval and evaluation
+    "turns": """
+    select *, sum(case role when 'user' then 1 else 0 end) over (partition by conv_id order by turn) as g
+    from conversations""",
     "asked": """
-    select conv_id as query_id, arg_min(text, turn) as user_input
-    from conversations where role = 'user' group by conv_id""",
+    select conv_id::varchar || '-' || turn::varchar as query_id, conv_id, g, text as user_input
+    from turns where role = 'user'""",
     "answered": f"""
-    select conv_id as query_id, {_strip("string_agg(text, chr(10) order by turn)")} as response
-    from conversations where role = 'assistant' and length(text) > 0 group by conv_id""",
+    select a.query_id, {_strip("string_agg(t.text, chr(10) order by t.turn)")} as response
+    from turns t join asked a using (conv_id, g)
+    where t.role = 'assistant' and length(t.text) > 0 group by a.query_id""",
     "tq": """
-    select query_id, user_input, coalesce(response, '') as response
+    select query_id, conv_id, user_input, coalesce(response, '') as response
     from asked left join answered using (query_id)""",
     "known": """
-    select user_input, max(text) as reference from tq join documents on query_id = doc_id
-    where doc_id in (select doc_id from labels where quality = 1) group by user_input""",
+    select user_input, max(text) as reference from tq join documents on conv_id = doc_id
+    where doc_id in (select doc_id from labels) group by user_input""",
     "qvec": _vectors("asked", "query_id", "user_input"),
 }
 
@@ -299,7 +306,6 @@ for _points in ("recursive", "semantic"):
 
 def _verdict_steps(data: str) -> dict[str, str]:
     d = data
-    share = evaluation.SUPPORT_SHARE
     return {
         f"{d}_cases": f"""
     select chunker, mode, query_id, 'response' as side, 'contexts' as evidence, response as claims_of,
@@ -312,10 +318,10 @@ def _verdict_steps(data: str) -> dict[str, str]:
     select chunker, mode, query_id, side, evidence, unnest(flags) as supported,
            generate_subscripts(flags, 1) - 1 as claim_id
     from (
-      select *, list_transform(claims, lambda c: len(list_intersect({_word_set("c")}, known)) >= {share} * len({_word_set("c")})) as flags
+      select *, list_transform(claims, lambda c: len(list_intersect({_word_set("c")}, known)) >= {_SHARE} * len({_word_set("c")})) as flags
       from (
         select *, {_word_set("found_in")} as known,
-               list_filter({_pieces("claims_of", tx.SENTENCE)}, lambda c: len({_words("c")}) > 0) as claims
+               list_filter({_pieces("claims_of", _SENTENCE)}, lambda c: len({_words("c")}) > 0) as claims
         from {d}_cases))""",
         f"{d}_counts": f"""
     select chunker, mode, query_id,
@@ -381,7 +387,6 @@ _INTEGERS = {
     "chunk_ids": "chunk_index",
     "embed_join": "n_chars dim",
     "vector_validation": "min_dim max_dim",
-    "collection_write": "n_chars",
     "knn_topk": "rank",
     "retrieve_baseline": "position",
     "retrieve_filtered": "position",
@@ -389,6 +394,7 @@ _INTEGERS = {
     "retrieval_diff": "baseline_position filtered_position n_chars",
     "score_base": "rank",
     "score_chain": "rank",
+    "score_model_chain": "rank",
     "filter_fallback": "position",
     "retrieve_text": "position",
     "answer_prompts": "n_chars",
@@ -407,6 +413,46 @@ def _typed(name: str, select: str) -> str:
 
 _CHUNK_COLUMNS = "select doc_id, source, chunk_index, text from {}"
 
+
+
+def _stored(chunks: str) -> str:
+    weighted = f"list_sum(list_transform(range(1, {DIM} + 1), lambda i: v.embedding[i] * i))"
+    return f"""
+    select c.chunk_id, chunker, source, n_chars::integer as n_chars, {DIM} as dim, md5(c.text) as text_md5,
+           round({weighted}, 3) as vector_sum
+    from {chunks} c join {chunks}_vec v on v.chunk_id = c.chunk_id"""
+
+
+def _reply(prompt: str) -> str:
+    number = f"('0x' || substr(md5({prompt}), 1, 4))::int"
+    return (f"case when {number} % 11 = 0 then 'no idea' when {number} % 13 <> 0 "
+            f"then (({number} % 100 + 1) / 128.0::double)::varchar end")
+
+
+def _report_metric(name: str, description: str, interpretation: str) -> str:
+    mean = f"round(max(mean) filter (metric = '{name}'), 9)"
+    return (f"{mean} as {name}, {mean} as raw_{name}, '{description}' as {name}_description, "
+            f"'{interpretation}' as {name}_interpretation")
+
+
+_END = "chr(10) || chr(10)"
+_STEPS["prompted1"] = f"""
+    select *, 'How relevant is this passage to the question?' || {_END} || 'Passage: ' || text || {_END} || 'Question: '
+           || user_input || {_END} || 'Reply with one number from 0 (irrelevant) to 1 (fully relevant) and nothing else.' as p1
+    from overlap_cand where rank <= {TOP}"""
+_STEPS["prompted2"] = f"""
+    select *, 'You rated this passage ' || base::varchar || ' for relevance to the question. Reconsider and correct '
+           || 'the rating if needed.' || {_END} || 'Passage: ' || text || {_END} || 'Question: ' || user_input || {_END}
+           || 'Reply with the final number from 0 to 1 and nothing else.' as p2
+    from (select *, {_parse("r1", "0.5::double")} as base from (select *, {_reply("p1")} as r1 from prompted1))"""
+_STEPS["prompted3"] = f"""
+    select *, 'A reviewer rated this passage ' || reflect::varchar || '. Judge strictly whether it really helps to '
+           || 'answer the question.' || {_END} || 'Passage: ' || text || {_END} || 'Question: ' || user_input || {_END}
+           || 'Reply with your own number from 0 to 1 and nothing else.' as p3
+    from (select *, {_parse("r2", "base")} as reflect from (select *, {_reply("p2")} as r2 from prompted2))"""
+_STEPS["prompted"] = f"""
+    select *, {_parse("r3", "reflect")} as critic from (select *, {_reply("p3")} as r3 from prompted3)"""
+
 ORACLE: dict[str, str] = {
     name: _sql(_typed(name, select))
     for name, select in {
@@ -455,8 +501,9 @@ ORACLE: dict[str, str] = {
                     from embeddings window w as (partition by label order by vec_id)))))
             group by doc_id, segment""",
         "embed_join": """
-            select doc_id, source, length(text) as n_chars, len(embedding) as dim, label
-            from docs join embeddings on doc_id = vec_id""",
+            select doc_id, source, length(text) as n_chars, len(embedding) as dim, label,
+                   embedding is not null as has_vector
+            from docs left join embeddings on doc_id = vec_id""",
         "embed_chunks_offline": """
             select chunk_id, list_sum(embedding)::bigint as words,
                    len(list_filter(embedding, lambda x: x > 0)) as buckets from overlap_vec""",
@@ -464,7 +511,8 @@ ORACLE: dict[str, str] = {
             select label, count(*) as vectors, count(*) filter (len(embedding) = {DIM}
                    and len(list_filter(embedding, lambda x: x is null or isnan(x))) = 0) as valid,
                    min(len(embedding)) as min_dim, max(len(embedding)) as max_dim from embeddings group by label""",
-        "collection_write": f"select chunk_id, chunker, source, n_chars, {DIM} as dim from chunks",
+        "collection_write": " union all ".join(_stored(c) for c in ("recursive", "semantic")),
+        "collection_append": _stored("overlap"),
         "knn_topk": "select query_id, chunk_id, sim, rank from vhits where rank <= 10",
         "retrieve_baseline": f"""
             select query_id, rank as position, chunk_id, sim, d.text
@@ -513,6 +561,11 @@ ORACLE: dict[str, str] = {
               select query_id, 'Answer from this context only.' || chr(10) || chr(10) || 'Context:' || chr(10)
                      || array_to_string(contexts, chr(10) || chr(10)) || chr(10) || chr(10) || 'Question: '
                      || user_input as prompt from overlap_base)""",
+        "stage_prompts": """
+            select query_id, chunk_id, md5(p1) as base_md5, md5(p2) as reflect_md5, md5(p3) as critic_md5 from prompted""",
+        "score_model_chain": f"""
+            select query_id, chunk_id, rank, base, reflect, critic, {_final("base", "reflect", "critic")} as final
+            from prompted""",
         "ground_truth_join": """
             select query_id, user_input, coalesce(reference, '') as reference
             from tq left join known using (user_input)""",
@@ -520,6 +573,7 @@ ORACLE: dict[str, str] = {
             select query_id, user_input, array_to_string(contexts, chr(10) || chr(10)) as retrieved_contexts,
                    response, reference from overlap_base""",
         "claim_verdicts": "select query_id, side, evidence, claim_id, supported from overlap_base_verdicts",
+        "metric_table": "select query_id, context_recall, faithfulness, factual_correctness from overlap_base_metrics",
         "metric_context_recall": "select query_id, context_recall from overlap_base_metrics",
         "metric_faithfulness": "select query_id, faithfulness from overlap_base_metrics",
         "metric_factual_f1": "select query_id, factual_correctness from overlap_base_metrics",
@@ -544,14 +598,24 @@ ORACLE: dict[str, str] = {
             select metric, chunker, mode, round(mean, 9) as mean from sweep_long where mean is not null
             qualify row_number() over (partition by metric order by round(mean, 12) desc, chunker, mode) = 1""",
         "run_report": f"""
-            select chunker, mode, mode = 'filtered' as filtering_enabled,
-                   max(questions) as num_questions,
-                   round(max(mean) filter (metric = 'context_recall'), 9) as context_recall,
-                   round(max(mean) filter (metric = 'faithfulness'), 9) as faithfulness,
-                   round(max(mean) filter (metric = 'factual_correctness'), 9) as factual_correctness,
-                   case chunker when 'recursive' then {_CAP_RECURSIVE} else {_CAP_SEMANTIC} end::bigint as chunk_size,
+            select chunker, mode, '20240101_000000' as run, '20240101_000000' as timestamp,
+                   case mode when 'filtered' then 'Relevance filtering' else 'Baseline (no filtering)' end as title,
+                   mode = 'filtered' as filtering_enabled, mode = 'filtered' as dynamic_threshold_enabled,
+                   max(questions) as num_questions, 'hashed words' as embedding_model, 'shared words' as llm_model,
+                   {_report_metric("context_recall", "share of the reference''s claims found in the contexts",
+                                   "whether the search missed something the answer needs")},
+                   {_report_metric("faithfulness", "share of the response''s claims the contexts support",
+                                   "whether the answer says more than its contexts")},
+                   {_report_metric("factual_correctness", "F1 of the response''s claims against the reference''s",
+                                   "whether the answer agrees with the known one")},
+                   case chunker when 'recursive' then 2048 else 500 end::bigint as chunk_size, 0::bigint as chunk_overlap,
+                   {TOP}::bigint as retrieval_k,
                    case mode when 'filtered' then {_CANDIDATES} else {TOP} end::bigint as retrieval_initial_k,
                    case mode when 'filtered' then 'base_score,self_reflection,critic_eval' end as filtering_stages
             from sweep_long group by chunker, mode""",
+        "report_questions": """
+            select chunker, mode, '20240101_000000' as run, query_id, user_input as question,
+                   length(response) as answer_length_chars, len(contexts) as num_contexts_retrieved,
+                   row_number() over (partition by chunker, mode order by query_id) as index from sweep""",
     }.items()
 }

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,7 +14,7 @@ from contextmill.operators import chunking, evaluation, reporting, runs, sequenc
 from contextmill.operators import relevance as rel
 from contextmill.operators import retrieval as ret
 from contextmill.operators.ingest import embed_chunks, ingest
-from contextmill.operators.models import answer_prompt, hashed_embedder
+from contextmill.operators.models import answer_prompt, base_prompt, critic_prompt, hashed_embedder, reflect_prompt
 from contextmill.plans import inputs
 from contextmill.plans.inputs import DIM, TOP
 from contextmill.session import materialise, work_folder
@@ -126,8 +127,9 @@ def semantic_segments(spark, folder):
 def embed_join(spark, folder):
     docs = scan_documents(read_table(spark, folder, "documents"))
     vectors = read_table(spark, folder, "embeddings").withColumnRenamed("vec_id", "doc_id")
-    return docs.join(vectors, "doc_id").select(
-        "doc_id", "source", F.length("text").alias("n_chars"), F.size("embedding").alias("dim"), "label"
+    return docs.join(vectors, "doc_id", "left").select(
+        "doc_id", "source", F.length("text").alias("n_chars"), F.size("embedding").alias("dim"), "label",
+        F.col("embedding").isNotNull().alias("has_vector"),
     )
 
 
@@ -147,6 +149,15 @@ def vector_validation(spark, folder):
     return collections.vector_report(points, DIM, ["label"])
 
 
+def _stored(points: DataFrame) -> DataFrame:
+    """What a point holds: sizes, the text's digest and a sum that depends on the vector's order."""
+    weighted = F.aggregate(F.transform("embedding", lambda x, i: x * (i + 1)), F.lit(0.0), lambda a, x: a + x)
+    return points.select(
+        "chunk_id", "chunker", "source", "n_chars", F.size("embedding").alias("dim"),
+        F.md5("text").alias("text_md5"), F.round(weighted, 3).alias("vector_sum"),
+    )
+
+
 @query
 def collection_write(spark, folder):
     """Both collections written, one recreated alone, and everything read back."""
@@ -155,9 +166,22 @@ def collection_write(spark, folder):
     embed = hashed_embedder(DIM)
     ingest(docs, path, embed, DIM, SWEEP)
     again = chunking.chunk_documents(docs, {"recursive": chunking.recursive_chunks})
-    collections.recreate(embed_chunks(again, embed), path, DIM)
-    points = collections.read_collection(spark, path)
-    return points.select("chunk_id", "chunker", "source", "n_chars", F.size("embedding").alias("dim"))
+    collections.recreate(embed_chunks(again, embed), path, DIM, ["recursive"])
+    return _stored(collections.read_collection(spark, path))
+
+
+@query
+def collection_append(spark, folder):
+    """Points added to a collection in two parts beside another, and the one read back alone."""
+    docs = inputs.documents(spark, folder)
+    path = work_folder(spark, "collection")
+    embed = hashed_embedder(DIM)
+    ingest(docs, path, embed, DIM, {"recursive": chunking.recursive_chunks})
+    points = embed_chunks(chunking.chunk_documents(docs, {"overlap": chunking.overlapping_chunks}), embed)
+    odd = F.col("chunk_index") % 2 == 1
+    collections.upload(points.filter(~odd), path, DIM)
+    collections.upload(points.filter(odd), path, DIM)
+    return _stored(collections.read_collection(spark, path, "overlap"))
 
 
 # ---- retrieval -----------------------------------------------------------------
@@ -176,7 +200,7 @@ def knn_topk(spark, folder):
 def retrieve_baseline(spark, folder):
     questions, corpus = inputs.vector_questions(spark, folder), inputs.vector_corpus(spark, folder)
     hits = ret.retrieve(questions, corpus, DIM, TOP)
-    return ret.attach(hits, inputs.document_texts(spark, folder), ret.hit_bound(questions, TOP)).select(
+    return ret.attach(hits, inputs.document_texts(spark, folder)).select(
         "query_id", "position", "chunk_id", "sim", "text"
     )
 
@@ -195,8 +219,7 @@ def retrieve_filtered(spark, folder):
 
 @query
 def hit_preview(spark, folder):
-    most = ret.hit_bound(inputs.vector_questions(spark, folder), 15)
-    return ret.hit_preview(ret.attach(_hits(spark, folder, 15), inputs.document_texts(spark, folder), most))
+    return ret.hit_preview(ret.attach(_hits(spark, folder, 15), inputs.document_texts(spark, folder)))
 
 
 @query
@@ -207,7 +230,7 @@ def retrieval_diff(spark, folder):
         inputs.vector_scores(spark, folder), TOP,
     ).select("query_id", "chunk_id", "mode", "position")
     diff = ret.compare_retrieval(both.filter("mode = 'baseline'"), both.filter("mode = 'filtered'"))
-    return ret.attach(diff, inputs.document_texts(spark, folder), ret.hit_bound(questions, 2 * TOP)).select(
+    return ret.attach(materialise(diff, "difference"), inputs.document_texts(spark, folder)).select(
         "query_id", "chunk_id", "baseline_position", "filtered_position", "kept_by",
         F.length("text").alias("n_chars"), preview(F.col("text"), 200).alias("preview"),
     )
@@ -283,7 +306,7 @@ def _text_hits(spark, folder, k):
     questions = _written_questions(spark, folder)
     points = _overlap_points(spark, folder)
     hits = ret.knn(questions, points, k, DIM)
-    hits = ret.attach(hits, points.select("chunk_id", "text"), ret.hit_bound(questions, k))
+    hits = ret.attach(hits, points.select("chunk_id", "text"))
     return questions.drop("embedding"), hits.withColumn("position", F.col("rank"))
 
 
@@ -291,7 +314,7 @@ def _text_hits(spark, folder, k):
 def retrieve_text(spark, folder):
     questions = _written_questions(spark, folder)
     points = _overlap_points(spark, folder)
-    scorer = runs.candidate_scorer(questions, points, inputs.offline_scores, TOP)
+    scorer = runs.candidate_scorer(questions, points, inputs.offline_scores)
     hits = ret.retrieve(questions, points, DIM, TOP, use_filtering=True, score=scorer)
     return hits.select("query_id", "position", "chunk_id", "sim", "final_score")
 
@@ -307,11 +330,44 @@ def lexical_overlap(spark, folder):
 @query
 def answer_prompts(spark, folder):
     questions, hits = _text_hits(spark, folder, TOP)
-    rows = questions.join(evaluation.contexts_of(hits), "query_id")
-    prompt = answer_prompt(F.col("retrieved_contexts"), F.col("user_input"))
+    rows = questions.join(evaluation.contexts_of(hits), "query_id", "left")
+    contexts = F.coalesce("retrieved_contexts", F.array().cast("array<string>"))
+    prompt = answer_prompt(contexts, F.col("user_input"))
     return rows.select("query_id", F.length(prompt).alias("n_chars"), F.md5(prompt).alias("prompt_md5"))
 
 
+def _digest_model(prompt):
+    """A model for prompts as columns: a reply that any change of the prompt changes."""
+    number = F.conv(F.substring(F.md5(prompt), 1, 4), 16, 10).cast("int")
+    reply = ((number % 100 + 1) / F.lit(128.0)).cast("string")
+    return F.when(number % 11 == 0, "no idea").when(number % 13 != 0, reply)
+
+
+def _prompt_pairs(spark, folder):
+    questions, hits = _text_hits(spark, folder, TOP)
+    return hits.join(questions.select("query_id", "user_input"), "query_id")
+
+
+@query
+def stage_prompts(spark, folder):
+    """The three prompts of every pair, each with the score that the stage before gave."""
+    chunk, question = F.col("text"), F.col("user_input")
+    base = parse_reply(F.col("base_reply"), F.lit(rel.BASE_FALLBACK))
+    pairs = _prompt_pairs(spark, folder).withColumn("base", base_prompt(chunk, question))
+    pairs = pairs.withColumn("base_reply", _digest_model(F.col("base")))
+    pairs = pairs.withColumn("reflect", reflect_prompt(chunk, question, base))
+    pairs = pairs.withColumn("reflect_reply", _digest_model(F.col("reflect")))
+    reflect = parse_reply(F.col("reflect_reply"), base)
+    pairs = pairs.withColumn("critic", critic_prompt(chunk, question, reflect))
+    return pairs.select("query_id", "chunk_id", *[F.md5(p).alias(f"{p}_md5") for p in ("base", "reflect", "critic")])
+
+
+@query
+def score_model_chain(spark, folder):
+    scored = rel.score_with_model(_prompt_pairs(spark, folder), _digest_model)
+    return scored.select("query_id", "chunk_id", "rank", "scores.*")
+
+
 @query
 def ground_truth_join(spark, folder):
     questions = inputs.text_questions(spark, folder).select("query_id", "user_input")
@@ -340,6 +396,12 @@ def _metrics(spark, folder):
     return evaluation.metrics_for(dataset, evaluation.claim_verdicts(dataset), ["query_id"])
 
 
+@query
+def metric_table(spark, folder):
+    """All three metrics of every question."""
+    return _metrics(spark, folder).select("query_id", *evaluation.METRICS)
+
+
 @query
 def metric_context_recall(spark, folder):
     return _metrics(spark, folder).select("query_id", "context_recall")
@@ -363,7 +425,7 @@ def sweep_dataset(spark, folder):
     embed = hashed_embedder(DIM)
     points = ingest(inputs.documents(spark, folder), work_folder(spark, "collection"), embed, DIM, SWEEP)
     known = materialise(inputs.references(spark, folder), "references")
-    asked = inputs.text_questions(spark, folder).drop("response")
+    asked = inputs.text_questions(spark, folder).select("query_id", "user_input")
     return runs.evaluation_dataset(asked, points, known, SWEEP, embed, DIM, inputs.offline_scores, k=TOP)
 
 
@@ -408,24 +470,44 @@ def best_configuration(spark, folder):
     return reporting.best_configuration(_summary(spark, folder)).withColumns(_round("mean"))
 
 
-@query
-def run_report(spark, folder):
-    """The reports as written to and read back from JSON."""
+def _written_run(spark, folder):
     dataset = sweep_dataset(spark, folder)
     path = work_folder(spark, "report")
-    runs.write_run(
-        dataset, runs.run_metrics(dataset), path, timestamp="20240101_000000",
-        models={"embedding_model": "hashed words", "llm_model": "shared words"},
-        chunking={
-            "recursive": {"chunk_size": chunking.RECURSIVE_CHARS, "chunk_overlap": 0},
-            "semantic": {"chunk_size": chunking.SEMANTIC_CHARS, "chunk_overlap": 0},
-        },
-        k=TOP,
-    )
-    read = spark.read.json(f"{path}/reports")
+    for _ in range(2):  # the second time replaces the first
+        runs.write_run(
+            dataset, runs.run_metrics(dataset), path, datetime(2024, 1, 1),
+            models={"embedding_model": "hashed words", "llm_model": "shared words"},
+            chunking={
+                "recursive": {"chunk_size": chunking.RECURSIVE_CHARS, "chunk_overlap": 0},
+                "semantic": {"chunk_size": chunking.SEMANTIC_CHARS, "chunk_overlap": 0},
+            },
+            k=TOP,
+        )
+    return path
+
+
+@query
+def run_report(spark, folder):
+    """Every field of the reports as written to and read back from JSON."""
+    read = spark.read.json(f"{_written_run(spark, folder)}/reports")
+    parts = ("value", "description", "interpretation")
     return read.select(
-        *RUN, "metadata.filtering_enabled", "metadata.num_questions",
-        *[F.round(F.col(f"metrics_summary.{m}.value"), 9).alias(m) for m in evaluation.METRICS],
-        "configuration.chunk_size", "configuration.retrieval_initial_k",
+        *RUN, "run", "metadata.timestamp", F.col("metadata.mode").alias("title"), "metadata.filtering_enabled",
+        "metadata.num_questions", "metadata.embedding_model", "metadata.llm_model",
+        *[
+            (F.round(F.col(f"metrics_summary.{m}.value"), 9) if p == "value" else F.col(f"metrics_summary.{m}.{p}"))
+            .alias(m if p == "value" else f"{m}_{p}")
+            for m in evaluation.METRICS for p in parts
+        ],
+        *[F.round(F.col(f"raw_results.{m}"), 9).alias(f"raw_{m}") for m in evaluation.METRICS],
+        "configuration.chunk_size", "configuration.chunk_overlap", "configuration.retrieval_k",
+        "configuration.retrieval_initial_k", "configuration.dynamic_threshold_enabled",
         F.array_join("configuration.filtering_stages", ",").alias("filtering_stages"),
     )
+
+
+@query
+def report_questions(spark, folder):
+    """The evaluated questions beside the reports, read back from JSON."""
+    read = spark.read.json(f"{_written_run(spark, folder)}/questions")
+    return read.select(*RUN, "run", "query_id", "index", "question", "answer_length_chars", "num_contexts_retrieved")

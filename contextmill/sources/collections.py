@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -30,15 +32,19 @@ def vector_report(points: DataFrame, dim: int, keys: list[str]) -> DataFrame:
     )
 
 
-def recreate(points: DataFrame, path: str, dim: int) -> None:
-    """Replace the collections of the chunkers in ``points``; others stay."""
-    (
-        checked(points, dim)
-        .write.mode("overwrite")
-        .option("partitionOverwriteMode", "dynamic")
-        .partitionBy("chunker")
-        .parquet(path)
-    )
+def recreate(points: DataFrame, path: str, dim: int, chunkers: Iterable[str]) -> None:
+    """Replace the collections of ``chunkers``; others stay.
+
+    All of them are dropped first, so one whose chunker gives no points is gone. ``points``
+    must not read from ``path``, and holds no other chunker's points.
+    """
+    spark = points.sparkSession
+    named = list(chunkers)
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    files = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    for chunker in named:
+        files.delete(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder, f"chunker={chunker}"), True)
+    upload(points.filter(F.col("chunker").isin(named)), path, dim)
 
 
 def upload(points: DataFrame, path: str, dim: int) -> None:

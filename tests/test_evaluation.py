@@ -1,3 +1,5 @@
+from datetime import datetime
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -43,7 +45,7 @@ def test_answers_by_a_model(spark):
     row = with_question.filter("query_id = 1").first()
     assert "FIRST\n\nSECOND" in row.response and row.response.endswith("Q ONE")
     alone = ev.build_dataset(questions(spark), hits(spark), known(spark), ev.ask_for_answer(ask, False))
-    assert alone.filter("query_id = 1").first().response == "RESPONDE USANDO SOLO ESTE CONTEXTO:\nFIRST\n\nSECOND"
+    assert alone.filter("query_id = 1").first().response == "RESPONDE USANDO SOLO ESTE CONTEXTO:\n[\"FIRST\",\"SECOND\"]"
 
 
 def dataset(spark):
@@ -78,10 +80,14 @@ def test_metrics(spark):
 
 def test_verdicts_by_a_model(spark):
     judge = models.chat_model(lambda: lambda prompt: "1" if "Dogs" in prompt.split("Claim:")[1] else "no")
-    got = ev.judge_claims(dataset(spark), judge).filter("supported").collect()
+    verdicts = ev.judge_claims(dataset(spark), judge)
+    got = verdicts.filter("supported").collect()
     assert {(r.query_id, r.side, r.evidence, r.claim_id) for r in got} == {
         (1, "response", "contexts", 1), (1, "response", "reference", 1)
     }
+    # Unreadable replies are no verdicts, and count on neither side.
+    assert verdicts.filter("not supported").count() == 0 and verdicts.filter("supported is null").count() > 0
+    assert ev.metric_table(verdicts, ["query_id"]).filter("query_id = 1").first().faithfulness == 1.0
 
 
 def test_verdict_table_from_outside(spark):
@@ -156,7 +162,7 @@ def runs(spark):
     return data.withColumn("chunker", F.lit("token")).withColumn("mode", F.explode(F.array(F.lit("baseline"), F.lit("filtered"))))
 
 
-def test_report_documents(spark, tmp_path):
+def test_report(spark, tmp_path):
     asked = rp.question_summary(runs(spark))
     first = asked.filter("mode = 'baseline'").orderBy("index").collect()
     assert [(r["index"], r.question, r.answer_length_chars, r.num_contexts_retrieved) for r in first] == [
@@ -167,14 +173,15 @@ def test_report_documents(spark, tmp_path):
     )
     reports = rp.run_report(means, runs(spark), "20240101_120000", {"llm_model": "m"}, {"token": {"chunk_size": 2048}})
     path = str(tmp_path / "reports")
-    rp.write_json(rp.report_documents(reports, asked), path)
-    text = spark.read.text(f"{path}/mode=baseline/chunker=token").first().value
+    for _ in range(2):
+        rp.write_json(reports, path, "20240101_120000")
+    rp.write_json(reports, path, rp.stamp(datetime(2024, 1, 1, 13, 5, 9)))
+    assert spark.read.json(path).groupBy("run").count().orderBy("run").collect() == [("20240101_120000", 2), ("20240101_130509", 2)]
+    text = spark.read.text(f"{path}/mode=baseline/chunker=token/run=20240101_120000").first().value
     assert '"faithfulness":{"value":null' in text and '"filtering_stages":null' in text
     read = spark.read.json(path).filter("mode = 'filtered'").first()
     assert read.metadata.num_questions == 3 and read.metadata.filtering_enabled
     assert read.configuration.retrieval_initial_k == 15 and read.configuration.chunk_size == 2048
     assert read.configuration.filtering_stages == ["base_score", "self_reflection", "critic_eval"]
-    assert [q.question for q in read.questions_evaluated] == ["q one", "q two", "q three"]
     assert read.metrics_summary.factual_correctness.value == 0.314
-    with pytest.raises(ValueError, match="3 questions"):
-        rp.report_documents(reports, asked, limit=2)
+    assert read.metrics_summary.faithfulness.interpretation and read.raw_results.factual_correctness == 0.314

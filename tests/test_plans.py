@@ -1,5 +1,6 @@
 """What the physical plans must and must not do."""
 
+import pytest
 from conftest import SMALL
 
 from contextmill.plans.queries import QUERIES
@@ -14,18 +15,15 @@ def test_similarity_runs_once_for_segments(spark):
     assert final_plan(QUERIES["semantic_segments"](spark, SMALL)).count("MapInArrow") == 1
 
 
-def test_search_runs_once_for_text(spark):
-    """Finding the winners' text reads the search's shuffle a second time, not the corpus."""
-    plan = final_plan(QUERIES["retrieve_baseline"](spark, SMALL))
-    assert "ReusedExchange" in plan
-    assert plan.count("FileScan parquet [vec_id") == plan.count("MapInArrow")
+SEARCHES = ("knn_topk", "retrieve_baseline", "retrieve_filtered", "score_chain", "retrieval_diff", "retrieve_text", "claim_verdicts")
 
 
-def test_search_sends_top_k_only(spark):
-    plan = final_plan(QUERIES["knn_topk"](spark, SMALL))
-    search = plan.index("MapInArrow")
-    assert plan.count("WindowGroupLimit") == 4
-    assert "Exchange" not in plan[search:]
+@pytest.mark.parametrize("name", SEARCHES)
+def test_results_are_read_from_written_hits(spark, name):
+    """Nothing of the search is left in the plan that reads its hits."""
+    plan = final_plan(QUERIES[name](spark, SMALL))
+    assert "MapInArrow" not in plan and "WindowGroupLimit" not in plan
+    assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
 
 
 def test_long_lists_are_not_shuffled(spark):

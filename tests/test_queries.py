@@ -23,8 +23,15 @@ def test_query(spark, con, name):
     assert df.limit(1).count() == 1
 
 
-def test_every_oracle_has_a_query():
-    assert set(ORACLE) <= set(QUERIES)
+def test_every_query_has_its_sql():
+    assert set(ORACLE) == set(QUERIES)
+
+
+def test_the_sql_shares_nothing_with_the_engine():
+    from contextmill.plans import oracle
+
+    with open(oracle.__file__) as source:
+        assert "contextmill" not in source.read()
 
 
 def test_entry(spark):

@@ -70,11 +70,44 @@ def test_zero_vectors_and_text_ids(spark):
     assert rows(ret.knn(q, c, 40, 4)) == brute(questions, corpus, ids, 40)
 
 
-def test_question_blocks(spark):
+@pytest.mark.parametrize("broadcast", ["10m", "-1"])
+def test_question_blocks(spark, setting, broadcast):
+    """Many blocks and tiles, and questions with the same id, by either join."""
+    setting("spark.sql.autoBroadcastJoinThreshold", broadcast)
     questions, corpus = vectors(60, 8, 9), vectors(200, 8, 10)
     q, c = frames(spark, questions, corpus)
-    got = ret.knn(q, c.repartition(3), 4, 8, block_bytes=8 * 8 * 12)
+    got = ret.knn(q, c.repartition(3), 4, 8, question_bytes=8 * 8 * 7, tile_bytes=8 * 8 * 11)
     assert rows(got) == brute(questions, corpus, range(200), 4)
+    same = ret.knn(q.union(q.filter("query_id = 3")).repartition(4), c, 4, 8, question_bytes=8 * 8 * 5)
+    assert same.filter("query_id = 3").count() == 4
+
+
+def counted(spark, df):
+    """The rows, and how often any of them is made."""
+    seen = spark.sparkContext.accumulator(0)
+
+    def look(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    return df.mapInArrow(look, df.schema), seen
+
+
+@pytest.mark.parametrize("broadcast", ["10m", "-1"])
+def test_corpus_is_read_once(spark, setting, broadcast):
+    setting("spark.sql.autoBroadcastJoinThreshold", broadcast)
+    q, c = frames(spark, vectors(60, 8, 9), vectors(200, 8, 10))
+    score = lambda hits: hits.withColumn("final_score", F.pmod(F.col("chunk_id") * 37, F.lit(101)) / 100.0)
+    for search in (
+        lambda c: ret.knn(q, c, 4, 8, question_bytes=8 * 8 * 7),
+        lambda c: ret.retrieve(q, c, 8, 4),
+        lambda c: ret.retrieve(q, c, 8, 4, True, score),
+        lambda c: ret.retrieve_both(q, c, 8, score, 4),
+    ):
+        corpus, seen = counted(spark, c.repartition(3))
+        search(corpus).collect()
+        assert seen.value == 200
 
 
 def test_same_result_for_any_partitioning(spark, setting):
@@ -102,9 +135,9 @@ def test_wrong_dimension_fails(spark):
 def test_only_ids_and_vectors_are_read(spark, tmp_path):
     _, c = frames(spark, vectors(1, 4, 1), vectors(10, 4, 2))
     c.withColumn("text", F.lit("long text")).write.parquet(str(tmp_path / "c"))
-    q, _ = frames(spark, vectors(1, 4, 1), vectors(1, 4, 2))
-    plan = ret.knn(q, spark.read.parquet(str(tmp_path / "c")), 3, 4)._jdf.queryExecution().executedPlan().toString()
-    assert "FileScan parquet [chunk_id" in plan and "text" not in plan.split("FileScan")[1].split("ReadSchema")[1]
+    tiles = ret._packed(spark.read.parquet(str(tmp_path / "c")).select("chunk_id", "embedding"), "chunk", 4, 1000)
+    plan = tiles._jdf.queryExecution().executedPlan().toString()
+    assert "FileScan parquet [chunk_id" in plan and "text" not in plan.split("ReadSchema")[1]
 
 
 def by_position(df):
@@ -132,13 +165,5 @@ def test_filtering_needs_scores(spark):
 def test_attach_keeps_hits_without_payload(spark):
     hits = spark.createDataFrame([(1, 10), (1, 11), (2, 10)], "query_id long, chunk_id long")
     texts = spark.createDataFrame([(10, "ten"), (12, "twelve")], "chunk_id long, text string")
-    for bound in (None, 3):
-        got = sorted((r.query_id, r.chunk_id, r.text) for r in ret.attach(hits, texts, bound).collect())
-        assert got == [(1, 10, "ten"), (1, 11, None), (2, 10, "ten")]
-
-
-def test_hit_bound(spark, monkeypatch):
-    q, _ = frames(spark, vectors(6, 4, 1), vectors(1, 4, 2))
-    assert ret.hit_bound(q, 5) == 30
-    monkeypatch.setattr(ret, "BROADCAST_BYTES", 128 * 5 * 5)
-    assert ret.hit_bound(q, 5) is None
+    got = sorted((r.query_id, r.chunk_id, r.text) for r in ret.attach(hits, texts).collect())
+    assert got == [(1, 10, "ten"), (1, 11, None), (2, 10, "ten")]

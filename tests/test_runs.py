@@ -1,3 +1,5 @@
+from datetime import datetime
+
 import pytest
 
 from contextmill.operators import models, reporting, runs
@@ -61,7 +63,7 @@ def test_run(spark, tmp_path, modes):
     assert metrics.count() == data.count()
     row = metrics.filter(f"query_id = 1 and mode = '{modes[-1]}' and chunker = 'recursive'").first()
     assert (row.context_recall, row.faithfulness) == (1.0, 1.0)
-    runs.write_run(data, metrics, str(tmp_path / "out"), "20240101_000000", {}, {}, k=2)
+    runs.write_run(data, metrics, str(tmp_path / "out"), datetime(2024, 1, 1), {}, {}, k=2)
     assert spark.read.json(str(tmp_path / "out/reports")).count() == 2 * len(modes)
     assert spark.read.json(str(tmp_path / "out/questions")).filter("index = 1").count() == 2 * len(modes)
 

@@ -44,9 +44,18 @@ def test_segments(spark, width):
     assert all(b.last_position - b.first_position + 1 == b.sentences for b in bounds)
 
 
-@pytest.mark.parametrize("width", [4, 16384])
-def test_numbering_a_hot_group(spark, width):
-    rows = [("hot", i * 7 - 100) for i in range(300)] + [("cold", 5), ("cold", 2)]
+def test_numbering_a_hot_group(spark):
+    rows = [("hot", i * 7 - 100) for i in range(300)] + [("cold", 5), ("cold", 2), (None, 1)]
     df = spark.createDataFrame(rows, "key string, id long").repartition(6)
-    got = {(r.key, r.id): r.n for r in sq.numbered(df, ["key"], "id", "n", width).collect()}
-    assert got == {**{("hot", i * 7 - 100): i for i in range(300)}, ("cold", 2): 0, ("cold", 5): 1}
+    got = {(r.key, r.id): r.n for r in sq.numbered(df, ["key"], "id", "n").collect()}
+    assert got == {**{("hot", i * 7 - 100): i for i in range(300)}, ("cold", 2): 0, ("cold", 5): 1, (None, 1): 0}
+    assert sq.numbered(df.filter("false"), ["key"], "id", "n").count() == 0
+
+
+@pytest.mark.parametrize("id_of", [lambda i: f"q-{i}", lambda i: (i * 0x9E3779B97F4A7C15 + 7) % (1 << 63)])
+def test_numbering_by_text_and_hashed_ids(spark, id_of):
+    ids = [id_of(i) for i in range(500)]
+    df = spark.createDataFrame([("run", x) for x in ids], f"key string, id {'string' if isinstance(ids[0], str) else 'long'}")
+    numbered = sq.numbered(df.repartition(7), ["key"], "id", "n")
+    assert "Window" not in numbered._jdf.queryExecution().executedPlan().toString()
+    assert {r.id: r.n for r in numbered.collect()} == {x: i for i, x in enumerate(sorted(ids))}

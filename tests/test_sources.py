@@ -45,11 +45,13 @@ def test_ingest_recreates_only_its_collections(spark, tmp_path):
     assert {r.chunker for r in points.select("chunker").distinct().collect()} == {"recursive", "semantic"}
     before = {d: sorted(os.listdir(f"{path}/{d}")) for d in os.listdir(path) if d.startswith("chunker=")}
     one = chunking.chunk_documents(documents(spark).filter("doc_id < 2"), {"semantic": chunking.semantic_chunks})
-    col.recreate(ingest.embed_chunks(one, embed), path, 8)
+    col.recreate(ingest.embed_chunks(one, embed), path, 8, ["semantic"])
     assert sorted(os.listdir(f"{path}/chunker=recursive")) == before["chunker=recursive"]
     assert col.read_collection(spark, path, "semantic").select("doc_id").distinct().count() == 2
     col.upload(ingest.embed_chunks(one, embed), path, 8)
     assert col.read_collection(spark, path, "semantic").count() == 2 * one.count()
+    col.recreate(ingest.embed_chunks(one.filter("false"), embed), path, 8, ["semantic"])
+    assert {r.chunker for r in spark.read.parquet(path).select("chunker").distinct().collect()} == {"recursive"}
 
 
 def test_one_collection_reads_one_folder(spark, tmp_path):
@@ -59,12 +61,12 @@ def test_one_collection_reads_one_folder(spark, tmp_path):
     assert "PartitionFilters: [isnotnull(chunker" in plan
 
 
-@pytest.mark.parametrize("bad", [[1.0], None, [1.0, None], [1.0, float("nan")], [1.0, 2.0, 3.0]])
+@pytest.mark.parametrize("bad", [[1.0], None, [1.0, None], [1.0, float("nan")], [float("inf"), 1.0], [1.0, float("-inf")], [1.0, 2.0, 3.0]])
 def test_bad_vectors_fail_the_write(spark, tmp_path, bad):
     rows = [("a", "x", [1.0, 2.0]), ("b", "x", bad)]
     points = spark.createDataFrame(rows, "chunk_id string, chunker string, embedding array<float>")
     with pytest.raises(Exception, match="not a vector of 2 numbers: chunk b"):
-        col.recreate(points, str(tmp_path / "points"), 2)
+        col.recreate(points, str(tmp_path / "points"), 2, ["x"])
     report = col.vector_report(points, 2, ["chunker"]).first()
     assert (report.vectors, report.valid) == (2, 1)
 
