@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from contextmill.llm.pretokens import Pretokens, character_classes, gather, hash_bases
-from contextmill.llm.words import slices
+from contextmill.llm.words import slices, tidy
 from contextmill.session import materialise
 
 #: Distinct words whose ids are broadcast, at most: about 40 MB.
@@ -158,7 +158,7 @@ def word_counts(docs: DataFrame, classes) -> DataFrame:
         if counts:
             yield flush()
 
-    return docs.select("text").mapInArrow(count, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
+    return docs.select("text").mapInArrow(tidy(count), "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
 
 
 class Memo:
@@ -211,7 +211,7 @@ def build_memo(docs: DataFrame, ranks: dict[bytes, int], classes, most: int = ME
             yield pa.RecordBatch.from_arrays([one, two, batch.column("ids")], ["one", "two", "ids"])
 
     chosen = words.filter(F.col("n") >= least).select("word", merged_ids(F.col("word"), ranks).alias("ids"))
-    found = chosen.mapInArrow(hashed, "one bigint, two bigint, ids array<int>").toArrow().combine_chunks()
+    found = chosen.mapInArrow(tidy(hashed), "one bigint, two bigint, ids array<int>").toArrow().combine_chunks()
     one, two = (np.asarray(found.column(c), np.int64).astype(np.uint64) for c in ("one", "two"))
     ids = found.column("ids")
     flat = np.concatenate([np.asarray(c.flatten(), np.int32) for c in ids.chunks] or [np.zeros(0, np.int32)])
@@ -297,7 +297,7 @@ def encode(
         *kept.schema.fields, T.StructField("__ids", T.BinaryType()), T.StructField("__rare", T.ArrayType(T.StringType())),
         T.StructField("__long", T.ArrayType(T.StructType([T.StructField("at", T.IntegerType()), T.StructField("ids", T.BinaryType())]))),
     ])
-    found = kept.mapInArrow(look_up, kind).withColumn("__merged", F.transform("__rare", lambda w: merged_ids(w, ranks)))
+    found = kept.mapInArrow(tidy(look_up), kind).withColumn("__merged", F.transform("__rare", lambda w: merged_ids(w, ranks)))
 
     def assemble(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = Pieces(held.value) if decoded else None
@@ -340,7 +340,7 @@ def encode(
     made = [T.StructField("n_tokens", T.LongType()), T.StructField("ids", T.BinaryType())]
     made += [T.StructField("decoded", T.BinaryType())] * decoded
     return found.select(*[f"`{f.name}`" for f in left], "__ids", "__rare", "__long", "__merged").mapInArrow(
-        assemble, T.StructType([*left, *made]))
+        tidy(assemble), T.StructType([*left, *made]))
 
 
 def decode(df: DataFrame, ranks: dict[bytes, int], ids: str = "ids") -> DataFrame:
@@ -359,7 +359,7 @@ def decode(df: DataFrame, ranks: dict[bytes, int], ids: str = "ids") -> DataFram
             columns["decoded"] = pa.array(out, pa.binary())
             yield pa.RecordBatch.from_arrays(list(columns.values()), list(columns))
 
-    return kept.mapInArrow(put_together, T.StructType([*kept.schema.fields, T.StructField("decoded", T.BinaryType())]))
+    return kept.mapInArrow(tidy(put_together), T.StructType([*kept.schema.fields, T.StructField("decoded", T.BinaryType())]))
 
 
 def round_trip(docs: DataFrame, ranks: dict[bytes, int], text: str = "text") -> DataFrame:

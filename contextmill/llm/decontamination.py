@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from contextmill.llm.words import Words, alphanumeric, slices
+from contextmill.llm.words import Words, alphanumeric, slices, tidy
 
 #: Words of a window; an item with fewer is one window as a whole.
 WINDOW = 10
@@ -48,7 +48,7 @@ def benchmark_windows(benchmark: DataFrame, key: str, text: str, window: int = W
                 )
 
     source = benchmark.filter(F.col(key).isNotNull()).select(item, F.col(text).alias("text"))
-    return source.mapInArrow(cut, "window binary, n int, hash bigint, item string").distinct()
+    return source.mapInArrow(tidy(cut), "window binary, n int, hash bigint, item string").distinct()
 
 
 class WindowSet:
@@ -121,7 +121,7 @@ def mark_contamination(
     sets = list(_blocks(benchmark_windows(benchmark, item, item_text, window), block_bytes)) or [WindowSet([])]
     for each in sets:
         held = docs.sparkSession.sparkContext.broadcast(each)
-        out = out.mapInArrow(_scan(held, text), schema)
+        out = out.mapInArrow(tidy(_scan(held, text)), schema)
     return out
 
 
@@ -199,7 +199,7 @@ def decontaminate(
                     columns[text] = pa.array(texts, pa.string())
                     yield pa.RecordBatch.from_arrays(list(columns.values()), list(columns))
 
-        marked = marked.mapInArrow(cut, schema)
+        marked = marked.mapInArrow(tidy(cut), schema)
     back = marked.drop("n_words", "hits", "items").withColumnsRenamed(
         {f"__own_{c}": c for c in ("n_words", "hits", "items")})
     return back.select(*columns)

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from contextmill.llm.words import Words, alphanumeric, mix, slices
+from contextmill.llm.words import Words, alphanumeric, mix, slices, tidy
 from contextmill.session import materialise
 
 WORDS, SIMILARITY, RECALL = 5, 0.8, 0.998
@@ -123,7 +123,7 @@ def signatures(docs: DataFrame, size: int, bands: int, rows: int) -> DataFrame:
                 )
 
     return docs.select("doc_id", "row", "text").mapInArrow(
-        sign, "doc_id bigint, row bigint, bytes bigint, set_id binary, bands array<bigint>")
+        tidy(sign), "doc_id bigint, row bigint, bytes bigint, set_id binary, bands array<bigint>")
 
 
 def _compare(size: int, similarity: float):

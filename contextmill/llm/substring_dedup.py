@@ -21,7 +21,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from contextmill.llm.words import Words, blank_separated, mix, slices
+from contextmill.llm.words import Words, blank_separated, mix, slices, tidy
 from contextmill.session import materialise
 
 WINDOW, SEED_WORDS = 50, 25
@@ -115,7 +115,7 @@ def repeated_cells(
         first = {"depth": table.column("depth")[0].as_py(), "block": table.column("block")[0].as_py()}
         return pa.Table.from_pylist([{**first, "once": once, "twice": twice}], schema=pa.schema(fields))
 
-    parts = docs.select("text").mapInArrow(count, kind)
+    parts = docs.select("text").mapInArrow(tidy(count), kind)
     # In two steps, so that a group holds few sketches however many tasks there are.
     salted = parts.withColumn("salt", F.pmod(F.spark_partition_id(), F.lit(_SALTS)))
     merged = salted.groupBy("depth", "block", "salt").applyInArrow(merge, kind)
@@ -208,11 +208,11 @@ def repeated_ranges(
 
     kind = f"digest binary, doc_id {id_type}, text_hash bigint, start int"
     source = docs.filter(F.col("doc_id").isNotNull()).select("doc_id", "text_hash", "text")
-    found = _first_seen(materialise(source.mapInArrow(runs, f"{kind}, n int"), "runs"))
+    found = _first_seen(materialise(source.mapInArrow(tidy(runs), f"{kind}, n int"), "runs"))
     placed = materialise(
         found.select("doc_id", "text_hash", "start", "n", F.coalesce(F.col("first") == F.col("doc_id"), F.lit(True)).alias("own")), "placed")
     own = placed.filter("own").groupBy("doc_id", "text_hash").agg(F.collect_set(F.struct("start", "n")).alias("own"))
-    windows = materialise(source.join(own, ["doc_id", "text_hash"]).mapInArrow(singles, kind), "windows")
+    windows = materialise(source.join(own, ["doc_id", "text_hash"]).mapInArrow(tidy(singles), kind), "windows")
     later = _first_seen(windows).filter("first < doc_id")
     span = lambda n: F.struct("start", (F.col("start") + n).cast("int").alias("end"))
     gone = placed.filter("not own").select("doc_id", "text_hash", span(F.col("n") + window - 1).alias("range"))
@@ -264,5 +264,5 @@ def remove_repeats(
                 )
 
     return joined.mapInArrow(
-        cut, f"doc_id {source.schema['doc_id'].dataType.simpleString()}, kept string, n_words bigint, n_removed bigint"
+        tidy(cut), f"doc_id {source.schema['doc_id'].dataType.simpleString()}, kept string, n_words bigint, n_removed bigint"
     )

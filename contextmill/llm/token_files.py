@@ -23,7 +23,7 @@ from tokenizers import Tokenizer
 
 from contextmill.llm.pretokens import Pretokens, character_classes, gather, hash_bases
 from contextmill.llm.shared_files import make_folder, read_files, write_file
-from contextmill.llm.words import slices
+from contextmill.llm.words import slices, tidy
 from contextmill.session import materialise, work_folder
 
 MAGIC = b"CMTOKEN1"
@@ -176,7 +176,7 @@ def _sample(docs: DataFrame, held, end_id: int, width: int) -> list[bytes]:
                         for x in held.value.encode([t or "" for t in part.column("text").to_pylist()])]
                 yield pa.RecordBatch.from_arrays([pa.array(rows, pa.binary())], ["ids"])
 
-    return sorted(bytes(r.ids) for r in some.select("text").mapInArrow(serialise, "ids binary").collect())
+    return sorted(bytes(r.ids) for r in some.select("text").mapInArrow(tidy(serialise), "ids binary").collect())
 
 
 def write_tokens(docs: DataFrame, tokenizer_path: str, end_id: int, folder: str, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -229,7 +229,7 @@ def write_tokens(docs: DataFrame, tokenizer_path: str, end_id: int, folder: str,
         if keys:
             yield flush()
 
-    return materialise(ranged.mapInArrow(write, "file string, partition int, part int, docs bigint, tokens bigint"), "manifest")
+    return materialise(ranged.mapInArrow(tidy(write), "file string, partition int, part int, docs bigint, tokens bigint"), "manifest")
 
 
 def read_tokens(folder: str, manifest: DataFrame) -> DataFrame:
@@ -268,7 +268,7 @@ def read_tokens(folder: str, manifest: DataFrame) -> DataFrame:
                         ["doc_id", "start", "n_tokens", "ids"])
 
     files = read_files(spark, folder, based).select("content", "base")
-    return files.mapInArrow(unpack, "doc_id bigint, start bigint, n_tokens bigint, ids binary")
+    return files.mapInArrow(tidy(unpack), "doc_id bigint, start bigint, n_tokens bigint, ids binary")
 
 
 def new_folder(docs: DataFrame) -> str:

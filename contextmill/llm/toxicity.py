@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from contextmill.llm.words import Words, alphanumeric, mix, slices
+from contextmill.llm.words import Words, alphanumeric, mix, slices, tidy
 from contextmill.session import materialise
 
 #: Labelled documents the model is fitted on, at most about this many, by a hash of their id.
@@ -165,7 +165,7 @@ def _counts(source: DataFrame) -> DataFrame:
                         yield pa.RecordBatch.from_arrays(
                             [pa.array(known.astype(np.int64)), pa.array(toxic), pa.array(n - toxic)], ["feature", "toxic", "clean"])
 
-    part = source.mapInArrow(count, "feature bigint, toxic bigint, clean bigint")
+    part = source.mapInArrow(tidy(count), "feature bigint, toxic bigint, clean bigint")
     return part.groupBy("feature").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
 
 
@@ -216,7 +216,7 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
                     [part.column("toxic"), pa.array(cut(number), pa.binary()), pa.array(cut(n), pa.binary())],
                     ["toxic", "numbers", "counts"])
 
-    made = sorted(map(tuple, sample.mapInArrow(sparse, "toxic int, numbers binary, counts binary").collect()))
+    made = sorted(map(tuple, sample.mapInArrow(tidy(sparse), "toxic int, numbers binary, counts binary").collect()))
     numbers = [np.frombuffer(bytes(r[1]), np.int32) for r in made]
     counts = [np.frombuffer(bytes(r[2]), np.int32) for r in made]
     toxic = np.array([r[0] for r in made]) == 1
@@ -257,7 +257,7 @@ def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
                 yield pa.RecordBatch.from_arrays(list(columns.values()), list(columns))
 
     made = (T.DoubleType(), T.IntegerType(), T.DoubleType(), T.BooleanType())
-    return kept.mapInArrow(rate, T.StructType([*kept.schema.fields, *map(T.StructField, new, made)]))
+    return kept.mapInArrow(tidy(rate), T.StructType([*kept.schema.fields, *map(T.StructField, new, made)]))
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:

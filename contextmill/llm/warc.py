@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from contextmill.llm.shared_files import make_folder, read_files, write_file
+from contextmill.llm.words import tidy
 from contextmill.session import materialise
 
 #: Compressed bytes after which a task begins another archive.
@@ -213,7 +214,7 @@ def write_archives(
         if captures:
             yield flush()
 
-    return materialise(source.mapInArrow(write, kind), "captures")
+    return materialise(source.mapInArrow(tidy(write), kind), "captures")
 
 
 def merge_index(captures: DataFrame) -> DataFrame:
@@ -238,7 +239,7 @@ def merge_index(captures: DataFrame) -> DataFrame:
         merged = pa.array(list(LoserTree(runs, place)), pa.int64())
         yield from table.take(merged).to_batches(max_chunksize=10_000)
 
-    merged = pieces.mapInArrow(merge, captures.schema).withColumn("__at", F.monotonically_increasing_id())
+    merged = pieces.mapInArrow(tidy(merge), captures.schema).withColumn("__at", F.monotonically_increasing_id())
     placed = materialise(merged, "index")
     part, within = F.shiftright("__at", 33), F.col("__at").bitwiseAND((1 << 33) - 1)
     sizes = dict(placed.groupBy(part.alias("p")).count().collect())  # a row per partition
@@ -286,4 +287,4 @@ def read_archives(captures: DataFrame, folder: str) -> DataFrame:
     files = captures.select("file").distinct()
     if not files.limit(1).count():
         return captures.sparkSession.createDataFrame([], kind)
-    return read_files(captures.sparkSession, make_folder(captures.sparkSession, folder), files).mapInArrow(unpack, kind)
+    return read_files(captures.sparkSession, make_folder(captures.sparkSession, folder), files).mapInArrow(tidy(unpack), kind)
