@@ -147,67 +147,78 @@ def trailing_similarity(rows: np.ndarray, groups: np.ndarray, window: int) -> tu
     return row_cosine(wide, before), has
 
 
-def _semantic_pack(dim: int, threshold: float, cap: int, window: int, schema: pa.Schema):
+def _sizes(sentences: pa.Array, unit: str) -> np.ndarray:
+    count = pc.utf8_length(sentences) if unit == "chars" else pc.count_substring_regex(sentences, tx.WHITESPACE_TOKEN)
+    return count.to_numpy().astype(np.int64)
+
+
+def _starts(cuts: np.ndarray, sizes: np.ndarray, cap: int) -> np.ndarray:
+    """Where chunks begin: at each cut, and where a chunk would exceed the cap."""
+    ends = np.append(np.flatnonzero(cuts), len(cuts))
+    total = np.concatenate(([0], np.cumsum(sizes)))
+    starts, at = [], 0
+    while at < len(cuts):
+        starts.append(at)
+        full = int(np.searchsorted(total, total[at] + cap, "right")) - 1
+        at = min(int(ends[np.searchsorted(ends, at, "right")]), max(full, at + 1))
+    return np.array(starts)
+
+
+def _semantic_pack(dim: int, threshold: float, cap: int, window: int, unit: str, schema: pa.Schema):
     """Chunks out of the ordered sentences of whole documents.
 
-    Works over the batches of one task with the last sentences carried over, so
+    Works over the batches of one task with the open chunk and the last vectors carried over, so
     memory does not grow with the document. Columns: document columns, position,
     sentence, vector.
     """
     n_keys = len(schema) - 2
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        document = None
         tail: np.ndarray | None = None
-        open_text: list[str] = []
-        open_size = index = expected = 0
+        open_rows: pa.Table | None = None
+        open_sizes, last, index = np.zeros(0, np.int64), -1, 0
+
+        def chunks(rows: pa.Table, starts: np.ndarray, numbers: np.ndarray) -> pa.RecordBatch:
+            offsets = pa.array(np.append(starts, rows.num_rows), pa.int32())
+            texts = pc.binary_join(pa.ListArray.from_arrays(offsets, rows.column(n_keys + 1).combine_chunks()), "")
+            keys = [rows.column(i).combine_chunks().take(pa.array(starts)) for i in range(n_keys)]
+            return pa.RecordBatch.from_arrays([*keys, pa.array(numbers, pa.int32()), texts], schema=schema)
 
         for batch in batches:
             if not batch.num_rows:
                 continue
-            keys = list(zip(*[batch.column(i).to_pylist() for i in range(n_keys)]))
             position = batch.column(n_keys).to_numpy()
-            texts = batch.column(n_keys + 1).to_pylist()
-            sizes = pc.utf8_length(batch.column(n_keys + 1)).to_numpy()
-            rows = matrix(batch.column(n_keys + 2), dim)
-
+            if ((position != 0) & (position != np.concatenate(([last], position[:-1])) + 1)).any():
+                raise ValueError("sentences of a document are not in order")
+            last = position[-1]
+            vectors = matrix(batch.column(n_keys + 2), dim)
             group = np.cumsum(position == 0)
             held = 0 if tail is None else len(tail)
-            stacked = rows if not held else np.concatenate([tail, rows])
+            stacked = vectors if not held else np.concatenate([tail, vectors])
             groups = np.concatenate([np.zeros(held, dtype=group.dtype), group])
             sims, has = (x[held:] for x in trailing_similarity(stacked, groups, window))
-            cuts = ~has | (sims < threshold)
-            of_last = stacked[groups == groups[-1]]
-            tail = of_last[-window:]
-
-            done = []
-            for i, sentence in enumerate(texts):
-                if position[i] == 0:
-                    expected = 0
-                if position[i] != expected:
-                    raise ValueError("sentences of a document are not in order")
-                expected += 1
-                if cuts[i] or open_size + sizes[i] > cap:
-                    if open_text:
-                        done.append((*document, index, "".join(open_text)))
-                    index = 0 if position[i] == 0 else index + 1
-                    document, open_text, open_size = keys[i], [], 0
-                open_text.append(sentence)
-                open_size += int(sizes[i])
-            if done:
-                yield _rows(done, schema)
-        if open_text:
-            yield _rows([(*document, index, "".join(open_text))], schema)
+            tail = stacked[groups == groups[-1]][-window:]
+
+            rows = pa.Table.from_batches([batch]).select(range(n_keys + 2))
+            cuts, sizes = ~has | (sims < threshold), _sizes(batch.column(n_keys + 1), unit)
+            if open_rows is not None:
+                rows = pa.concat_tables([open_rows, rows])
+                cuts = np.concatenate((np.arange(len(open_sizes)) == 0, cuts))
+                sizes = np.concatenate((open_sizes, sizes))
+            starts = _starts(cuts, sizes, cap)
+            place = np.arange(len(starts))
+            opening = rows.column(n_keys).to_numpy()[starts] == 0
+            first = np.maximum.accumulate(np.where(opening, place, -1))
+            numbers = np.where(first < 0, place + index, place - first)
+            if len(starts) > 1:
+                yield chunks(rows.slice(0, starts[-1]), starts[:-1], numbers[:-1])
+            open_rows, open_sizes, index = rows.slice(starts[-1]), sizes[starts[-1] :], int(numbers[-1])
+        if open_rows is not None:
+            yield chunks(open_rows, np.array([0]), np.array([index]))
 
     return run
 
 
-def _rows(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays(
-        [pa.array(column, type=field.type) for column, field in zip(zip(*rows), schema)], schema=schema
-    )
-
-
 def semantic_chunks(
     docs: DataFrame,
     embedder: Model | None = None,
@@ -215,8 +226,9 @@ def semantic_chunks(
     threshold: float = SEMANTIC_THRESHOLD,
     cap: int = SEMANTIC_CHARS,
     window: int = SEMANTIC_WINDOW,
+    unit: str = "chars",
 ) -> DataFrame:
-    """Neighbouring sentences of like meaning, up to ``cap`` characters.
+    """Neighbouring sentences of like meaning, up to ``cap`` characters or, by ``unit``, tokens.
 
     A sentence starts a new chunk where its similarity to the sentences before it
     is under the threshold or the chunk would exceed the cap; a longer sentence
@@ -224,6 +236,8 @@ def semantic_chunks(
     """
     from pyspark.sql.pandas.types import to_arrow_schema
 
+    if unit not in ("chars", "tokens"):
+        raise ValueError("a chunk is measured in chars or tokens")
     embed = embedder or hashed_embedder(dim)
     rows = sentence_rows(docs).withColumn("vector", embed(F.col("sentence")))
     kept = [c for c in rows.columns if c in ("doc_id", "source")]
@@ -232,7 +246,7 @@ def semantic_chunks(
         [rows.schema[c] for c in kept]
         + [T.StructField("chunk_index", T.IntegerType()), T.StructField("text", T.StringType())]
     )
-    return rows.mapInArrow(_semantic_pack(dim, threshold, cap, window, to_arrow_schema(out)), out)
+    return rows.mapInArrow(_semantic_pack(dim, threshold, cap, window, unit, to_arrow_schema(out)), out)
 
 
 CHUNKERS: dict[str, Callable[[DataFrame], DataFrame]] = {

@@ -192,3 +192,16 @@ def test_strip_equals_python(spark):
     rows = spark.createDataFrame([(i, c) for i, c in enumerate(cases)], "i int, t string")
     got = [r.t for r in rows.select("i", tx.strip(F.col("t")).alias("t")).orderBy("i").collect()]
     assert got == [c.strip() for c in cases]
+
+
+@pytest.mark.parametrize("batch", ["1", "2", "10000"])
+def test_semantic_cap_in_tokens(spark, setting, batch):
+    """A cap in tokens, with chunks that go on over batches and documents that follow each other."""
+    setting("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+    rows = [(1, "s", "a b. a b. a b. a b. a b."), (2, "s", "a b. " * 4), (3, "s", "a b c d e f g.")]
+    docs = spark.createDataFrame(rows, "doc_id long, source string, text string").coalesce(1)
+    out = ch.semantic_chunks(docs, cap=4, unit="tokens", threshold=-1.0).orderBy("doc_id", "chunk_index").collect()
+    assert [(r.doc_id, r.chunk_index, len(r.text.split())) for r in out] == [
+        (1, 0, 4), (1, 1, 4), (1, 2, 2), (2, 0, 4), (2, 1, 4), (3, 0, 7)]
+    with pytest.raises(ValueError):
+        ch.semantic_chunks(docs, unit="words")
