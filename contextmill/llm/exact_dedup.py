@@ -84,7 +84,8 @@ def exact_duplicates(
     base = materialise(recipes(docs, key, text, identifier), "recipes")
     first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row"))
     groups = base.groupBy("recipe").agg(first.alias("first"), F.count("*").alias("n")).filter("n > 1")
-    found = base.join(groups, "recipe", "left")
+    # Written, so that the join has shuffles of its own, in which Spark can split a hot recipe.
+    found = base.join(materialise(groups, "groups"), "recipe", "left")
     alone = F.col("n").isNull()
     return found.select(
         "doc_id",
