@@ -28,13 +28,14 @@ from contextmill.llm.pretokens import Pretokens, character_classes, gather, hash
 from contextmill.llm.words import slices, tidy
 from contextmill.session import materialise
 
-#: Distinct words whose ids are broadcast, at most: about 40 MB.
-MEMO_WORDS = 1 << 20
+#: Distinct words whose ids are broadcast, at most: about 60 MB.
+MEMO_WORDS = 3 << 19
 #: Characters of a word that the fold takes; its steps grow with the square of the length. Longer
 #: words, which are hardly words, are merged with a heap in the task that reads them.
 FOLD_CHARS = 64
 _BUCKETS = 1 << 15
-_FLUSH = 250_000
+#: Slices whose words are counted together.
+_HELD = 24
 #: Bytes of text looked at together, so that their arrays stay in the processor's cache.
 _COUNT_BYTES, _LOOK_UP_BYTES = 1 << 18, 1 << 17
 #: Documents put together at a time.
@@ -131,15 +132,18 @@ def word_counts(docs: DataFrame, classes) -> DataFrame:
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bases, table = hash_bases(), classes.value
-        counts: dict[int, int] = {}
-        words: dict[int, str] = {}
+        held: list[tuple[Pretokens, np.ndarray, np.ndarray, np.ndarray]] = []  # cut, hashes, places, counts
 
         def flush() -> pa.RecordBatch:
-            often = [(words[h], n) for h, n in counts.items() if n > 1]
-            counts.clear()
-            words.clear()
-            return pa.RecordBatch.from_arrays(
-                [pa.array([w for w, _ in often], pa.string()), pa.array([n for _, n in often], pa.int64())], ["word", "n"])
+            hashes, places, counts = (np.concatenate([x[i] for x in held]) for i in (1, 2, 3))
+            begin = np.cumsum([0, *(len(x[1]) for x in held)])
+            _, at, back = np.unique(hashes, return_index=True, return_inverse=True)
+            total = np.bincount(back, counts).astype(np.int64)
+            often = np.flatnonzero(total > 1)
+            of = np.searchsorted(begin, at[often], "right") - 1
+            words = [held[t][0].word(i) for t, i in zip(of.tolist(), places[at[often]].tolist())]
+            held.clear()
+            return pa.RecordBatch.from_arrays([pa.array(words, pa.string()), pa.array(total[often])], ["word", "n"])
 
         for batch in batches:
             for part in slices(batch, "text", _COUNT_BYTES):
@@ -148,14 +152,10 @@ def word_counts(docs: DataFrame, classes) -> DataFrame:
                     continue
                 known, at, n = np.unique(cut.hash(bases[0]), return_index=True, return_counts=True)
                 short = cut.ends[at] - cut.starts[at] <= FOLD_CHARS
-                for h, i, c in zip(known[short].tolist(), at[short].tolist(), n[short].tolist()):
-                    if h in counts:
-                        counts[h] += c
-                    else:
-                        counts[h], words[h] = c, cut.word(i)
-                if len(counts) > _FLUSH:
+                held.append((cut, known[short], at[short], n[short]))
+                if len(held) == _HELD:
                     yield flush()
-        if counts:
+        if held:
             yield flush()
 
     return docs.select("text").mapInArrow(tidy(count), "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
