@@ -148,7 +148,7 @@ def _counts(source: DataFrame) -> DataFrame:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         splitter = alphanumeric()
         for batch in batches:
-            for part in slices(batch, "text", 4 << 20):
+            for part in slices(batch, "text", 1 << 20):
                 words = splitter.split(part.column("text"))
                 bad = np.asarray(part.column("toxic").cast(pa.int64()))
                 for at, values in features(words):
