@@ -28,14 +28,14 @@ from contextmill.llm.pretokens import Pretokens, character_classes, gather, hash
 from contextmill.llm.words import slices, tidy
 from contextmill.session import materialise
 
-#: Distinct words whose ids are broadcast, at most: about 60 MB.
-MEMO_WORDS = 3 << 19
+#: Distinct words whose ids are broadcast, at most: about 40 MB.
+MEMO_WORDS = 1 << 20
 #: Characters of a word that the fold takes; its steps grow with the square of the length. Longer
 #: words, which are hardly words, are merged with a heap in the task that reads them.
 FOLD_CHARS = 64
 _BUCKETS = 1 << 15
 #: Slices whose words are counted together.
-_HELD = 24
+_HELD = 6
 #: Bytes of text looked at together, so that their arrays stay in the processor's cache.
 _COUNT_BYTES, _LOOK_UP_BYTES = 1 << 18, 1 << 17
 #: Documents put together at a time.
