@@ -42,20 +42,24 @@ class WordTokenizer:
     For tokenizers that normalise with NFC, white space and lower case and then split into words,
     contractions, single numbers and other characters: there a text's ids are those of its
     words. Texts with code points that Python's own tables don't know, whose classes may differ
-    between versions of Unicode, go to the library whole. Broadcast, it is one object per worker process, which remembers words from task to
-    task, up to a fixed number.
+    between versions of Unicode, go to the library whole. With ``added`` an added token's string in a
+    text is that token, as by the library's default, and texts that hold one go to the library whole,
+    too; without, it is ordinary text. Broadcast, it is one object per worker process, which
+    remembers words from task to task, up to a fixed number.
     """
 
-    def __init__(self, model: str, classes: np.ndarray):
-        self.model, self.classes = model, classes
+    def __init__(self, model: str, classes: np.ndarray, added: bool = False):
+        self.model, self.classes, self.added = model, classes, added
         self.library = None
 
     def __getstate__(self):
-        return {"model": self.model, "classes": self.classes, "library": None}
+        return {"model": self.model, "classes": self.classes, "added": self.added, "library": None}
 
     def _start(self) -> None:
         self.library = Tokenizer.from_str(self.model)
-        self.library.encode_special_tokens = True  # their strings in a text are ordinary text
+        tokens = self.library.get_added_tokens_decoder().values() if self.added else []
+        self.strings = [t.content for t in tokens]
+        self.normalised = [t.content.lower() for t in tokens if t.normalized]
         vocabulary = self.library.get_vocab()
         self.last = np.zeros(max(vocabulary.values()) + 1, bool)  # ends a word
         for token, number in vocabulary.items():
@@ -71,6 +75,7 @@ class WordTokenizer:
 
     def _ask(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(ids, number of ids of each word) of words that are one pre-token each."""
+        self.library.encode_special_tokens = True  # no word of a text without such strings is one
         ids = np.array(self.library.encode(" ".join(words), add_special_tokens=False).ids, np.int32)
         ends = np.flatnonzero(self.last[ids]) + 1
         if len(ends) != len(words):
@@ -78,14 +83,19 @@ class WordTokenizer:
         return ids, np.diff(ends, prepend=0)
 
     def _whole(self, text: str) -> np.ndarray:
+        self.library.encode_special_tokens = not self.added
         return np.array(self.library.encode(text, add_special_tokens=False).ids, np.int32)
 
+    def _odd(self, text: str) -> bool:
+        """Whether a text must go to the library whole."""
+        if any(s in text for s in self.strings) or self.normalised and any(s in text.lower() for s in self.normalised):
+            return True
+        return bool(self.unknown[np.frombuffer(text.encode("utf-32-le"), np.uint32)].any())
+
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         if self.library is None:
             self._start()
-        codes = np.frombuffer("\n".join(texts).encode("utf-32-le"), np.uint32)
-        if self.unknown[codes].any():
-            whole = {i for i, t in enumerate(texts) if self.unknown[np.frombuffer(t.encode("utf-32-le"), np.uint32)].any()}
+        if self._odd("\n".join(texts)) and (whole := {i for i, t in enumerate(texts) if self._odd(t)}):
             rest = iter(self.encode([t for i, t in enumerate(texts) if i not in whole]))
             return [self._whole(t) if i in whole else next(rest) for i, t in enumerate(texts)]
         # Lower case goes character by character in the library, also for a final sigma.
@@ -182,8 +192,8 @@ def _sample(docs: DataFrame, held, end_id: int, width: int) -> list[bytes]:
 def write_tokens(docs: DataFrame, tokenizer_path: str, end_id: int, folder: str, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Write token files into ``folder``; the manifest: file, partition, part, docs, tokens.
 
-    Each document's ids are those of its whole text without special tokens, then ``end_id``. NULL
-    and empty texts have the end id alone. Documents are in ascending order of ``key`` (64-bit),
+    Each document's ids are the library's of its whole text with ``add_special_tokens=False``, then
+    ``end_id``: none are put in, but an added token's string in a text is that token. NULL and empty texts have the end id alone. Documents are in ascending order of ``key`` (64-bit),
     NULL first; repeated keys are ordered by a hash of the text. The range shuffle splits on a
     row number last, so equal rows may be many. An empty table writes the dictionary alone.
     """
@@ -191,7 +201,7 @@ def write_tokens(docs: DataFrame, tokenizer_path: str, end_id: int, folder: str,
     context = spark.sparkContext
     folder = make_folder(spark, folder)
     with open(tokenizer_path, encoding="utf-8") as model:
-        library = WordTokenizer(model.read(), character_classes())
+        library = WordTokenizer(model.read(), character_classes(), added=True)
     held = context.broadcast(library)
     width = 2 if max(Tokenizer.from_file(tokenizer_path).get_vocab_size(), end_id + 1) <= 1 << 16 else 4
     source = docs.select(F.col(key).cast("bigint").alias("doc_id"), F.col(text).alias("text"))

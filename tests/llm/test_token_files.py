@@ -79,3 +79,15 @@ def test_shared_dictionary_helps_short_documents():
     with_it = zstandard.ZstdCompressor(**token_files._compression(dictionary))
     short = [s for s in samples if len(s) < 600]
     assert sum(len(with_it.compress(s)) for s in short) < 0.9 * sum(len(zstandard.compress(s)) for s in short)
+
+
+def test_added_tokens_in_texts_are_those_of_the_unmodified_library(spark, tmp_path):
+    unmodified = Tokenizer.from_file(PATH)
+    texts = ["a note <|endoftext|> ends", "<|startoftext|>", "x<|endoftext|><|endoftext|>y", "<|ENDOFTEXT|> <| endoftext |>", "plain"]
+    texts += [t for t in odd_texts() if t and "<|endoftext|>" in t][:50]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    folder = str(tmp_path / "t")
+    rows = token_files.read_tokens(folder, token_files.write_tokens(df, PATH, 2, folder)).collect()
+    got = {r.doc_id: np.frombuffer(r.ids, "<u4").tolist() for r in rows}
+    assert got == {i: [*unmodified.encode(t, add_special_tokens=False).ids, 2] for i, t in enumerate(texts)}
+    assert got[0] == [320, 3246, 49407, 1339, 2]
