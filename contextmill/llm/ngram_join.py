@@ -91,8 +91,12 @@ def minhashes(values: np.ndarray, begin: np.ndarray, n: int) -> np.ndarray:
     return out
 
 
-def signatures(docs: DataFrame, size: int, bands: int, rows: int) -> DataFrame:
-    """(doc_id, row, bytes, set_id, bands): per row its n-gram set's digest and band hashes."""
+def signatures(docs: DataFrame, size: int, bands: int, rows: int, wordless_apart: bool = False) -> DataFrame:
+    """(doc_id, row, bytes, set_id, wordless, bands): per row its n-gram set's digest and band hashes.
+
+    With ``wordless_apart`` the digest of a text without words is that of the text, without the
+    white space around it and with one space for each run inside.
+    """
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         splitter = alphanumeric()
@@ -112,18 +116,22 @@ def signatures(docs: DataFrame, size: int, bands: int, rows: int) -> DataFrame:
                     hashlib.blake2b(data[8 * a : 8 * b], digest_size=16).digest()
                     for a, b in zip(begin[:-1].tolist(), begin[1:].tolist())
                 ]
+                if wordless_apart:
+                    for t in np.flatnonzero(words.counts == 0).tolist():
+                        plain = b" ".join((part.column("text")[t].as_py() or "").encode().split())
+                        sets[t] = hashlib.blake2b(plain, digest_size=16, person=b"wordless").digest()
                 yield pa.RecordBatch.from_arrays(
                     [
                         part.column("doc_id"), part.column("row"),
                         pa.array(np.diff(words.begin) - 1, pa.int64()),
-                        pa.array(sets, pa.binary()),
+                        pa.array(sets, pa.binary()), pa.array(words.counts == 0),
                         pa.ListArray.from_arrays(np.arange(part.num_rows + 1, dtype=np.int32) * bands, pa.array(keys.ravel())),
                     ],
-                    ["doc_id", "row", "bytes", "set_id", "bands"],
+                    ["doc_id", "row", "bytes", "set_id", "wordless", "bands"],
                 )
 
     return docs.select("doc_id", "row", "text").mapInArrow(
-        tidy(sign), "doc_id bigint, row bigint, bytes bigint, set_id binary, bands array<bigint>")
+        tidy(sign), "doc_id bigint, row bigint, bytes bigint, set_id binary, wordless boolean, bands array<bigint>")
 
 
 def _compare(size: int, similarity: float):
@@ -243,7 +251,7 @@ def components(edges: DataFrame) -> DataFrame:
 
 def ngram_join(
     docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = WORDS, similarity: float = SIMILARITY,
-    recall: float = RECALL, block_rows: int = BLOCK_ROWS, block_bytes: int = BLOCK_BYTES,
+    recall: float = RECALL, block_rows: int = BLOCK_ROWS, block_bytes: int = BLOCK_BYTES, wordless_apart: bool = False,
 ) -> DataFrame:
     """One row per document row: doc_id, class_id, copy_id, n_copies, n_links, n_linked_texts, row.
 
@@ -251,7 +259,8 @@ def ngram_join(
     ``n_linked_texts`` counts other n-gram sets of Jaccard similarity ``similarity`` or more,
     ``n_links`` all other rows linked, copies included; ``class_id`` is the least id reached over
     links. Words are runs of letters and digits, A-Z as a-z. NULL, empty and wordless texts have
-    the same (empty) set, so they are copies of each other and linked to nothing else; a text
+    the same (empty) set, so they are copies of each other and linked to nothing else; with
+    ``wordless_apart`` only those whose texts are equal up to white space are copies. A text
     of fewer words than an n-gram is one n-gram. Rows may repeat; a NULL id is larger than any
     other. ``docs`` must yield its rows in the same partitions each time, as a written table
     does. Other columns are not read.
@@ -259,14 +268,13 @@ def ngram_join(
     bands, rows = bands_for(similarity, recall)
     source = docs.select(
         F.col(key).cast("bigint").alias("doc_id"), F.col(text).alias("text"), F.monotonically_increasing_id().alias("row"))
-    signed = materialise(signatures(source, size, bands, rows), "signatures")
+    signed = materialise(signatures(source, size, bands, rows, wordless_apart), "signatures")
     first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row"))
     sets = materialise(
         signed.groupBy("set_id").agg(first.alias("first"), F.count("*").alias("copies"))
         .select("set_id", F.col("first.row").alias("rep"), F.col("first.doc_id").alias("copy_id"), "copies"), "sets")
-    nothing = hashlib.blake2b(b"", digest_size=16).digest()
-    reps = materialise(signed.drop("set_id", "doc_id").withColumnRenamed("row", "rep").join(
-        sets.filter(F.col("set_id") != F.lit(nothing)).select("rep", "copies"), "rep"), "representatives")
+    reps = materialise(signed.filter("not wordless").drop("set_id", "doc_id", "wordless").withColumnRenamed("row", "rep").join(
+        sets.select("rep", "copies"), "rep"), "representatives")
     links = materialise(
         similar_texts(reps, source.select("row", "text"), size, similarity, block_rows, block_bytes), "links")
     counts = links.groupBy("rep").agg(F.sum("texts").alias("texts"), F.sum("rows").alias("others"))
@@ -293,7 +301,7 @@ def ngram_join(
 def drop_near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
     """``docs`` with one row of each class, the one with the least id; all columns as they were.
 
-    Wordless texts are one class.
+    Wordless texts are one class; with ``wordless_apart`` those that differ are all kept.
     """
     mark = "__contextmill_row"
     gone = materialise(ngram_join(docs, key, text, **options).filter("not first_of_class").select(F.col("row").alias(mark)), "near")

@@ -51,7 +51,7 @@ def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ngram_join.ngram_join(read(spark, sf_dir, "documents")).drop("row")
+    return ngram_join.ngram_join(read(spark, sf_dir, "documents"), wordless_apart=True).drop("row")
 
 
 def op6_warc_index_merge(spark: SparkSession, sf_dir: str) -> DataFrame:

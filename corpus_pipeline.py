@@ -28,8 +28,11 @@ def keep_one_of_equal(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def keep_one_of_similar(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The smallest id of each group linked by five-word shingles of Jaccard similarity 0.8."""
-    return ngram_join.drop_near_duplicates(docs)
+    """The smallest id of each group linked by five-word shingles of Jaccard similarity 0.8.
+
+    Different texts without words have no shingles to compare and are all kept.
+    """
+    return ngram_join.drop_near_duplicates(docs, wordless_apart=True)
 
 
 def keep_uncontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

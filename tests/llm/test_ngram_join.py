@@ -3,6 +3,7 @@
 import random
 from collections import Counter
 
+import corpus_pipeline
 import pytest
 from conftest import SMALL
 from test_windows import alnum
@@ -89,3 +90,13 @@ def test_components_of_chains_and_stars(spark):
     got = dict(ngram_join.components(spark.createDataFrame(edges, "a long, b long")).collect())
     want = {i: 100 for i in range(100, 161)} | {i: 1 for i in [*range(1, 30), 999]} | {40: 40, 50: 40, 60: 60, 70: 60}
     assert got == want
+
+
+def test_different_texts_without_words_are_kept(spark, tmp_path):
+    docs = [(1, "---"), (2, "!!!"), (3, " --- "), (4, "- -\n-"), (5, "- - -"), (6, None), (7, ""), (8, " \n"), (9, "two words"), (10, "Two, words.")]
+    spark.createDataFrame(docs, "doc_id long, text string").repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    rows = QUERIES["op5_ngram_jaccard_join"](spark, str(tmp_path)).collect()
+    assert {r.doc_id: r.class_id for r in rows} == {1: 1, 2: 2, 3: 1, 4: 4, 5: 4, 6: 6, 7: 6, 8: 6, 9: 9, 10: 9}
+    assert {r.doc_id: r.n_links for r in rows} == {1: 1, 2: 0, 3: 1, 4: 1, 5: 1, 6: 2, 7: 2, 8: 2, 9: 1, 10: 1}
+    kept = corpus_pipeline.keep_one_of_similar(spark, spark.read.parquet(f"{tmp_path}/documents.parquet"), str(tmp_path))
+    assert sorted(r.doc_id for r in kept.collect()) == [1, 2, 4, 6, 9]
