@@ -175,9 +175,10 @@ class TokenFile:
 
 
 def _sample(docs: DataFrame, held, end_id: int, width: int) -> list[bytes]:
-    """Serialised ids of about SAMPLE_DOCS documents, chosen by a hash of the id."""
+    """First SAMPLE_BYTES of the ids of about SAMPLE_DOCS rows, chosen by a hash of id and row number."""
     share = min(1.0, SAMPLE_DOCS / max(1, docs.count()))
-    some = docs.filter(F.pmod(F.xxhash64(F.lit("sample"), "doc_id"), F.lit(1 << 30)) < int(share * (1 << 30)))
+    numbered = docs.withColumn("row", F.monotonically_increasing_id())  # an id may be on very many rows
+    some = numbered.filter(F.pmod(F.xxhash64(F.lit("sample"), "doc_id", "row"), F.lit(1 << 30)) < int(share * (1 << 30)))
 
     def serialise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -21,7 +21,7 @@ from pyspark.sql import types as T
 from contextmill.llm.words import Words, alphanumeric, mix, slices, tidy
 from contextmill.session import materialise
 
-#: Labelled documents the model is fitted on, at most about this many, by a hash of their id.
+#: Labelled documents the model is fitted on, at most about this many, by a hash of id and row number.
 FIT_ROWS = 20_000
 #: Selected features at most; least documents and least z value of a feature. More than half of
 #: the sample's documents that have it must be toxic.
@@ -170,18 +170,21 @@ def _counts(source: DataFrame) -> DataFrame:
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, key: str, text: str, label: str, rows: int) -> DataFrame:
-    """(text, toxic) of labelled documents: all, or by a hash of the id about ``rows`` of them.
+    """(text, toxic) of labelled documents: all, or by a hash of id and row number about ``rows`` of them.
 
-    A document is toxic if any of its labels is above zero; NULL ids and labels are left out.
+    A document is toxic if any of its labels is above zero; NULL ids and labels are left out. The
+    bound is on rows of ``docs``, of which an id may have very many.
     """
     marks = labels.filter(F.col(label).isNotNull() & F.col(key).isNotNull())
     marks = marks.groupBy(F.col(key).alias("__id")).agg((F.max(label) > 0).cast("int").alias("toxic"))
-    total = marks.count()
-    share = min(1.0, 0.95 * rows / max(1, total))
-    chosen = marks.filter(F.pmod(F.xxhash64(F.lit("fit"), "__id"), F.lit(1 << 30)) < int(share * (1 << 30)))
     held = docs.select(F.col(key).alias("__id"), F.col(text).alias("text"))
-    # The chosen ids are as many as the bound allows at any input size.
-    return held.join(F.broadcast(chosen), "__id").select("text", "toxic")
+    total = held.groupBy("__id").count().join(marks, "__id").agg(F.sum("count")).first()[0] or 0
+    share = min(1.0, 0.95 * rows / max(1, total))
+    numbered = held.withColumn("row", F.monotonically_increasing_id())
+    some = numbered.filter(F.pmod(F.xxhash64(F.lit("fit"), "__id", "row"), F.lit(1 << 30)) < int(share * (1 << 30)))
+    # The chosen ids are as many as the bound allows at any input size; texts are not shuffled.
+    chosen = marks.join(some.select("__id"), "__id", "left_semi")
+    return some.join(F.broadcast(chosen), "__id").select("text", "toxic")
 
 
 def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", rows: int = FIT_ROWS) -> Model:

@@ -91,3 +91,12 @@ def test_added_tokens_in_texts_are_those_of_the_unmodified_library(spark, tmp_pa
     got = {r.doc_id: np.frombuffer(r.ids, "<u4").tolist() for r in rows}
     assert got == {i: [*unmodified.encode(t, add_special_tokens=False).ids, 2] for i, t in enumerate(texts)}
     assert got[0] == [320, 3246, 49407, 1339, 2]
+
+
+def test_sample_of_repeated_and_null_ids_is_bounded(spark, monkeypatch):
+    monkeypatch.setattr(token_files, "SAMPLE_DOCS", 100)
+    with open(PATH, encoding="utf-8") as f:
+        held = spark.sparkContext.broadcast(token_files.WordTokenizer(f.read(), pretokens.character_classes()))
+    for key in [None, *range(12)]:
+        docs = spark.createDataFrame([(key, f"text {i}") for i in range(1000)], "doc_id long, text string")
+        assert 50 <= len(token_files._sample(docs, held, 2, 2)) <= 150

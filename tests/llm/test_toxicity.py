@@ -74,3 +74,16 @@ def test_without_labels_or_documents(spark, made):
 
 def test_sample_is_bounded(spark, made):
     assert toxicity.labelled_sample(made, made, "doc_id", "text", "toxic", 100).count() <= 130
+
+
+def test_sample_is_bounded_in_rows_of_repeated_ids(spark, made):
+    some = made.withColumn("text", F.concat_ws(" ", "text", "doc_id"))
+    hot = some.select((F.col("doc_id") % 3).alias("doc_id"), "text", "toxic")
+    docs = some.select("doc_id", "text").union(hot.select("doc_id", "text"))
+    for seed in range(3):  # whichever ids a hash prefers
+        moved = docs.withColumn("doc_id", F.col("doc_id") + 1000 * seed)
+        labels = made.select((F.col("doc_id") + 1000 * seed).alias("doc_id"), "toxic")
+        sample = toxicity.labelled_sample(moved, labels, "doc_id", "text", "toxic", 100)
+        assert 60 <= sample.count() <= 130
+    one = docs.withColumn("doc_id", F.lit(5))
+    assert toxicity.labelled_sample(one, made.filter("doc_id = 5"), "doc_id", "text", "toxic", 100).count() <= 130
