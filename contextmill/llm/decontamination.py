@@ -1,12 +1,15 @@
 """Benchmark decontamination: a broadcast set of normalised test n-grams, verified hits.
 
-The windows of the benchmark are counted first and broadcast in blocks of bounded size; each
-block is one step of the same scan over the documents, which are neither shuffled nor joined.
+The windows of the benchmark are written and broadcast in blocks of bounded size. One block is one
+scan over the documents, which are neither shuffled nor joined. Of several blocks only one is held
+at a time: its scan writes the hits, before the next is built, and at the end the documents are
+joined with all hits.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -14,6 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from contextmill.llm.words import Words, alphanumeric, slices, tidy
+from contextmill.session import materialise
 
 #: Words of a window; an item with fewer is one window as a whole.
 WINDOW = 10
@@ -89,15 +93,18 @@ class WindowSet:
                     yield i, n, items
 
 
-def _blocks(windows: DataFrame, block_bytes: int) -> Iterator[WindowSet]:
-    """The windows in blocks of a checked size, each small enough to broadcast."""
+def _count_blocks(windows: DataFrame, block_bytes: int) -> int:
     size = F.sum(F.octet_length("window") + F.octet_length("item") + 100)
     total = windows.agg(size.alias("bytes")).first()["bytes"] or 0
-    blocks = -(-total // block_bytes)
+    return -(-total // block_bytes)
+
+
+def _blocks(windows: DataFrame, blocks: int) -> Iterator[WindowSet]:
+    """The windows in blocks of about the same size, made one by one."""
     for b in range(blocks):
-        # All items of a window are in its block.
-        rows = windows.filter(F.pmod("hash", F.lit(blocks)) == b).orderBy("window", "item").collect()
-        yield WindowSet(rows)
+        # The items of a window may be in several blocks: very many may share one.
+        own = F.pmod(F.xxhash64("window", "item"), F.lit(blocks)) == b
+        yield WindowSet(windows.filter(own).orderBy("window", "item").collect())
 
 
 def mark_contamination(
@@ -108,7 +115,9 @@ def mark_contamination(
 
     NULL and empty texts have no words and no hits; items without words or with a NULL id are no
     windows; repeated items and repeated ids of one window count once. Columns of ``docs`` with
-    the three new names are replaced. Without benchmark windows nothing is hit.
+    the three new names are replaced. Without benchmark windows nothing is hit. If the windows
+    take several blocks, ``docs`` must yield its rows in the same partitions each time, as a written
+    table does.
     """
     kept = [f"`{c}`" for c in docs.columns if c not in ("n_words", "hits", "items")]
     out = docs.select(
@@ -117,12 +126,27 @@ def mark_contamination(
         F.array().cast("array<struct<start:int,end:int>>").alias("hits"),
         F.array().cast("array<string>").alias("items"),
     )
-    schema = out.schema
-    sets = list(_blocks(benchmark_windows(benchmark, item, item_text, window), block_bytes)) or [WindowSet([])]
-    for each in sets:
-        held = docs.sparkSession.sparkContext.broadcast(each)
-        out = out.mapInArrow(tidy(_scan(held, text)), schema)
-    return out
+    schema, context = out.schema, docs.sparkSession.sparkContext
+    windows = materialise(benchmark_windows(benchmark, item, item_text, window), "windows")
+    blocks = _count_blocks(windows, block_bytes)
+    if blocks <= 1:
+        held = context.broadcast(next(_blocks(windows, blocks), WindowSet([])))
+        return out.mapInArrow(tidy(_scan(held, text)), schema)
+    mark = "__contextmill_row"
+    numbered = out.withColumn(mark, F.monotonically_increasing_id())
+    narrow = numbered.select(mark, f"`{text}`", "n_words", "hits", "items")
+    parts = []
+    for each in _blocks(windows, blocks):
+        held = context.broadcast(each)
+        marked = narrow.mapInArrow(tidy(_scan(held, text)), narrow.schema).filter(F.size("hits") > 0)
+        parts.append(materialise(marked.select(mark, F.col("hits").alias("new_hits"), F.col("items").alias("new_items")), "hits"))
+        held.destroy()
+    found = reduce(DataFrame.union, parts).groupBy(mark).agg(
+        F.flatten(F.collect_list("new_hits")).alias("__hits"), F.array_distinct(F.flatten(F.collect_list("new_items"))).alias("__items"))
+    joined = numbered.join(found, mark, "left").withColumns(
+        {"hits": F.coalesce("__hits", "hits"), "items": F.coalesce("__items", "items")}).select(*[f"`{c}`" for c in schema.names])
+    # A scan without windows joins ranges that overlap across blocks and counts the words.
+    return joined.mapInArrow(tidy(_scan(context.broadcast(WindowSet([])), text)), schema)
 
 
 def _scan(held, text: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:

@@ -133,3 +133,39 @@ def test_word_hashes_do_not_depend_on_place():
     assert pairs[0] == pairs[4] and list(w.fits(2)) == [0, 3, 4, 5]
     assert list(w.counts) == [2, 1, 0, 4] and w.canonical()[0].startswith(b"alpha beta x gamma")
     assert np.array_equal(w.text_of(np.arange(7)), [0, 0, 1, 3, 3, 3, 3])
+
+
+def test_benchmark_blocks_are_held_one_at_a_time(spark, monkeypatch):
+    """Also the items of one window that very many share are in several blocks."""
+    items = [(f"i{i}", "one two three four") for i in range(300)] + [("x", "three four five six"), ("y", "p q r s")]
+    benchmark = spark.createDataFrame(items, "item_id string, text string")
+    docs = spark.createDataFrame(
+        [(1, "zero one two three four five six seven"), (2, "p q r s"), (3, "none"), (3, None)], "doc_id long, text string").repartition(2)
+    sizes, live = [], []
+
+    begin = decontamination.WindowSet.__init__
+
+    def counted(self, rows):
+        sizes.append(len(rows))
+        begin(self, rows)
+
+    real = spark.sparkContext.broadcast
+
+    def broadcast(value):
+        held = real(value)
+        live.append(1)
+        most.append(len(live))
+        destroy = held.destroy
+        held.destroy = lambda *a: (live.pop(), destroy(*a))
+        return held
+
+    most = []
+    monkeypatch.setattr(decontamination.WindowSet, "__init__", counted)
+    monkeypatch.setattr(spark.sparkContext, "broadcast", broadcast)
+    marked = decontamination.mark_contamination(docs, benchmark, window=4, block_bytes=10_000)
+    assert len(sizes) > 3 and max(sizes) < 150 and max(most) == 1
+    got = {r.doc_id: r for r in marked.collect() if r.text}
+    assert [tuple(s) for s in got[1].hits] == [(1, 7)] and got[1].n_words == 8
+    assert got[1]["items"] == sorted([f"i{i}" for i in range(300)] + ["x"])
+    assert [tuple(s) for s in got[2].hits] == [(0, 4)] and got[2]["items"] == ["y"] and not got[3].hits
+    assert marked.count() == 4 and marked.columns == ["doc_id", "text", "n_words", "hits", "items"]
