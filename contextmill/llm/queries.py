@@ -7,7 +7,19 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from contextmill.llm import byte_bpe, chat, decontamination, exact_dedup, ngram_join, sharding, substring_dedup, token_files, toxicity, warc
+from contextmill.llm import (
+    byte_bpe,
+    chat,
+    decontamination,
+    exact_dedup,
+    filter_audit,
+    ngram_join,
+    sharding,
+    substring_dedup,
+    token_files,
+    toxicity,
+    warc,
+)
 from contextmill.session import materialise, work_folder
 
 
@@ -147,6 +159,11 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op13_filter_interaction_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    return filter_audit.filter_interactions(docs, read(spark, sf_dir, "labels"))
+
+
 QUERIES = {
     "op1_toxicity_ordinal": op1_toxicity_ordinal,
     "op2_token_files": op2_token_files,
@@ -158,6 +175,7 @@ QUERIES = {
     "op8_byte_bpe": op8_byte_bpe,
     "op9_chat_format": op9_chat_format,
     "op10_sharding": op10_sharding,
+    "op13_filter_interaction_audit": op13_filter_interaction_audit,
 }
 
 ORACLE = {
@@ -189,4 +207,37 @@ ORACLE = {
                     when usual and n_turns > 3 then 'speakers' else 'messages' end layout
         from g
     """,
+    "op13_filter_interaction_audit": r"""
+        with d as (select doc_id, coalesce(text, '') t, coalesce(lang, '') part from documents),
+        l as (select doc_id, coalesce(bool_or(quality = 1), false) good, coalesce(bool_or(toxic = 1), false) toxic
+              from labels group by doc_id),
+        x as (select d.*, coalesce(good, false) good, coalesce(toxic, false) toxic,
+                     regexp_extract_all(t, '[^\x20\x09-\x0D]+') w, min(d.doc_id) over (partition by t) least
+              from d left join l using (doc_id)),
+        s as (select part, len(w) < 200 a, 100 * len(list_distinct(w)) < 50 * len(w) b,
+                     100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 3 * length(t) c,
+                     regexp_matches(t, '[#$%&*|]') d, coalesce(doc_id > least, false) e, good, toxic from x),
+        cells as (select part, a, b, c, d, e, count(*) n, count(*) filter (where good) g,
+                         count(*) filter (where toxic) x from s group by all),
+        letter as (select unnest(['A', 'B', 'C', 'D', 'E']) f),
+        orders as (select p.f || q.f || r.f || s.f || t.f o from letter p, letter q, letter r, letter s, letter t
+                   where len(list_distinct([p.f, q.f, r.f, s.f, t.f])) = 5),
+        steps as (select o, i step, substr(o, 1, i - 1) before, substr(o, i, 1) own from orders, range(1, 6) g(i)),
+        marked as (select part, o filter_order, step, own, n, g, x,
+                          case own when 'A' then a when 'B' then b when 'C' then c when 'D' then d else e end fail,
+                          (a and contains(before, 'A')) or (b and contains(before, 'B')) or (c and contains(before, 'C'))
+                          or (d and contains(before, 'D')) or (e and contains(before, 'E')) gone,
+                          a::int + b::int + c::int + d::int + e::int = 1 single
+                   from cells, steps),
+        out as (select part, filter_order, cast(step as integer) step, own,
+                       sum(n) filter (where not gone and not fail) kept, sum(n) filter (where not gone and fail) removed,
+                       sum(n) filter (where gone and fail) redundant, sum(n) filter (where fail and single) unique_fails,
+                       sum(g) filter (where not gone and fail) good_lost, sum(x) filter (where not gone and fail) toxic_lost
+                from marked group by all)
+        select part, filter_order, step, cast(coalesce(kept, 0) as bigint) kept, cast(coalesce(removed, 0) as bigint) removed,
+               cast(coalesce(redundant, 0) as bigint) redundant, cast(coalesce(unique_fails, 0) as bigint) unique_fails,
+               cast(coalesce(good_lost, 0) as bigint) good_lost, cast(coalesce(toxic_lost, 0) as bigint) toxic_lost,
+               cast(coalesce(sum(removed) over (partition by part, own), 0) as bigint) shapley
+        from out
+    """,
 }
