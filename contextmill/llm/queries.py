@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from contextmill.llm import (
     byte_bpe,
     chat,
+    collocations,
     decontamination,
     exact_dedup,
     filter_audit,
@@ -159,6 +160,10 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op12_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(read(spark, sf_dir, "documents").select("text", "lang"))
+
+
 def op13_filter_interaction_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     return filter_audit.filter_interactions(docs, read(spark, sf_dir, "labels"))
@@ -175,6 +180,7 @@ QUERIES = {
     "op8_byte_bpe": op8_byte_bpe,
     "op9_chat_format": op9_chat_format,
     "op10_sharding": op10_sharding,
+    "op12_phrase_collocations": op12_phrase_collocations,
     "op13_filter_interaction_audit": op13_filter_interaction_audit,
 }
 
@@ -207,6 +213,37 @@ ORACLE = {
                     when usual and n_turns > 3 then 'speakers' else 'messages' end layout
         from g
     """,
+    "op12_phrase_collocations": r"""
+        with d as (select coalesce(lang, 'und') lang,
+                          translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') t from documents),
+        p as (select lang, unnest(regexp_split_to_array(t, '[.,;:!?\x0A-\x0D]')) piece from d),
+        w as (select lang, regexp_extract_all(piece, '[^\x20\x09]+') ws from p),
+        s as (select lang, ws, unnest(range(1, len(ws) + 1)) i from w),
+        g as (select lang, ws[i] w1, case when i < len(ws) then ws[i + 1] end w2,
+                     case when i + 1 < len(ws) then ws[i + 2] end w3 from s),
+        f1 as (select lang, w1, count(*) f from g group by all),
+        f2 as (select lang, w1, w2, count(*) f from g where w2 is not null group by all),
+        f3 as (select lang, w1, w2, w3, count(*) f from g where w3 is not null group by all having count(*) >= 10),
+        cover as (select lang, x, y, max(f) f from (
+                      select lang, w1 x, w2 y, f from f3 union all select lang, w2, w3, f from f3) group by all),
+        cuts as (
+            select lang, w1 || ' ' || w2 phrase, 1 k, p.f a, q.f l, r.f r
+            from f2 p join f1 q using (lang, w1) join (select lang, w1 w2, f from f1) r using (lang, w2)
+            left join cover c on c.lang = p.lang and c.x = p.w1 and c.y = p.w2
+            where p.f >= 10 and not coalesce(100 * c.f >= 50 * p.f, false)
+            union all
+            select lang, w1 || ' ' || w2 || ' ' || w3, 1, p.f, q.f, r.f
+            from f3 p join f1 q using (lang, w1) join (select lang, w1 w2, w2 w3, f from f2) r using (lang, w2, w3)
+            union all
+            select lang, w1 || ' ' || w2 || ' ' || w3, 2, p.f, q.f, r.f
+            from f3 p join f2 q using (lang, w1, w2) join (select lang, w1 w3, f from f1) r using (lang, w3)
+        ),
+        scored as (select *, cast(1000000::hugeint * a * a // (l::hugeint * r) as bigint) score from cuts),
+        least_cut as (select * from scored qualify row_number() over (partition by lang, phrase order by score, k) = 1),
+        ranked as (select *, row_number() over (partition by lang order by score desc, a desc, encode(phrase)) rank from least_cut)
+        select lang, rank, phrase, a, l, r, n, score
+        from ranked join (select lang, count(*) n from g group by lang) using (lang) where rank <= 2000
+    """,
     "op13_filter_interaction_audit": r"""
         with d as (select doc_id, coalesce(text, '') t, coalesce(lang, '') part from documents),
         l as (select doc_id, coalesce(bool_or(quality = 1), false) good, coalesce(bool_or(toxic = 1), false) toxic
