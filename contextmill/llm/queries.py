@@ -14,6 +14,7 @@ from contextmill.llm import (
     decontamination,
     exact_dedup,
     filter_audit,
+    language_id,
     ngram_join,
     sharding,
     substring_dedup,
@@ -160,6 +161,13 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    network = language_id.fit(docs)
+    found = language_id.identify(docs.select("doc_id", "text", language_id.held_out(F.col("doc_id")).alias("held_out")), network)
+    return found.select("doc_id", "held_out", "lang_pred", "score")
+
+
 def op12_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations.collocations(read(spark, sf_dir, "documents").select("text", "lang"))
 
@@ -180,6 +188,7 @@ QUERIES = {
     "op8_byte_bpe": op8_byte_bpe,
     "op9_chat_format": op9_chat_format,
     "op10_sharding": op10_sharding,
+    "op11_language_id": op11_language_id,
     "op12_phrase_collocations": op12_phrase_collocations,
     "op13_filter_interaction_audit": op13_filter_interaction_audit,
 }
