@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from contextmill.functions.numbers import parse_reply
 from contextmill.functions.text import sentences, strip, word_set
-from contextmill.operators.models import Model, answer_prompt
+from contextmill.operators.models import Model, answer_prompt, with_reply
+from contextmill.operators.replies import ReplyStore
+from contextmill.session import materialise
 
 DATASET_COLUMNS = ("user_input", "retrieved_contexts", "response", "reference")
 METRICS = ("context_recall", "faithfulness", "factual_correctness")
@@ -55,13 +57,17 @@ def first_context(contexts: Column, question: Column) -> Column:
     return F.coalesce(F.get(contexts, F.lit(0)), F.lit(""))
 
 
-def ask_for_answer(ask: Model, with_question: bool = True):
-    """Answers by a model from the packed contexts, with or without the question."""
+class ask_for_answer:  # noqa: N801
+    """Answers by a model or a reply store from the packed contexts, with or without the question."""
 
-    def answer(contexts: Column, question: Column) -> Column:
-        return ask(answer_prompt(contexts, question if with_question else None))
+    def __init__(self, ask: Model | ReplyStore, with_question: bool = True):
+        self.ask, self.with_question = ask, with_question
 
-    return answer
+    def prompt(self, contexts: Column, question: Column) -> Column:
+        return answer_prompt(contexts, question if self.with_question else None)
+
+    def __call__(self, contexts: Column, question: Column) -> Column:
+        return self.ask(self.prompt(contexts, question))
 
 
 def build_dataset(questions: DataFrame, hits: DataFrame, references: DataFrame, answer=first_context) -> DataFrame:
@@ -74,7 +80,12 @@ def build_dataset(questions: DataFrame, hits: DataFrame, references: DataFrame,
         "retrieved_contexts", F.coalesce("retrieved_contexts", F.array().cast("array<string>"))
     )
     if "response" not in rows.columns:
-        rows = rows.withColumn("response", answer(F.col("retrieved_contexts"), F.col("user_input")))
+        contexts, question = F.col("retrieved_contexts"), F.col("user_input")
+        if isinstance(answer, ask_for_answer):
+            stored = isinstance(answer.ask, ReplyStore)
+            rows = with_reply(materialise(rows, "contexts") if stored else rows, answer.ask, answer.prompt(contexts, question), "response")
+        else:
+            rows = rows.withColumn("response", answer(contexts, question))
     return lookup_reference(rows, references).select("query_id", *DATASET_COLUMNS)
 
 
@@ -120,8 +131,8 @@ def claim_verdicts(dataset: DataFrame, share: float = SUPPORT_SHARE) -> DataFram
     return words.select(*keys, F.posexplode(supported).alias("claim_id", "supported"))
 
 
-def judge_claims(dataset: DataFrame, ask: Model) -> DataFrame:
-    """Verdicts by a model that replies 1 for a supported claim and 0 otherwise.
+def judge_claims(dataset: DataFrame, ask: Model | ReplyStore) -> DataFrame:
+    """Verdicts by a model or a reply store that replies 1 for a supported claim and 0 otherwise.
 
     A failed call or an unreadable reply is no verdict (NULL), which no metric counts.
     """
@@ -132,8 +143,8 @@ def judge_claims(dataset: DataFrame, ask: Model) -> DataFrame:
         F.lit("Does the text support the claim? Reply 1 or 0.\n\nText: "), F.col("found_in"),
         F.lit("\n\nClaim: "), F.col("claim"),
     )
-    return each.select(
-        *keys, "claim_id", (parse_reply(ask(prompt), F.lit(None).cast("double")) >= 0.5).alias("supported")
+    return with_reply(each, ask, prompt, "reply").select(
+        *keys, "claim_id", (parse_reply(F.col("reply"), F.lit(None).cast("double")) >= 0.5).alias("supported")
     )
 
 

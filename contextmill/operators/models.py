@@ -7,12 +7,16 @@ columns of the row stay in the JVM.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+import threading
+import time
+from collections import deque
+from collections.abc import Callable, Iterable, Iterator
+from concurrent.futures import ThreadPoolExecutor
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -21,38 +25,99 @@ from contextmill.functions.text import word_tokens
 Model = Callable[[Column], Column]
 
 
-def chat_model(connect: Callable[[], Callable[[str], str]]) -> Model:
-    """A prompt-to-reply model. A failed call gives NULL.
+def in_window(items: Iterable, connect: Callable[[], Callable], window: int = 1, attempts: int = 1, wait: float = 0.5,
+              sleep: Callable[[float], None] = time.sleep) -> Iterator[tuple]:
+    """(item, result) in the order of ``items``, with at most ``window`` calls at a time.
 
-    ``connect`` runs once per task and returns the function that answers a prompt.
+    ``connect`` runs once per thread of the window and gives the function that is called. A call that fails is
+    made again, ``attempts`` times in all, after ``wait`` seconds that double each time; a last failure gives
+    None. Items are only taken as far as the window reaches, so any number may follow.
     """
+    own = threading.local()
 
-    def replies(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        call = connect()
-
-        def answer(prompt):
+    def call(item):
+        pause = wait
+        for left in range(attempts - 1, -1, -1):
             try:
-                return call(prompt)
+                if not hasattr(own, "client"):
+                    own.client = connect()
+                return own.client(item)
             except Exception:
-                return None
+                if left:
+                    sleep(pause)
+                    pause *= 2
+        return None
+
+    if window <= 1:
+        for item in items:
+            yield item, call(item)
+        return
+    with ThreadPoolExecutor(window) as threads:
+        running: deque = deque()
+        try:
+            for item in items:
+                running.append((item, threads.submit(call, item)))
+                if len(running) == window:
+                    first, result = running.popleft()
+                    yield first, result.result()
+            while running:
+                first, result = running.popleft()
+                yield first, result.result()
+        finally:
+            for _, result in running:
+                result.cancel()
+
+
+def chat_model(connect: Callable[[], Callable[[str], str]], window: int = 1, attempts: int = 1, wait: float = 0.5) -> Model:
+    """A prompt-to-reply model. A failed call gives NULL.
+
+    ``connect`` runs once per task and thread and returns the function that answers a prompt. Each task has
+    up to ``window`` calls under way and repeats failed ones, see ``in_window``; replies keep their rows.
+    """
+
+    def replies(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for prompts in batches:
+            made = in_window(prompts, connect, window, attempts, wait)
+            yield pd.Series([reply for _, reply in made], dtype=object)
 
+    def one_client(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        client = connect()
         for prompts in batches:
-            yield pd.Series([answer(p) for p in prompts], dtype=object)
+            made = in_window(prompts, lambda: client, 1, attempts, wait)
+            yield pd.Series([reply for _, reply in made], dtype=object)
 
-    return F.pandas_udf(replies, T.StringType()).asNondeterministic()
+    return F.pandas_udf(replies if window > 1 else one_client, T.StringType()).asNondeterministic()
 
 
-def embedding_model(connect: Callable[[], Callable[[list[str]], list]]) -> Model:
-    """A text-to-vector model, called once per batch of texts."""
+def embedding_model(connect: Callable[[], Callable[[list[str]], list]], batch: int | None = None, window: int = 1,
+                    attempts: int = 1, wait: float = 0.5) -> Model:
+    """A text-to-vector model, called once per ``batch`` of texts (or per Arrow batch), ``window`` calls at a time.
+
+    Texts without a vector would leave a hole in a collection, so the job fails with the last attempt.
+    """
 
     def vectors(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        embed = connect()
         for texts in batches:
-            yield pd.Series(list(embed(texts.tolist())), dtype=object)
+            every = texts.tolist()
+            size = batch or max(1, len(every))
+            parts = [every[i : i + size] for i in range(0, len(every), size)]
+            out: list = []
+            for part, made in in_window(parts, connect, window, attempts, wait):
+                if made is None or len(made) != len(part):
+                    raise RuntimeError(f"no vectors for {len(part)} texts")
+                out.extend(made)
+            yield pd.Series(out, dtype=object)
 
     return F.pandas_udf(vectors, T.ArrayType(T.FloatType())).asNondeterministic()
 
 
+def with_reply(rows: DataFrame, ask, prompt: Column, name: str) -> DataFrame:
+    """``rows`` with the reply to ``prompt``, by a model (a column function) or a reply store."""
+    from contextmill.operators.replies import ReplyStore
+
+    return ask.ask(rows, prompt, name) if isinstance(ask, ReplyStore) else rows.withColumn(name, ask(prompt))
+
+
 def hashed_embedder(dim: int) -> Model:
     """Offline embedder: how often each hash bucket of the text's words occurs."""
 

@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from contextmill.functions.numbers import clamp01, parse_reply, round_score
 from contextmill.operators import models
+from contextmill.operators.replies import ReplyStore
 from contextmill.session import materialise
 
 # Stage weights, base fallback, variance limit, minimum chunk count.
@@ -39,18 +38,21 @@ def score_replies(replies: DataFrame) -> DataFrame:
     )
 
 
-def score_with_model(candidates: DataFrame, ask: Callable[[Column], Column], keep: bool = True) -> DataFrame:
+def score_with_model(candidates: DataFrame, ask, keep: bool = True) -> DataFrame:
     """Score ``candidates(text, user_input, ...)`` by three prompts per row.
 
-    ``ask`` turns a prompt column into a reply column. With ``keep`` the replies are
+    ``ask`` turns a prompt column into a reply column, or is a ``ReplyStore``, which asks each distinct prompt
+    once and goes on where an earlier run has stopped. With ``keep`` the replies are
     written once, so a lost executor does not ask the model again.
     """
     chunk, question = F.col("text"), F.col("user_input")
-    asked = candidates.withColumn("base_reply", ask(models.base_prompt(chunk, question)))
+    if isinstance(ask, ReplyStore):
+        candidates = materialise(candidates, "candidates")
+    asked = models.with_reply(candidates, ask, models.base_prompt(chunk, question), "base_reply")
     base = parse_reply(F.col("base_reply"), F.lit(BASE_FALLBACK))
-    asked = asked.withColumn("reflect_reply", ask(models.reflect_prompt(chunk, question, base)))
+    asked = models.with_reply(asked, ask, models.reflect_prompt(chunk, question, base), "reflect_reply")
     reflect = parse_reply(F.col("reflect_reply"), base)
-    asked = asked.withColumn("critic_reply", ask(models.critic_prompt(chunk, question, reflect)))
+    asked = models.with_reply(asked, ask, models.critic_prompt(chunk, question, reflect), "critic_reply")
     return score_replies(materialise(asked, "replies") if keep else asked)
 
 

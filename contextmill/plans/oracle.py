@@ -395,6 +395,7 @@ _INTEGERS = {
     "score_base": "rank",
     "score_chain": "rank",
     "score_model_chain": "rank",
+    "score_stored_chain": "rank",
     "filter_fallback": "position",
     "retrieve_text": "position",
     "answer_prompts": "n_chars",
@@ -513,6 +514,7 @@ ORACLE: dict[str, str] = {
                    min(len(embedding)) as min_dim, max(len(embedding)) as max_dim from embeddings group by label""",
         "collection_write": " union all ".join(_stored(c) for c in ("recursive", "semantic")),
         "collection_append": _stored("overlap"),
+        "collection_keyed_upload": _stored("overlap"),
         "knn_topk": "select query_id, chunk_id, sim, rank from vhits where rank <= 10",
         "retrieve_baseline": f"""
             select query_id, rank as position, chunk_id, sim, d.text
@@ -566,6 +568,9 @@ ORACLE: dict[str, str] = {
         "score_model_chain": f"""
             select query_id, chunk_id, rank, base, reflect, critic, {_final("base", "reflect", "critic")} as final
             from prompted""",
+        "score_stored_chain": f"""
+            select query_id, chunk_id, rank, base, reflect, critic, {_final("base", "reflect", "critic")} as final
+            from prompted""",
         "ground_truth_join": """
             select query_id, user_input, coalesce(reference, '') as reference
             from tq left join known using (user_input)""",

@@ -13,8 +13,9 @@ from contextmill.functions.text import preview, word_overlap
 from contextmill.operators import chunking, evaluation, reporting, runs, sequences
 from contextmill.operators import relevance as rel
 from contextmill.operators import retrieval as ret
-from contextmill.operators.ingest import embed_chunks, ingest
+from contextmill.operators.ingest import embed_chunks, ingest, ingest_missing
 from contextmill.operators.models import answer_prompt, base_prompt, critic_prompt, hashed_embedder, reflect_prompt
+from contextmill.operators.replies import ReplyStore
 from contextmill.plans import inputs
 from contextmill.plans.inputs import DIM, TOP
 from contextmill.session import materialise, work_folder
@@ -184,6 +185,20 @@ def collection_append(spark, folder):
     return _stored(collections.read_collection(spark, path, "overlap"))
 
 
+@query
+def collection_keyed_upload(spark, folder):
+    """Half of a collection's points uploaded, then all documents twice over: every chunk is there once."""
+    docs = inputs.documents(spark, folder)
+    path = work_folder(spark, "collection")
+    embed = hashed_embedder(DIM)
+    chunkers = {"overlap": chunking.overlapping_chunks}
+    chunks = chunking.chunk_documents(docs, chunkers)
+    collections.upload(embed_chunks(chunks.filter("chunk_index % 2 = 0"), embed), path, DIM)
+    ingest_missing(docs, path, embed, DIM, chunkers)
+    again = ingest_missing(docs.unionByName(docs), path, embed, DIM, chunkers)
+    return _stored(again.filter("chunker = 'overlap'"))
+
+
 # ---- retrieval -----------------------------------------------------------------
 
 
@@ -368,6 +383,30 @@ def score_model_chain(spark, folder):
     return scored.select("query_id", "chunk_id", "rank", "scores.*")
 
 
+def _digest_client():
+    """The same replies as ``_digest_model`` from a function that is called per prompt."""
+    from hashlib import md5
+
+    def call(prompt):
+        number = int(md5(prompt.encode()).hexdigest()[:4], 16)
+        if number % 11 == 0:
+            return "no idea"
+        if number % 13 == 0:
+            raise RuntimeError("no reply")
+        return str((number % 100 + 1) / 128)
+
+    return call
+
+
+@query
+def score_stored_chain(spark, folder):
+    """The three stages by a reply store that has the replies to a part of the pairs from a run before."""
+    pairs = materialise(_prompt_pairs(spark, folder), "pairs")
+    store = ReplyStore(work_folder(spark, "replies"), "digest", _digest_client, window=4)
+    rel.score_with_model(pairs.filter("rank <= 2"), store)
+    return rel.score_with_model(pairs, store).select("query_id", "chunk_id", "rank", "scores.*")
+
+
 @query
 def ground_truth_join(spark, folder):
     questions = inputs.text_questions(spark, folder).select("query_id", "user_input")

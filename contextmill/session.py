@@ -58,6 +58,15 @@ def work_folder(spark: SparkSession, name: str) -> str:
     return f"{work_base(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+def shared_uri(spark: SparkSession, folder: str) -> str:
+    """A folder, made if it is not there, with the scheme that other file systems need."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    files = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    files.mkdirs(path)
+    whole = files.makeQualified(path).toString()
+    return whole.replace("file:/", "file:///", 1) if re.match(r"file:/(?!/)", whole) else whole
+
+
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """Write a table once and go on from the written copy.
 

@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterable
+from urllib.parse import unquote
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from contextmill.functions.vectors import has_dimension
+from contextmill.session import materialise
 
 # Fixed value: the size of vectors from the large embedding model.
 INDEX_DIM = 3072
@@ -35,20 +41,55 @@ def vector_report(points: DataFrame, dim: int, keys: list[str]) -> DataFrame:
 def recreate(points: DataFrame, path: str, dim: int, chunkers: Iterable[str]) -> None:
     """Replace the collections of ``chunkers``; others stay.
 
-    All of them are dropped first, so one whose chunker gives no points is gone. ``points``
-    must not read from ``path``, and holds no other chunker's points.
+    The new ones are written aside and put in place of the old ones when they are whole, so that a write that
+    fails leaves the old ones as they were. One whose chunker gives no points is gone. ``points``
+    may read from ``path``, and hold other chunkers' points, which are left out. If putting one in place fails, the
+    folders that were replaced are put back. Readers must not be at work meanwhile.
     """
     spark = points.sparkSession
-    named = list(chunkers)
-    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    named = sorted(set(chunkers))
+    jvm = spark.sparkContext._jvm.org.apache.hadoop.fs
+    folder = jvm.Path(path)
     files = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    for chunker in named:
-        files.delete(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder, f"chunker={chunker}"), True)
-    upload(points.filter(F.col("chunker").isin(named)), path, dim)
+    files.mkdirs(folder)
+    # Names that begin with an underscore are not read.
+    turn = uuid.uuid4().hex
+    new, old = (jvm.Path(folder, f"_{kind}-{turn}") for kind in ("new", "old"))
+
+    def parts(where) -> dict[str, object]:
+        if not files.exists(where):
+            return {}
+        found = [f.getPath() for f in files.listStatus(where)]
+        return {unquote(p.getName().removeprefix("chunker=")): p for p in found if p.getName().startswith("chunker=")}
+
+    moved: list[tuple] = []
+
+    def move(source, target) -> None:
+        if not files.rename(source, target):
+            raise OSError(f"could not move {source} to {target}")
+        moved.append((source, target))
+
+    try:
+        wanted = points.filter(F.col("chunker").isin(named))
+        checked(wanted, dim).write.partitionBy("chunker").parquet(new.toString())
+        made, there = parts(new), parts(folder)
+        files.mkdirs(old)
+        for chunker in named:
+            if chunker in there:
+                move(there[chunker], jvm.Path(old, there[chunker].getName()))
+            if chunker in made:
+                move(made[chunker], jvm.Path(folder, made[chunker].getName()))
+    except BaseException:
+        for source, target in reversed(moved):
+            files.rename(target, source)
+        raise
+    finally:
+        files.delete(new, True)
+        files.delete(old, True)
 
 
 def upload(points: DataFrame, path: str, dim: int) -> None:
-    """Add points to their collections."""
+    """Add points to their collections, whatever is there: ``missing`` tells what is not."""
     checked(points, dim).write.mode("append").partitionBy("chunker").parquet(path)
 
 
@@ -60,3 +101,54 @@ def read_collection(spark: SparkSession, path: str, chunker: str | None = None)
 
 def _is(chunker: str) -> Column:
     return F.col("chunker") == chunker
+
+
+#: Bits of a Bloom filter: 16 MB on each executor, with three bits of each of eight million ids a twelfth full.
+FILTER_BITS, FILTER_HASHES = 1 << 27, 3
+
+
+def missing(rows: DataFrame, path: str, bits: int = FILTER_BITS) -> DataFrame:
+    """The ``rows(chunker, chunk_id, ...)`` that the collections in ``path`` do not have, each id once.
+
+    The ids of a collection may be very many more than those of ``rows``. A Bloom filter of the latter goes over
+    them where they are read, so that about only those are shuffled that both have, and an anti-join
+    decides. The filter has at most ``bits`` bits; of more ids than it is made for it lets more of the collection
+    pass, and the result is the same. Of rows with one id any one stays; ``rows`` are read
+    three times, so they should be a written table.
+    """
+    keys = ["chunker", "chunk_id"]
+    once = rows.dropDuplicates(keys)
+    spark = rows.sparkSession
+    jvm = spark.sparkContext._jvm.org.apache.hadoop.fs
+    folder = jvm.Path(path)
+    files = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not files.exists(folder) or not any(f.getPath().getName().startswith("chunker=") for f in files.listStatus(folder)):
+        return once
+    there = read_collection(spark, path).select(*keys)
+    wanted = rows.select(*keys).distinct()
+    known = materialise(there.filter(_in_filter(wanted, keys, bits)).distinct(), "known-ids")
+    return once.join(known, keys, "left_anti")
+
+
+def _places(keys: list[str], bits: int) -> Column:
+    return F.array(*[F.pmod(F.xxhash64(F.lit(i), *keys), F.lit(bits)) for i in range(FILTER_HASHES)])
+
+
+def _in_filter(ids: DataFrame, keys: list[str], bits: int) -> Column:
+    """Whether a row's keys can be among ``ids``: a Bloom filter, made of one aggregation."""
+    spread = ids.select(F.explode(_places(keys, bits)).alias("place"))
+    one = F.lit(1).cast("long")
+    words = spread.groupBy(F.shiftright("place", 6).alias("word")).agg(
+        F.bit_or(F.call_function("shiftleft", one, F.col("place").bitwiseAND(63).cast("int"))).alias("set"))
+    found = words.toArrow()  # at most bits / 64 rows
+    table = np.zeros(-(-bits // 64), np.uint64)
+    table[np.asarray(found.column("word"))] = np.asarray(found.column("set"), np.int64).astype(np.uint64)
+    held = ids.sparkSession.sparkContext.broadcast(table)
+
+    @F.arrow_udf(T.BooleanType())
+    def may_be_in(places: pa.Array) -> pa.Array:
+        at = np.asarray(places.flatten(), np.int64).reshape(-1, FILTER_HASHES)
+        hit = (held.value[at >> 6] >> (at & 63).astype(np.uint64)) & np.uint64(1)
+        return pa.array(hit.all(axis=1))
+
+    return may_be_in(_places(keys, bits))

@@ -1,0 +1,226 @@
+"""The call window and the reply store."""
+
+import os
+import sys
+import threading
+import time
+
+import pytest
+from pyspark import cloudpickle
+from pyspark.sql import functions as F
+
+from contextmill.operators import evaluation as ev
+from contextmill.operators import ingest, models
+from contextmill.operators import relevance as rel
+from contextmill.operators.models import in_window
+from contextmill.operators.replies import ReplyStore
+
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
+
+def test_window_keeps_order_and_bound():
+    under_way, most, lock = [0], [0], threading.Lock()
+
+    def connect():
+        def call(i):
+            with lock:
+                under_way[0] += 1
+                most[0] = max(most[0], under_way[0])
+            time.sleep(0.02 if i % 3 else 0.06)
+            with lock:
+                under_way[0] -= 1
+            return i * i
+
+        return call
+
+    assert list(in_window(range(30), connect, window=5)) == [(i, i * i) for i in range(30)]
+    assert 1 < most[0] <= 5
+
+
+def test_window_takes_items_only_as_needed():
+    taken = []
+    made = in_window((taken.append(i) or i for i in range(1000)), lambda: str, window=4)
+    assert [next(made) for _ in range(3)] == [(0, "0"), (1, "1"), (2, "2")]
+    assert len(taken) <= 8
+    made.close()
+
+
+@pytest.mark.parametrize("window", [1, 3])
+def test_failed_calls_are_repeated_with_growing_waits(window):
+    tries, waits, lock = {}, [], threading.Lock()
+
+    def connect():
+        def call(i):
+            with lock:
+                tries[i] = tries.get(i, 0) + 1
+            if i == 1 and tries[i] < 3 or i == 2:
+                raise RuntimeError("busy")
+            return -i
+
+        return call
+
+    got = list(in_window(range(4), connect, window, attempts=4, wait=0.5, sleep=waits.append))
+    assert got == [(0, 0), (1, -1), (2, None), (3, -3)]
+    assert tries == {0: 1, 1: 3, 2: 4, 3: 1} and sorted(waits) == [0.5, 0.5, 1.0, 1.0, 2.0]
+
+
+def test_a_client_per_thread():
+    made = []
+
+    def connect():
+        made.append(threading.get_ident())
+        time.sleep(0.02)
+        return lambda i: time.sleep(0.02) or threading.get_ident()
+
+    list(in_window(range(20), connect, window=4))
+    assert 1 <= len(made) <= 4 and len(set(made)) == len(made)
+
+
+def test_models_with_a_window(spark):
+    def connect():
+        def call(prompt):
+            time.sleep(0.01 * (len(prompt) % 4))
+            if prompt == "p7":
+                raise RuntimeError("never")
+            return prompt.upper()
+
+        return call
+
+    rows = spark.createDataFrame([(f"p{i}",) for i in range(40)], "p string").coalesce(2)
+    ask = models.chat_model(connect, window=6, attempts=2, wait=0.01)
+    assert all(r.a == (None if r.p == "p7" else r.p.upper()) for r in rows.withColumn("a", ask(F.col("p"))).collect())
+    embed = models.embedding_model(lambda: lambda texts: [[float(len(t)), float(len(texts))] for t in texts], batch=3, window=2)
+    assert {tuple(r.v)[1] for r in rows.withColumn("v", embed(F.col("p"))).collect()} <= {1.0, 2.0, 3.0}
+    bad = models.embedding_model(lambda: lambda texts: [[1.0]], batch=3)
+    with pytest.raises(Exception, match="no vectors for 3 texts"):
+        rows.withColumn("v", bad(F.col("p"))).collect()
+
+
+def counted(folder, fail=None):
+    """A model that leaves a file for every call, and can fail."""
+    os.makedirs(folder, exist_ok=True)
+
+    def connect():
+        import uuid
+
+        def call(prompt):
+            if fail is not None and fail(prompt):
+                raise RuntimeError("no reply")
+            with open(f"{folder}/{uuid.uuid4().hex}", "w") as out:
+                out.write(prompt)
+            return f"reply to {prompt}"
+
+        return call
+
+    return connect
+
+
+def calls(folder):
+    found = []
+    for name in os.listdir(folder):
+        with open(f"{folder}/{name}") as text:
+            found.append(text.read())
+    return sorted(found)
+
+
+def test_each_prompt_is_asked_once_over_runs(spark, tmp_path):
+    log = str(tmp_path / "calls")
+    store = ReplyStore(str(tmp_path / "store"), "m", counted(log), flush=3, window=2)
+    rows = spark.createDataFrame([(i, None if i == 50 else f"p{i % 9}") for i in range(200)], "i int, prompt string").repartition(5)
+    first = store.ask(rows.filter("i % 9 < 4"), F.col("prompt"), "reply").collect()
+    assert calls(log) == [f"p{i}" for i in range(4)] and all(r.reply == f"reply to {r.prompt}" for r in first if r.prompt)
+    every = store.ask(rows, F.col("prompt"), "reply").collect()
+    assert len(every) == 200 and calls(log) == [f"p{i}" for i in range(9)]
+    assert all(r.reply == (r.prompt and f"reply to {r.prompt}") for r in every)
+    other = ReplyStore(str(tmp_path / "store"), "other", counted(log), flush=3)
+    assert other.ask(rows.limit(1), F.col("prompt"), "reply").count() == 1 and len(calls(log)) == 10
+
+
+def test_failed_calls_are_asked_by_the_next_run(spark, tmp_path):
+    log, path = str(tmp_path / "calls"), str(tmp_path / "store")
+    rows = spark.createDataFrame([(f"p{i}",) for i in range(6)], "prompt string")
+    got = ReplyStore(path, "m", counted(log, lambda p: p == "p3")).ask(rows, F.col("prompt"), "reply").collect()
+    assert {r.prompt for r in got if r.reply is None} == {"p3"}
+    got = ReplyStore(path, "m", counted(log)).ask(rows, F.col("prompt"), "reply").collect()
+    assert all(r.reply for r in got) and calls(log) == [f"p{i}" for i in range(6)]
+
+
+def test_a_failed_task_keeps_its_replies(spark, tmp_path):
+    """The task dies in the middle; a second run asks only what is left."""
+    log, path, flag = str(tmp_path / "calls"), str(tmp_path / "store"), str(tmp_path / "died")
+
+    def connect():
+        call = counted(log)()
+
+        def or_die(prompt):
+            if len(os.listdir(log)) >= 7 and not os.path.exists(flag):
+                open(flag, "w").close()
+                raise SystemExit("executor gone")  # no Exception: the window does not catch it
+            return call(prompt)
+
+        return or_die
+
+    rows = spark.createDataFrame([(f"p{i:02}",) for i in range(20)], "prompt string").coalesce(1)
+    store = ReplyStore(path, "m", connect, flush=100)
+    for _ in range(2):
+        try:
+            got = store.ask(rows, F.col("prompt"), "reply").collect()
+            break
+        except BaseException as error:  # the local session does not repeat tasks
+            assert "Exit" in str(error) or "gone" in str(error) or "Job aborted" in str(error) or "Python worker" in str(error), error
+    assert os.path.exists(flag)
+    assert calls(log) == [f"p{i:02}" for i in range(20)] and {r.reply for r in got} == {f"reply to p{i:02}" for i in range(20)}
+
+
+def test_files_that_are_not_whole_are_not_read(spark, tmp_path):
+    store = ReplyStore(str(tmp_path / "store"), "m", counted(str(tmp_path / "c")))
+    rows = spark.createDataFrame([("a",)], "prompt string")
+    store.ask(rows, F.col("prompt"), "reply").collect()
+    run, = (tmp_path / "store").iterdir()
+    (run / "_0-x.parquet").write_bytes(b"half a file")
+    assert store.ask(rows, F.col("prompt"), "reply").first().reply == "reply to a"
+
+
+def rating():
+    def call(prompt):
+        return f"{(len(prompt) % 7) / 8}" if "odd" not in prompt else "no number"
+
+    return call
+
+
+def test_chain_and_answers_equal_the_direct_path(spark, tmp_path):
+    rows = [(q, c, c, f"{'odd ' * (c % 3 == 0)}text {c}", f"question {q}") for q in range(3) for c in range(1, 8)]
+    pairs = spark.createDataFrame(rows, "query_id long, chunk_id long, rank int, text string, user_input string")
+    direct = rel.score_with_model(pairs, models.chat_model(rating)).orderBy("query_id", "rank").collect()
+    store = ReplyStore(str(tmp_path / "store"), "m", rating)
+    assert rel.score_with_model(pairs, store).orderBy("query_id", "rank").select(direct[0].__fields__).collect() == direct
+    hits = pairs.withColumn("position", F.col("rank"))
+    questions = pairs.select("query_id", "user_input").distinct()
+    known = spark.createDataFrame([("question 1", "some reference. Two claims.")], "user_input string, reference string")
+    data = [ev.build_dataset(questions, hits, known, ev.ask_for_answer(a)).orderBy("query_id").collect() for a in (models.chat_model(rating), store)]
+    assert data[0] == data[1] and all(r.response for r in data[0])
+    written = spark.createDataFrame(data[0])
+    judged = [sorted(ev.judge_claims(written, a).collect(), key=str) for a in (models.chat_model(rating), store)]
+    assert judged[0] == judged[1] and judged[0]
+
+
+def test_vectors_of_distinct_texts(spark, tmp_path):
+    log = str(tmp_path / "calls")
+    os.makedirs(log)
+
+    def connect():
+        import uuid
+
+        def embed(texts):
+            with open(f"{log}/{uuid.uuid4().hex}", "w") as out:
+                out.write("|".join(texts))
+            return [[float(len(t)), 1.0] for t in texts]
+
+        return embed
+
+    store = ReplyStore(str(tmp_path / "store"), "e", connect, kind="array<float>", batch=4)
+    chunks = spark.createDataFrame([(str(i), "x" * (i % 5 + 1)) for i in range(40)], "chunk_id string, text string")
+    for _ in range(2):
+        got = ingest.embed_chunks(chunks, store).collect()
+        assert len(got) == 40 and all(r.embedding == [float(len(r.text)), 1.0] for r in got)
+    assert sorted(t for c in calls(log) for t in c.split("|")) == ["x" * i for i in range(1, 6)]

@@ -93,3 +93,111 @@ def test_long_documents_in_parts(spark):
         parts.setdefault(r.doc_id, []).append(r.text)
     whole = {r.doc_id: r.text for r in corpus.assemble_pages(pages).collect()}
     assert {d: "\n".join(t).strip() for d, t in parts.items()} == whole
+
+
+def failing(points, at):
+    broken = F.when(F.col("chunk_id") == at, F.raise_error(F.lit("no vector")).cast("array<float>")).otherwise(F.col("embedding"))
+    return points.withColumn("embedding", broken)
+
+
+def stored(spark, path):
+    return sorted((r.chunker, r.chunk_id, r.text) for r in col.read_collection(spark, path).collect())
+
+
+def test_a_failed_recreate_leaves_the_old_collections(spark, tmp_path):
+    path, embed = str(tmp_path / "points"), hashed_embedder(8)
+    ingest.ingest(documents(spark), path, embed, 8)
+    before = stored(spark, path)
+    fresh = ingest.embed_chunks(chunking.chunk_documents(documents(spark).filter("doc_id < 3"), ingest.DEFAULT_CHUNKERS), embed)
+    last = fresh.orderBy(F.desc("chunk_id")).first().chunk_id
+    with pytest.raises(Exception, match="no vector"):
+        col.recreate(failing(fresh, last), path, 8, ["recursive", "semantic"])
+    assert stored(spark, path) == before and not [d for d in os.listdir(path) if d.startswith("_") and d != "_SUCCESS"]
+    col.recreate(fresh, path, 8, ["recursive", "semantic"])
+    assert 0 < len(stored(spark, path)) < len(before)
+
+
+def test_a_recreate_may_read_what_it_replaces(spark, tmp_path):
+    path = str(tmp_path / "points")
+    rows = [(f"{i}", c, f"t{i}", [1.0, float(i)]) for i in range(5) for c in ("a b", "x=y", "ä")]
+    kind = "chunk_id string, chunker string, text string, embedding array<float>"
+    col.recreate(spark.createDataFrame(rows, kind), path, 2, ["a b", "x=y", "ä"])
+    col.recreate(col.read_collection(spark, path).filter("chunk_id < '2'"), path, 2, ["x=y", "a b"])
+    kept = stored(spark, path)
+    assert {c: sum(k[0] == c for k in kept) for c in ("a b", "x=y", "ä")} == {"a b": 2, "x=y": 2, "ä": 5}
+
+
+def test_a_failed_swap_is_undone(spark, tmp_path, monkeypatch):
+    path, embed = str(tmp_path / "points"), hashed_embedder(8)
+    ingest.ingest(documents(spark), path, embed, 8)
+    before = stored(spark, path)
+    fresh = ingest.embed_chunks(chunking.chunk_documents(documents(spark).filter("doc_id < 3"), ingest.DEFAULT_CHUNKERS), embed)
+    # The last folder cannot be put in place, since its name is taken meanwhile.
+    import contextmill.sources.collections as module
+
+    plain, seen = module.unquote, []
+
+    def names(text):
+        seen.append(text)
+        if len(seen) == 4:
+            raise OSError("lost the file system")
+        return plain(text)
+
+    monkeypatch.setattr(module, "unquote", names)
+    with pytest.raises(OSError):
+        col.recreate(fresh, path, 8, ["recursive", "semantic"])
+    monkeypatch.undo()
+    assert stored(spark, path) == before
+
+
+@pytest.mark.parametrize("bits", [1 << 27, 64])
+def test_keyed_upload_leaves_each_id_once(spark, tmp_path, bits):
+    path = str(tmp_path / "points")
+    kind = "chunk_id string, chunker string, text string, embedding array<float>"
+
+    def points(n, text="t"):
+        return spark.createDataFrame([(f"{i}", c, f"{text}{i}", [1.0, float(i)]) for i in range(n) for c in "ab"], kind)
+
+    def add(rows):
+        col.upload(col.missing(rows, path, bits), path, 2)
+
+    add(points(0))
+    add(points(20))
+    add(points(20))
+    add(points(50).unionByName(points(50)))
+    add(points(10).filter("chunker = 'a'"))
+    got = stored(spark, path)
+    assert got == sorted((c, f"{i}", f"t{i}") for i in range(50) for c in "ab")
+
+
+def test_resumed_ingest_embeds_what_is_missing(spark, tmp_path):
+    path, log = str(tmp_path / "points"), tmp_path / "calls"
+    log.mkdir()
+
+    def connect():
+        def embed(texts):
+            import uuid
+
+            (log / uuid.uuid4().hex).write_text("\n".join(texts))
+            return [[float(len(t))] * 4 for t in texts]
+
+        return embed
+
+    chunkers = {"recursive": chunking.recursive_chunks}
+    embed = embedding_model(connect)
+    half = chunking.chunk_documents(documents(spark).filter("doc_id < 3"), chunkers)
+    col.upload(ingest.embed_chunks(half, embed), path, 4)
+    asked = len(list(log.iterdir()))
+    for _ in range(2):
+        points = ingest.ingest_missing(documents(spark), path, embed, 4, chunkers)
+        assert points.count() == points.select("chunk_id").distinct().count() == 6
+    texts = [t for f in log.iterdir() for t in f.read_text().split("\n")]
+    assert len(texts) == 6 and asked > 0
+
+
+def test_ids_are_filtered_where_they_are_read(spark, tmp_path):
+    ids = spark.range(2000).select(F.lit("a").alias("chunker"), F.col("id").cast("string").alias("chunk_id"))
+    some = ids.filter("cast(chunk_id as int) < 100")
+    passed = ids.filter(col._in_filter(some, ["chunker", "chunk_id"], 1 << 14))
+    assert some.exceptAll(passed).count() == 0 and passed.count() < 130
+    assert ids.filter(col._in_filter(some.filter("false"), ["chunker", "chunk_id"], 64)).count() == 0
