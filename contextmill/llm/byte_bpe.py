@@ -1,12 +1,12 @@
 """Byte-level BPE: ranked merges as a fold of Spark's higher-order functions.
 
-The ranks are one literal of the plan, an array of small maps by the hash of the bytes. Merging
-a word is ``aggregate`` over its bytes: each step joins the pair of lowest rank. Words repeat,
-so the commonest distinct words are merged once and their ids broadcast, as many as a fixed
-bound allows; every other word is merged by the same fold in the row of its document. Decoding
+The ranks are literals of the plan: which id two neighbouring ids make, by a hash without collisions. Merging
+a word is ``aggregate`` over its bytes: each step joins the pair of lowest rank, the leftmost of
+equals. Words repeat, so the commonest distinct words are merged once and their ids broadcast, as many as a
+fixed bound allows; every other word is merged by the same fold in the row of its document. Decoding
 puts the bytes of the pieces one after the other.
 
-Bytes stand as characters U+0000 to U+00FF inside the fold, since literals have no binary keys.
+A piece of a word is one number in the fold: the id that it makes with the next piece, its first byte, and its id.
 """
 
 from __future__ import annotations
@@ -14,7 +14,6 @@ from __future__ import annotations
 import base64
 import heapq
 import json
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from contextmill.llm.pretokens import Pretokens, character_classes, gather, hash_bases
-from contextmill.llm.words import slices, tidy
+from contextmill.llm.words import commonest, give_back, slices, small_batches, tidy
 from contextmill.session import materialise
 
 #: Distinct words whose ids are broadcast, at most: about 40 MB.
@@ -33,14 +32,12 @@ MEMO_WORDS = 1 << 20
 #: Characters of a word that the fold takes; its steps grow with the square of the length. Longer
 #: words, which are hardly words, are merged with a heap in the task that reads them.
 FOLD_CHARS = 64
-_BUCKETS = 1 << 15
-#: Slices whose words are counted together.
-_HELD = 6
+#: Distinct words of slices that are counted together.
+_HELD = 1 << 20
 #: Bytes of text looked at together, so that their arrays stay in the processor's cache.
 _COUNT_BYTES, _LOOK_UP_BYTES = 1 << 18, 1 << 17
 #: Documents put together at a time.
 _ROWS = 250
-_NONE = (1 << 31) - 1
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -49,61 +46,125 @@ def read_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(word): int(rank) for word, rank in map(bytes.split, lines)}
 
 
-def _rank_literal(ranks: dict[bytes, int]) -> Column:
-    buckets: list[dict[str, int]] = [{} for _ in range(_BUCKETS)]
-    for word, rank in ranks.items():
-        key = word.decode("latin-1")
-        buckets[zlib.crc32(key.encode()) % _BUCKETS][key] = rank
-    return F.from_json(F.lit(json.dumps(buckets)), "array<map<string,int>>")
+class PairRanks:
+    """Which id two neighbouring ids make: ``slots`` found by a hash and what ``moved`` adds for its bucket.
 
+    A slot holds the pair in its upper bits and the id in its lower ones.
+    """
 
-def merged_ids(word: Column, ranks: dict[bytes, int]) -> Column:
+    def __init__(self, ranks: dict[bytes, int]):
+        self.bits = max(17, (max(ranks.values(), default=0) + 1).bit_length())
+        if self.bits > 20:
+            raise ValueError("ids of more than 20 bits")
+        made = {}
+        for word, rank in ranks.items():
+            for cut in range(1, len(word)):
+                left, right = ranks.get(word[:cut]), ranks.get(word[cut:])
+                if left is not None and right is not None:
+                    made[(left << self.bits) | right] = rank
+        self.size = 1 << max(4, (2 * len(made)).bit_length())
+        self.buckets = max(4, self.size >> 2)
+        keys = np.fromiter(made, np.int64, len(made))
+        ids = np.fromiter(made.values(), np.int64, len(made))
+        turn = 0
+        while not self._place(keys, ids, turn):
+            turn += 1
+        #: Words that are pieces as a whole, but that merging does not lead to.
+        self.apart = {w: r for w, r in ranks.items() if len(w) > 1 and merge_long(w, ranks) != [r]}
+        self.single = [ranks.get(bytes([b]), -1) for b in range(256)]
+
+    def _place(self, keys: np.ndarray, ids: np.ndarray, turn: int) -> bool:
+        spare = 62 - 2 * self.bits
+        self.by_slot, self.by_bucket = ((x >> (64 - spare)) + 2 * turn | 1 for x in (0x85EBCA77C2B2AE63, 0x9E3779B97F4A7C15))
+        slot, bucket = (keys * self.by_slot >> 17) & (self.size - 1), (keys * self.by_bucket >> 13) & (self.buckets - 1)
+        # Nothing has this pair: no id is as large as its right side.
+        nothing = ((1 << self.bits) - 1) << self.bits
+        self.slots = np.full(self.size + 1024, nothing, np.int64)
+        self.moved = np.zeros(self.buckets, np.int64)
+        free = np.ones(len(self.slots), bool)
+        order = np.argsort(bucket, kind="stable")
+        edges = np.searchsorted(bucket[order], np.arange(self.buckets + 1))
+        for b in np.argsort(-np.diff(edges), kind="stable").tolist():
+            own = order[edges[b] : edges[b + 1]]
+            if not len(own):
+                break
+            at = slot[own]
+            if len(np.unique(at)) < len(at):
+                return False
+            for move in range(1024):
+                if free[at + move].all():
+                    break
+            else:
+                return False
+            self.slots[at + move], free[at + move], self.moved[b] = (keys[own] << self.bits) | ids[own], False, move
+        return True
+
+
+def _literal(numbers, kind: str) -> Column:
+    return F.from_json(F.lit(json.dumps([int(n) for n in numbers])), f"array<{kind}>")
+
+
+def merged_ids(word: Column, ranks: dict[bytes, int] | PairRanks) -> Column:
     """The ids of a word (a string column): array<int>. An empty or NULL word has none."""
+    pairs = ranks if isinstance(ranks, PairRanks) else PairRanks(ranks)
 
     def let(value: Column, body) -> Column:
         """``body`` of a value that is worked out once."""
         return F.transform(F.array(value), body)[0]
 
-    return let(_rank_literal(ranks), lambda table: _fold(word, table, let))
+    def folded(slots: Column) -> Column:
+        return let(_literal(pairs.moved, "int"), lambda moved: let(
+            _literal(pairs.single, "bigint"), lambda single: _fold(word, pairs, slots, moved, single, let)))
 
+    return let(_literal(pairs.slots, "bigint"), folded)
 
-def _fold(word: Column, table: Column, let) -> Column:
-    def rank(key: Column) -> Column:
-        bucket = F.element_at(table, (F.crc32(key) % _BUCKETS + 1).cast("int"))
-        return F.coalesce(F.try_element_at(bucket, key), F.lit(_NONE))
 
-    def join(state: Column, at: Column) -> Column:
-        """Pieces ``at`` and ``at`` + 1 become one; the ranks left and right of it are new."""
-        p, r = state["p"], state["r"]
+def _fold(word: Column, pairs: PairRanks, slots: Column, moved: Column, single: Column, let) -> Column:
+    none = F.lit(1 << pairs.bits).cast("bigint")  # no id
+    id_of = lambda piece: piece.bitwiseAND((1 << pairs.bits) - 1)
+    place = ((1 << 40) - 1) ^ ((1 << pairs.bits) - 1)  # the first byte, above the id
 
-        def joined(new: Column) -> Column:
-            left = F.when(at > 1, F.array(rank(F.concat(F.get(p, at - 2), new)))).otherwise(F.array().cast("array<int>"))
-            right = F.when(at + 1 < F.size(p), F.array(rank(F.concat(new, F.get(p, at + 1))))).otherwise(F.array().cast("array<int>"))
-            return F.struct(
-                F.concat(F.slice(p, 1, at - 1), F.array(new), F.slice(p, at + 2, F.size(p))).alias("p"),
-                F.concat(F.slice(r, 1, F.greatest(at - 2, F.lit(0))), left, right, F.slice(r, at + 2, F.size(r))).alias("r"),
-            )
+    def together(left: Column, right: Column) -> Column:
+        """The id that two ids make. A slot of another pair differs above the id, so ``none`` is less."""
+        pair = F.shiftleft(left, pairs.bits).bitwiseOR(right)
+        bucket = F.shiftright(pair * pairs.by_bucket, 13).bitwiseAND(pairs.buckets - 1)
+        slot = F.shiftright(pair * pairs.by_slot, 17).bitwiseAND(pairs.size - 1) + moved[bucket]
+        return F.least(slots[slot].bitwiseXOR(F.shiftleft(pair, pairs.bits)), none)
 
-        return let(F.concat(F.get(p, at - 1), F.get(p, at)), joined)
+    def join(state: Column, at: Column, best: Column) -> Column:
+        """Pieces ``at`` and ``at`` + 1 become one; what it makes with its neighbours is new."""
+        new, rest = F.shiftright(best, 40), F.slice(state, at + 2, F.size(state))
+        after = F.get(state, at + 1)
+        makes = F.when(after.isNull(), none).otherwise(together(new, id_of(after)))
+        merged = F.shiftleft(makes, 40).bitwiseOR(best.bitwiseAND(place)).bitwiseOR(new)
 
-    def step(state: Column, _: Column) -> Column:
-        return let(F.array_min(state["r"]), lambda best: F.when(
-            best == _NONE, state).otherwise(let(F.array_position(state["r"], best).cast("int"), lambda at: join(state, at))))
-
-    text = F.decode(F.encode(F.coalesce(word, F.lit("")), "UTF-8"), "ISO-8859-1")
+        def with_left(left: Column) -> Column:
+            own = left.bitwiseAND((1 << 40) - 1)
+            changed = F.shiftleft(together(id_of(left), new), 40).bitwiseOR(own)
+            return F.concat(F.slice(state, 1, at - 2), F.array(changed, merged), rest)
 
-    def folded(text: Column) -> Column:
-        chars = F.regexp_extract_all(text, F.lit("(?s)."), F.lit(0))
+        return F.when(at > 1, let(F.get(state, at - 2), with_left)).otherwise(F.concat(F.array(merged), rest))
 
-        def merge(chars: Column) -> Column:
-            pairs = F.zip_with(F.slice(chars, 1, F.size(chars) - 1), F.slice(chars, 2, F.size(chars)), lambda a, b: rank(F.concat(a, b)))
-            start = F.struct(chars.alias("p"), pairs.alias("r"))
-            return F.aggregate(F.sequence(F.lit(2), F.size(chars)), start, step, lambda s: F.transform(s["p"], rank))
-
-        many = let(chars, merge)
-        return let(rank(text), lambda whole: F.when(whole != _NONE, F.array(whole)).otherwise(many))
+    def step(state: Column, _: Column) -> Column:
+        return let(F.array_min(state), lambda best: F.when(F.shiftright(best, 40) >= none, state).otherwise(
+            let(F.array_position(state, best).cast("int"), lambda at: join(state, at, best))))
+
+    def merge(ids: Column) -> Column:
+        n = F.size(ids)
+        following = F.concat(F.slice(ids, 2, n), F.array(F.lit(-1).cast("bigint")))
+        makes = F.zip_with(ids, following, lambda a, b: F.when(b < 0, none).otherwise(together(a, b)))
+        start = F.zip_with(makes, F.transform(ids, lambda a, i: F.shiftleft(i.cast("bigint"), 20).bitwiseOR(a)),
+                           lambda m, piece: F.shiftleft(m, 40).bitwiseOR(piece))
+        done = F.aggregate(F.sequence(F.lit(2), n), start, step)
+        return F.when(n < 2, ids).otherwise(F.transform(done, id_of))
 
-    return let(text, lambda t: F.when(F.length(t) == 0, F.array().cast("array<int>")).otherwise(folded(t)))
+    text = F.decode(F.encode(F.coalesce(word, F.lit("")), "UTF-8"), "ISO-8859-1")
+    bytes_of = F.regexp_extract_all(text, F.lit("(?s)."), F.lit(0))
+    ids = let(F.transform(bytes_of, lambda c: single[F.ascii(c)]), merge).cast("array<int>")
+    if pairs.apart:
+        whole = F.create_map(*[F.lit(x) for w, r in pairs.apart.items() for x in (w.decode("latin-1"), r)])
+        ids = F.when(F.map_contains_key(whole, text), F.array(F.try_element_at(whole, text))).otherwise(ids)
+    return F.when(F.length(text) == 0, F.array().cast("array<int>")).otherwise(ids)
 
 
 def merge_long(word: bytes, ranks: dict[bytes, int]) -> list[int]:
@@ -128,33 +189,29 @@ def merge_long(word: bytes, ranks: dict[bytes, int]) -> list[int]:
 
 
 def word_counts(docs: DataFrame, classes) -> DataFrame:
-    """(word, n): how often words occur that a task sees twice or more between two flushes."""
+    """(word, n): how often each word occurs, but for those beyond ``FOLD_CHARS``."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bases, table = hash_bases(), classes.value
-        held: list[tuple[Pretokens, np.ndarray, np.ndarray, np.ndarray]] = []  # cut, hashes, places, counts
+        held: list[tuple[np.ndarray, np.ndarray, pa.Array]] = []  # hashes, counts, words
 
         def flush() -> pa.RecordBatch:
-            hashes, places, counts = (np.concatenate([x[i] for x in held]) for i in (1, 2, 3))
-            begin = np.cumsum([0, *(len(x[1]) for x in held)])
+            hashes, counts = (np.concatenate([x[i] for x in held]) for i in (0, 1))
+            words = pa.concat_arrays([x[2] for x in held])
+            held.clear()
             _, at, back = np.unique(hashes, return_index=True, return_inverse=True)
             total = np.bincount(back, counts).astype(np.int64)
-            often = np.flatnonzero(total > 1)
-            of = np.searchsorted(begin, at[often], "right") - 1
-            words = [held[t][0].word(i) for t, i in zip(of.tolist(), places[at[often]].tolist())]
-            held.clear()
-            return pa.RecordBatch.from_arrays([pa.array(words, pa.string()), pa.array(total[often])], ["word", "n"])
+            return pa.RecordBatch.from_arrays([words.take(pa.array(at)), pa.array(total)], ["word", "n"])
 
         for batch in batches:
             for part in slices(batch, "text", _COUNT_BYTES):
                 cut = Pretokens([t or "" for t in part.column("text").to_pylist()], table, spaced=True)
-                if not len(cut):
-                    continue
                 known, at, n = np.unique(cut.hash(bases[0]), return_index=True, return_counts=True)
                 short = cut.ends[at] - cut.starts[at] <= FOLD_CHARS
-                held.append((cut, known[short], at[short], n[short]))
-                if len(held) == _HELD:
+                held.append((known[short], n[short], cut.strings(at[short])))
+                if sum(len(x[0]) for x in held) >= _HELD:
                     yield flush()
+                    give_back()
         if held:
             yield flush()
 
@@ -191,15 +248,9 @@ class Memo:
         return found
 
 
-def build_memo(docs: DataFrame, ranks: dict[bytes, int], classes, most: int = MEMO_WORDS) -> Memo:
-    """The ids of the commonest words, at most ``most``, all words of a count or none."""
-    words = materialise(word_counts(docs, classes), "words")
-    left, least = most, 1 << 62
-    by_count = words.groupBy(F.least("n", F.lit(100_000)).alias("n")).count().orderBy(F.desc("n"))
-    for n, count in by_count.collect():  # at most 100,000 rows
-        if count > left:
-            break
-        left, least = left - count, n
+def build_memo(docs: DataFrame, ranks: PairRanks, classes, most: int = MEMO_WORDS) -> Memo:
+    """The ids of the commonest words that occur twice or more, at most about ``most``."""
+    words = materialise(word_counts(docs, classes).filter("n > 1"), "words")
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bases, table = hash_bases(), classes.value
@@ -210,7 +261,7 @@ def build_memo(docs: DataFrame, ranks: dict[bytes, int], classes, most: int = ME
             one, two = (pa.array(x.astype(np.int64)) for x in cut.hashes(*bases))
             yield pa.RecordBatch.from_arrays([one, two, batch.column("ids")], ["one", "two", "ids"])
 
-    chosen = words.filter(F.col("n") >= least).select("word", merged_ids(F.col("word"), ranks).alias("ids"))
+    chosen = (commonest(words, "word", most) if most else words.filter("false")).select("word", merged_ids(F.col("word"), ranks).alias("ids"))
     found = chosen.mapInArrow(tidy(hashed), "one bigint, two bigint, ids array<int>").toArrow().combine_chunks()
     one, two = (np.asarray(found.column(c), np.int64).astype(np.uint64) for c in ("one", "two"))
     ids = found.column("ids")
@@ -244,8 +295,9 @@ def encode(
     Columns of ``docs`` named like the two new ones are replaced.
     """
     context = docs.sparkSession.sparkContext
-    classes = context.broadcast(character_classes())
-    memo = context.broadcast(build_memo(docs.select(F.col(text).alias("text")), ranks, classes, memo_words))
+    small_batches(docs.sparkSession)
+    classes, pairs = context.broadcast(character_classes()), PairRanks(ranks)
+    memo = context.broadcast(build_memo(docs.select(F.col(text).alias("text")), pairs, classes, memo_words))
     held = context.broadcast(ranks)
     replaced = ("n_tokens", "ids", "decoded") if decoded else ("n_tokens", "ids")
     kept = docs.select(*[f"`{c}`" for c in docs.columns if c not in replaced])
@@ -297,7 +349,7 @@ def encode(
         *kept.schema.fields, T.StructField("__ids", T.BinaryType()), T.StructField("__rare", T.ArrayType(T.StringType())),
         T.StructField("__long", T.ArrayType(T.StructType([T.StructField("at", T.IntegerType()), T.StructField("ids", T.BinaryType())]))),
     ])
-    found = kept.mapInArrow(tidy(look_up), kind).withColumn("__merged", F.transform("__rare", lambda w: merged_ids(w, ranks)))
+    found = kept.mapInArrow(tidy(look_up), kind).withColumn("__merged", F.transform("__rare", lambda w: merged_ids(w, pairs)))
 
     def assemble(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = Pieces(held.value) if decoded else None

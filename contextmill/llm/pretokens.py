@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 import regex
 
 from contextmill.llm.words import Powers, mix
@@ -85,6 +86,15 @@ class Pretokens:
     def word(self, i: int) -> str:
         return self.joined[self.starts[i] : self.ends[i]]
 
+    def strings(self, at: np.ndarray) -> pa.Array:
+        """Those pre-tokens as an Arrow array."""
+        width = 1 + (self.codes > 0x7F) + (self.codes > 0x7FF) + (self.codes > 0xFFFF)
+        begin = np.concatenate(([0], np.cumsum(width)))
+        starts, lengths = begin[self.starts[at]], begin[self.ends[at]] - begin[self.starts[at]]
+        flat = gather(np.frombuffer(self.joined.encode(), np.uint8), starts, lengths)
+        offsets = np.concatenate(([0], np.cumsum(lengths))).astype(np.int32)
+        return pa.StringArray.from_buffers(len(at), pa.py_buffer(offsets), pa.py_buffer(flat))
+
     def hash(self, powers: Powers, turn: int = 0) -> np.ndarray:
         """A 64-bit hash of each pre-token."""
         value = mix(self.codes + np.uint64(1))

@@ -8,6 +8,8 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Bytes of text that are looked at together, few enough for a processor's cache; a longer text
 #: is looked at alone, whole.
@@ -176,3 +178,34 @@ def tidy(task: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]):
         give_back()
 
     return run
+
+
+#: Rows of an Arrow batch, where the session has left Spark's own 10,000.
+BATCH_ROWS = 1000
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Have Spark send ``BATCH_ROWS`` rows of text at a time to Python, unless the session's owner chose a number."""
+    setting = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(setting) == "10000":
+        spark.conf.set(setting, str(BATCH_ROWS))
+
+
+def commonest(counted: DataFrame, key: str, most: int, least: int = 1) -> DataFrame:
+    """About ``most`` rows of (key, n, ...), those of largest ``n``, and at most that many but for chance.
+
+    Counts are compared by their logarithms in sixteenths, so the driver gets some hundred rows whatever the
+    corpus; of the last such step a share is taken by a hash of the key. ``n`` is at least ``least``.
+    """
+    counted = counted.filter(F.col("n") >= least)
+    step = F.floor(F.log2("n") * 16)
+    left, last, share = most, None, 0.0
+    for r in counted.groupBy(step.alias("step")).count().orderBy(F.desc("step")).collect():
+        last, share = r.step, min(1.0, left / r["count"])
+        left -= r["count"]
+        if left <= 0:
+            break
+    if last is None:
+        return counted
+    draw = F.pmod(F.xxhash64(F.lit("common"), key), F.lit(1 << 30))
+    return counted.filter((step > last) | ((step == last) & (draw < int(0.99 * share * (1 << 30)) if share < 1 else step == last)))
