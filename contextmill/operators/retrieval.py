@@ -28,10 +28,12 @@ _TILE_PAIRS = 1 << 22
 _EXACT_ELEMENTS = 1 << 21
 
 
-def _packed(rows: DataFrame, name: str, dim: int, size: int) -> DataFrame:
+def _packed(rows: DataFrame, name: str, dim: int, size: int, by_pivot: bool = False) -> DataFrame:
     """Runs of rows as one row each: ``{name}_ids`` and ``{name}_vectors``, at most ``size`` bytes.
 
-    ``{name}_run`` tells the runs apart.
+    ``{name}_run`` tells the runs apart; ``{name}_ball`` holds their direction and the largest
+    angle of a member to it, see ``_ball``; ``{name}_pivots`` and ``{name}_floors`` are the third and fourth column.
+    With ``by_pivot`` the third column is the same within a run.
     """
     from pyspark.sql.pandas.types import to_arrow_schema
 
@@ -39,6 +41,9 @@ def _packed(rows: DataFrame, name: str, dim: int, size: int) -> DataFrame:
         T.StructField(f"{name}_ids", T.ArrayType(rows.schema[0].dataType)),
         T.StructField(f"{name}_vectors", T.BinaryType()),
         T.StructField(f"{name}_run", T.StringType()),
+        T.StructField(f"{name}_ball", T.BinaryType()),
+        T.StructField(f"{name}_pivots", T.ArrayType(T.IntegerType())),
+        T.StructField(f"{name}_floors", T.ArrayType(T.DoubleType())),
     ])
     arrow = to_arrow_schema(out)
     most = max(1, size // (8 * max(1, dim)))
@@ -49,13 +54,31 @@ def _packed(rows: DataFrame, name: str, dim: int, size: int) -> DataFrame:
 
         def run(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
             table = pa.Table.from_batches(parts).combine_chunks()
-            ids, vectors = (c.combine_chunks() for c in table.columns)
+            ids, vectors, pivots, floors = (c.combine_chunks() for c in table.columns)
             values = np.ascontiguousarray(matrix(vectors, dim), np.float64)
-            lists = pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), ids)
-            columns = [lists.cast(arrow.field(0).type), pa.array([values.tobytes()], pa.binary()), pa.array([next(names)])]
+            lists = [pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), c) for c in (ids, pivots, floors)]
+            columns = [lists[0].cast(arrow.field(0).type), pa.array([values.tobytes()], pa.binary()), pa.array([next(names)]),
+                       pa.array([_ball(values).tobytes()], pa.binary()), *(x.cast(arrow.field(i).type) for x, i in ((lists[1], 4), (lists[2], 5)))]
             return pa.RecordBatch.from_arrays(columns, schema=arrow)
 
-        for batch in batches:
+        def pieces() -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                if not by_pivot:
+                    yield batch
+                    continue
+                pivot = np.asarray(batch.column("pivot").fill_null(-1))
+                edges = [0, *(np.flatnonzero(np.diff(pivot)) + 1).tolist(), len(pivot)]
+                for x, y in zip(edges[:-1], edges[1:]):
+                    yield batch.slice(x, y - x)
+
+        last = None
+        for batch in pieces():
+            if by_pivot and batch.num_rows:
+                own = batch.column("pivot")[0].as_py()
+                if held and own != last:
+                    yield run(held)
+                    held = []
+                last = own
             at = 0
             while at < batch.num_rows:
                 part = batch.slice(at, most - sum(b.num_rows for b in held))
@@ -70,18 +93,49 @@ def _packed(rows: DataFrame, name: str, dim: int, size: int) -> DataFrame:
     return rows.mapInArrow(pack, out)
 
 
+#: What rounding may add to an angle, generously: arccos loses half the digits near one.
+_ANGLE_SLACK = 1e-6
+
+
+def _ball(rows: np.ndarray) -> np.ndarray:
+    """The mean direction of some vectors, then the largest angle of one to it, then whether one is zero."""
+    size = norms(rows)[:, None]
+    unit = np.divide(rows, size, out=np.zeros_like(rows), where=size > 0)
+    middle = unit.sum(axis=0)
+    length = np.sqrt((middle * middle).sum())
+    if length < 1e-9:
+        return np.concatenate((middle, [np.pi, float((size == 0).any())]))
+    middle /= length
+    some = unit[size[:, 0] > 0]
+    angle = np.arccos(np.clip((some @ middle).min(), -1, 1)) if len(some) else 0.0
+    return np.concatenate((middle, [angle, float((size == 0).any())]))
+
+
+def _most_similar(ball: np.ndarray, unit: np.ndarray, zero: np.ndarray) -> np.ndarray:
+    """The largest similarity that each question can have to a member of the ball, by the triangle inequality."""
+    middle, angle, has_zero = ball[:-2], ball[-2], ball[-1]
+    apart = np.arccos(np.clip(unit @ middle, -1, 1)) - angle - _ANGLE_SLACK
+    most = np.where(apart > 0, np.cos(np.maximum(apart, 0)), 1.0)
+    if has_zero:
+        most = np.maximum(most, 0)
+    return np.where(zero, 1.0, most)
+
+
 def _units(rows: np.ndarray) -> np.ndarray:
     size = norms(rows)[:, None]
     return np.divide(rows, size, out=np.zeros_like(rows), where=size > 0).astype(np.float32)
 
 
-def _search(k: int, dim: int, schema: pa.Schema):
+def _search(k: int, dim: int, schema: pa.Schema, own: bool = False, seen=None):
     """Top k of each tile for each question of a block, less what earlier tiles rule out.
 
-    Single-precision products find the candidates. The margin covers the largest possible
+    Questions whose floor no member of a tile can reach skip it, and single-precision products find the candidates
+    of the others. The margin covers the largest possible
     rounding error, so no true member is lost; survivors are scored again in double precision,
     independent of batch and tile sizes. A task remembers, per question, the best k-th
-    similarity of any of its tiles so far: nothing below it can be among the best k.
+    similarity of any of its tiles so far: nothing below it can be among the best k. A block may bring such
+    floors with it. With ``own`` only tiles of a question's own pivot are looked at. ``seen`` counts pairs
+    of question and vector, and those that were skipped.
     """
     margin = np.float32(2 * (dim + 8) * 2.0**-24 + 2e-9)
 
@@ -94,22 +148,40 @@ def _search(k: int, dim: int, schema: pa.Schema):
                     np.frombuffer(batch.column(c)[i].as_py(), np.float64).reshape(-1, dim)
                     for c in ("chunk_vectors", "query_vectors"))
                 block = batch.column("query_run")[i].as_py()
-                floor = floors.get(block, np.full(len(questions), -np.inf))
-                unit_t = np.ascontiguousarray(_units(questions).T)
+                if block not in floors:
+                    given = np.asarray(batch.column("query_floors")[i].values.fill_null(-np.inf), np.float64)
+                    floors[block] = given - margin
+                every = floors[block]
+                size = norms(questions)[:, None]
+                unit = np.divide(questions, size, out=np.zeros_like(questions), where=size > 0)
+                ball = np.frombuffer(batch.column("chunk_ball")[i].as_py(), np.float64)
+                possible = _most_similar(ball, unit, size[:, 0] == 0) >= every - margin
+                if own:
+                    possible &= np.asarray(batch.column("query_pivots")[i].values) == batch.column("chunk_pivots")[i].values[0].as_py()
+                near = np.flatnonzero(possible)
+                if seen is not None:
+                    seen[0].add(len(wide) * len(questions))
+                    seen[1].add(len(wide) * (len(questions) - len(near)))
+                if not len(near):
+                    continue
+                floor = every[near]
+                unit_t = np.ascontiguousarray(unit[near].astype(np.float32).T)
                 found = []
-                step = max(k + 1, _TILE_PAIRS // len(questions))
+                step = max(k + 1, _TILE_PAIRS // len(near))
                 for start in range(0, len(wide), step):
                     tile = wide[start : start + step]
                     sims = _units(tile) @ unit_t
                     hits = np.flatnonzero(sims >= (floor - margin).astype(np.float32))
-                    if len(hits) > 4 * k * len(questions) and len(tile) > k:
+                    if len(hits) > 4 * k * len(near) and len(tile) > k:
                         # The floor is low: raise it to the tile's own k-th best, less what rounding may have added.
                         at = len(tile) - k
                         floor = np.maximum(floor, np.partition(sims, at, axis=0)[at] - margin)
                         hits = np.flatnonzero(sims >= (floor - margin).astype(np.float32))
-                    row, question = np.divmod(hits, len(questions))
-                    found.append((row + start, question))
-                floors[block] = floor
+                    row, question = np.divmod(hits, len(near))
+                    found.append((row + start, near[question]))
+                every = every.copy()
+                every[near] = floor
+                floors[block] = every
                 row, question = (np.concatenate(x) for x in zip(*found))
                 exact = max(1, _EXACT_ELEMENTS // max(1, dim))
                 sim = np.concatenate([np.zeros(0), *(
@@ -121,8 +193,47 @@ def _search(k: int, dim: int, schema: pa.Schema):
     return run
 
 
+#: Vectors of a corpus that it is ordered by, and by which a search finds a question's neighbours first.
+PIVOTS = 1024
+
+
+def order_by_pivots(corpus: DataFrame, dim: int, path: str, pivots: int = PIVOTS) -> None:
+    """Write ``corpus(chunk_id, embedding, ...)`` so that neighbours stand together, for searches that skip tiles.
+
+    Every vector goes to the nearest of ``pivots`` vectors of the corpus, chosen by a hash of their ids; the table
+    is sorted by pivot over all tasks, a pivot with very many vectors over several. ``path`` then has the points
+    and, beside them, the pivots. Any layout gives the same hits; this one lets ``knn`` skip tiles.
+    """
+    spark = corpus.sparkSession
+    chosen = corpus.select("chunk_id", "embedding").orderBy(F.xxhash64("chunk_id"), "chunk_id").limit(pivots)
+    chosen = materialise(chosen, "pivots")
+    placed = corpus.withColumn("pivot", _nearest(chosen, dim)(F.col("embedding")))
+    placed = placed.repartitionByRange("pivot", F.xxhash64("chunk_id"))
+    placed.sortWithinPartitions("pivot").write.parquet(f"{path}/points")
+    chosen.write.parquet(f"{path}/pivots")
+
+
+def _nearest(pivots: DataFrame, dim: int):
+    """The number of the pivot that a vector is nearest to; of a bounded table of pivots."""
+    table = pivots.select("embedding", "chunk_id").orderBy("chunk_id").limit(16 * PIVOTS).toArrow()
+    rows = matrix(table.column("embedding").combine_chunks(), dim) if table.num_rows else np.zeros((1, dim))
+    held = pivots.sparkSession.sparkContext.broadcast(_units(np.asarray(rows, np.float64)))
+
+    @F.arrow_udf(T.IntegerType())
+    def nearest(vectors: pa.Array) -> pa.Array:
+        unit = _units(np.asarray(matrix(vectors, dim), np.float64))
+        return pa.array((unit @ held.value.T).argmax(axis=1).astype(np.int32))
+
+    return nearest
+
+
+def read_ordered(spark, path: str) -> tuple[DataFrame, DataFrame]:
+    """The points of ``order_by_pivots``, and its pivots."""
+    return spark.read.parquet(f"{path}/points"), spark.read.parquet(f"{path}/pivots")
+
+
 def knn(questions: DataFrame, corpus: DataFrame, k: int, dim: int,
-        question_bytes: int = QUESTION_BYTES, tile_bytes: int = TILE_BYTES) -> DataFrame:
+        question_bytes: int = QUESTION_BYTES, tile_bytes: int = TILE_BYTES, pivots: DataFrame | None = None, seen=None) -> DataFrame:
     """The k most similar chunks of every question, best first, ties by chunk id.
 
     ``questions(query_id, embedding)`` and ``corpus(chunk_id, embedding)`` give
@@ -131,22 +242,47 @@ def knn(questions: DataFrame, corpus: DataFrame, k: int, dim: int,
     and passes all blocks by them. The corpus is read once and never shuffled, and neither
     questions nor vectors go through the driver unless Spark finds the blocks small enough to
     broadcast. Repeated ids are rows of their own.
+
+    A tile that lies too far from a question to hold one of its k best is skipped, which is exact: similarities
+    are angles, and angles obey the triangle inequality. It pays for a corpus that is ordered so that
+    neighbours share tiles (``order_by_pivots``), given with its ``pivots``: then a first pass
+    looks into the tiles of each question's own pivot, reading those alone, and its k-th hits are floors for all tasks of the
+    second. Without, work is the product of questions and corpus.
     """
+    nothing = F.lit(None).cast("int").alias("pivot"), F.lit(None).cast("double").alias("floor")
+    questions = questions.select("query_id", "embedding")
+    if pivots is None:
+        return materialise(_ranked(_hits(
+            questions.select("*", *nothing), corpus.select("chunk_id", "embedding", *nothing), k, dim, question_bytes, tile_bytes, False, seen), k), "hits")
+    near = questions.withColumn("pivot", _nearest(pivots, dim)(F.col("embedding")))
+    near = materialise(near.withColumn("floor", nothing[1]), "questions-by-pivot")
+    points = corpus.select("chunk_id", "embedding", "pivot", nothing[1])
+    wanted = [r.pivot for r in near.select("pivot").distinct().collect()]  # at most as many as pivots
+    first = _ranked(_hits(near, points.filter(F.col("pivot").isin(wanted)), k, dim, question_bytes, tile_bytes, True, None), k)
+    floors = first.groupBy("query_id").agg(F.min("sim").alias("floor"), F.count(F.lit(1)).alias("n")).filter(F.col("n") == k)
+    floors = materialise(floors.select("query_id", "floor"), "floors")
+    known = near.drop("floor").join(floors, "query_id", "left").select("query_id", "embedding", "pivot", "floor")
+    return materialise(_ranked(_hits(known, points, k, dim, question_bytes, tile_bytes, False, seen), k), "hits")
+
+
+def _hits(questions: DataFrame, corpus: DataFrame, k: int, dim: int, question_bytes: int, tile_bytes: int, own: bool, seen) -> DataFrame:
+    """(query_id, chunk_id, sim): what tasks find of (id, embedding, pivot, floor)."""
     from pyspark.sql.pandas.types import to_arrow_schema
 
-    questions = questions.select("query_id", "embedding")
-    corpus = corpus.select("chunk_id", "embedding")
     out = T.StructType(
         [questions.schema["query_id"], corpus.schema["chunk_id"], T.StructField("sim", T.DoubleType())]
     )
-    blocks = materialise(_packed(questions, "query", dim, question_bytes), "question-blocks")
+    blocks = materialise(_packed(questions, "query", dim, question_bytes).drop("query_ball"), "question-blocks")
     # All blocks are one partition on their side, so each part of the corpus is made once.
-    pairs = _packed(corpus, "chunk", dim, tile_bytes).crossJoin(blocks.coalesce(1))
-    partial = pairs.mapInArrow(_search(k, dim, to_arrow_schema(out)), out)
+    pairs = _packed(corpus, "chunk", dim, tile_bytes, True).drop("chunk_floors").crossJoin(blocks.coalesce(1))
+    return pairs.mapInArrow(_search(k, dim, to_arrow_schema(out), own, seen), out)
+
 
+def _ranked(partial: DataFrame, k: int) -> DataFrame:
+    """The first k of each question."""
     by_salt = Window.partitionBy("query_id", "salt").orderBy(F.desc("sim"), "chunk_id")
     by_query = Window.partitionBy("query_id").orderBy(F.desc("sim"), "chunk_id")
-    ranked = (
+    return (
         partial.withColumn("salt", F.pmod(F.xxhash64("chunk_id"), F.lit(SALTS)))
         .withColumn("rank", F.row_number().over(by_salt))
         .filter(F.col("rank") <= k)
@@ -154,7 +290,6 @@ def knn(questions: DataFrame, corpus: DataFrame, k: int, dim: int,
         .withColumn("rank", F.row_number().over(by_query))
         .filter(F.col("rank") <= k)
     )
-    return materialise(ranked, "hits")
 
 
 def attach(hits: DataFrame, payload: DataFrame) -> DataFrame:

@@ -211,6 +211,15 @@ def knn_topk(spark, folder):
     return _hits(spark, folder, 10)
 
 
+@query
+def knn_pivots(spark, folder):
+    """The same search over a corpus that is written in the order of pivots, with tiles skipped."""
+    path = work_folder(spark, "ordered")
+    ret.order_by_pivots(inputs.vector_corpus(spark, folder), DIM, path, 64)
+    points, pivots = ret.read_ordered(spark, path)
+    return ret.knn(inputs.vector_questions(spark, folder), points, 10, DIM, pivots=pivots)
+
+
 @query
 def retrieve_baseline(spark, folder):
     questions, corpus = inputs.vector_questions(spark, folder), inputs.vector_corpus(spark, folder)

@@ -167,3 +167,63 @@ def test_attach_keeps_hits_without_payload(spark):
     texts = spark.createDataFrame([(10, "ten"), (12, "twelve")], "chunk_id long, text string")
     got = sorted((r.query_id, r.chunk_id, r.text) for r in ret.attach(hits, texts).collect())
     assert got == [(1, 10, "ten"), (1, 11, None), (2, 10, "ten")]
+
+
+def clustered(n, dim, seed, centres=40, spread=0.08):
+    rng = np.random.default_rng(seed)
+    middle = rng.normal(size=(centres, dim))
+    middle /= np.linalg.norm(middle, axis=1, keepdims=True)
+    return (middle[rng.integers(0, centres, n)] + spread / np.sqrt(dim) * rng.normal(size=(n, dim))).astype(np.float32)
+
+
+def searched(spark, tmp_path, questions, corpus, k, dim, pivots=64, **more):
+    q, c = frames(spark, questions, corpus)
+    path = str(tmp_path / f"ordered-{len(list(tmp_path.iterdir()))}")
+    ret.order_by_pivots(c.repartition(5), dim, path, pivots)
+    points, chosen = ret.read_ordered(spark, path)
+    seen = spark.sparkContext.accumulator(0), spark.sparkContext.accumulator(0)
+    found = rows(ret.knn(q, points, k, dim, pivots=chosen, seen=seen, **more))
+    return found, seen[1].value / max(1, seen[0].value)
+
+
+def test_skipped_tiles_change_nothing(spark, tmp_path):
+    """Bit for bit the hits of the full search; most of the work is skipped where vectors form clusters."""
+    corpus = clustered(4000, 24, 1)
+    questions = np.concatenate([clustered(30, 24, 1), vectors(4, 24, 9)])
+    want = brute(questions, corpus, range(4000), 10)
+    found, skipped = searched(spark, tmp_path, questions, corpus, 10, 24)
+    q, c = frames(spark, questions, corpus)
+    assert found == want == rows(ret.knn(q, c.repartition(3), 10, 24))
+    assert skipped > 0.6
+
+
+@pytest.mark.parametrize("k, tile_bytes", [(1, 2000), (7, 300), (70, 1 << 20)])
+def test_bounds_with_odd_vectors(spark, tmp_path, k, tile_bytes):
+    """Zero vectors, opposite ones, copies, ties at the k-th place, and fewer pivots than k."""
+    corpus = np.concatenate([clustered(150, 8, 3, 5), np.zeros((20, 8), np.float32), -clustered(60, 8, 3, 5), np.repeat(clustered(1, 8, 4), 40, 0)])
+    questions = np.concatenate([clustered(6, 8, 3, 5), np.zeros((1, 8), np.float32), -corpus[:2], corpus[-1:], vectors(3, 8, 8)])
+    found, _ = searched(spark, tmp_path, questions, corpus, k, 8, 16, tile_bytes=tile_bytes, question_bytes=200)
+    assert found == brute(questions, corpus, range(len(corpus)), k)
+
+
+def test_random_directions_skip_little_and_lose_nothing(spark, tmp_path):
+    corpus, questions = vectors(800, 64, 1), vectors(20, 64, 2)
+    found, skipped = searched(spark, tmp_path, questions, corpus, 5, 64)
+    assert found == brute(questions, corpus, range(800), 5) and skipped < 0.5
+
+
+def test_a_pivot_with_most_vectors_is_spread(spark, tmp_path, setting):
+    setting("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    corpus = np.concatenate([np.repeat(vectors(1, 8, 1), 3000, 0), vectors(500, 8, 2)])
+    _, c = frames(spark, corpus[:1], corpus)
+    ret.order_by_pivots(c.repartition(6), 8, str(tmp_path / "o"), 8)
+    points, _ = ret.read_ordered(spark, str(tmp_path / "o"))
+    sizes = [r["count"] for r in points.groupBy(F.input_file_name()).count().collect()]
+    assert sum(sizes) == 3500 and max(sizes) < 2500
+
+
+def test_an_empty_corpus_in_order(spark, tmp_path):
+    q, c = frames(spark, vectors(2, 4, 1), vectors(1, 4, 1))
+    ret.order_by_pivots(c.filter("false"), 4, str(tmp_path / "o"))
+    points, pivots = ret.read_ordered(spark, str(tmp_path / "o"))
+    assert ret.knn(q, points, 3, 4, pivots=pivots).count() == 0
