@@ -234,12 +234,20 @@ def semantic_chunks(
     is under the threshold or the chunk would exceed the cap; a longer sentence
     stays whole. Sentence vectors never leave the task that made them.
     """
+    embed = embedder or hashed_embedder(dim)
+    return pack_sentences(sentence_rows(docs), embed, dim, threshold, cap, window, unit)
+
+
+def pack_sentences(
+    rows: DataFrame, embed: Model, dim: int, threshold: float = SEMANTIC_THRESHOLD, cap: int = SEMANTIC_CHARS,
+    window: int = SEMANTIC_WINDOW, unit: str = "chars",
+) -> DataFrame:
+    """Chunks of ``(doc_id, source, position, sentence)``, each document's rows together and in order."""
     from pyspark.sql.pandas.types import to_arrow_schema
 
     if unit not in ("chars", "tokens"):
         raise ValueError("a chunk is measured in chars or tokens")
-    embed = embedder or hashed_embedder(dim)
-    rows = sentence_rows(docs).withColumn("vector", embed(F.col("sentence")))
+    rows = rows.withColumn("vector", embed(F.col("sentence")))
     kept = [c for c in rows.columns if c in ("doc_id", "source")]
     rows = rows.select(*kept, "position", "sentence", "vector")
     out = T.StructType(

@@ -379,6 +379,9 @@ _INTEGERS = {
     "corpus_scan": "n_chars",
     "sentences": "position",
     "chunk_recursive": "chunk_index",
+    "chunk_recursive_parts": "chunk_index",
+    "chunk_semantic_parts": "chunk_index",
+    "chunk_overlap_parts": "chunk_index",
     "chunk_semantic": "chunk_index",
     "chunk_overlap": "chunk_index",
     "chunk_overlap_sentences": "chunk_index",
@@ -465,8 +468,11 @@ ORACLE: dict[str, str] = {
             having length({_strip("string_agg(text, chr(10) order by turn)")}) > 0""",
         "sentences": "select doc_id, position, sentence from sents",
         "chunk_recursive": _CHUNK_COLUMNS.format("recursive"),
+        "chunk_recursive_parts": _CHUNK_COLUMNS.format("recursive"),
         "chunk_semantic": _CHUNK_COLUMNS.format("semantic"),
+        "chunk_semantic_parts": _CHUNK_COLUMNS.format("semantic"),
         "chunk_overlap": _CHUNK_COLUMNS.format("overlap"),
+        "chunk_overlap_parts": _CHUNK_COLUMNS.format("overlap"),
         "chunk_overlap_sentences": """
             select s.doc_id, s.source, p.chunk_index, string_agg(s.sentence, '' order by s.position) as text
             from spans p join sents s on s.doc_id = p.doc_id and s.position between p.first and p.last

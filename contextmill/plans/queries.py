@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from contextmill.functions.numbers import parse_reply
 from contextmill.functions.text import preview, word_overlap
-from contextmill.operators import chunking, evaluation, reporting, runs, sequences
+from contextmill.operators import chunking, evaluation, parts, reporting, runs, sequences
 from contextmill.operators import relevance as rel
 from contextmill.operators import retrieval as ret
 from contextmill.operators.ingest import embed_chunks, ingest, ingest_missing
@@ -82,6 +82,27 @@ def chunk_overlap_sentences(spark, folder):
     return chunks.select("doc_id", "source", "chunk_index", "text")
 
 
+def _in_parts(spark, folder):
+    """The documents as written parts of four lines."""
+    return materialise(parts.into_parts(inputs.documents(spark, folder), 4), "parts")
+
+
+@query
+def chunk_recursive_parts(spark, folder):
+    return parts.recursive_chunks(_in_parts(spark, folder)).select("doc_id", "source", "chunk_index", "text")
+
+
+@query
+def chunk_overlap_parts(spark, folder):
+    return parts.overlapping_chunks(_in_parts(spark, folder)).select("doc_id", "source", "chunk_index", "text")
+
+
+@query
+def chunk_semantic_parts(spark, folder):
+    chunks = parts.semantic_chunks(_in_parts(spark, folder), hashed_embedder(DIM), DIM, threshold=inputs.OFFLINE_THRESHOLD)
+    return chunks.select("doc_id", "source", "chunk_index", "text")
+
+
 @query
 def chunk_stats(spark, folder):
     docs = inputs.documents(spark, folder)
