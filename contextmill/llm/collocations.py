@@ -21,17 +21,17 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from contextmill.llm.pretokens import gather
-from contextmill.llm.words import Splitter, mix, slices, tidy
+from contextmill.llm.words import Splitter, give_back, mix, slices, tidy
 from contextmill.session import materialise
 
 #: Occurrences in a group: its subtree takes some 100 MB.
-GROUP_WORDS = 1 << 21
+GROUP_WORDS = 1 << 20
 #: The commonest words have short codes in what is shuffled; all others are listed.
 CODES = 1 << 16
 #: A language's phrases are ranked in this many parts first.
 SALTS = 64
 #: Elements looked at together; their distinct ones are numbered in 21 bits.
-_BITS, _HELD = 21, 3 << 19
+_BITS, _HELD = 21, 3 << 18
 _MOST = (1 << _BITS) - 8
 
 _PIECE_BREAKS = b".,;:!?\n\v\f\r"
@@ -114,6 +114,7 @@ def _blocks(batches: Iterator[pa.RecordBatch], turn: int) -> Iterator[tuple[np.n
         if sum(map(len, held)) >= _HELD:
             yield from cut(held)
             held = []
+            give_back()
     if held:
         yield from cut(held)
 
@@ -142,6 +143,7 @@ def word_table(docs: DataFrame, turn: int = 0) -> DataFrame:
             held.append(text)
             if sum(len(t.keys) for t in held) >= _HELD:
                 yield flush()
+                give_back()
         if held:
             yield flush()
 
