@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from contextmill.llm.pretokens import gather
-from contextmill.llm.words import Splitter, give_back, mix, slices, tidy
+from contextmill.llm.words import Splitter, commonest, give_back, mix, slices, tidy
 from contextmill.session import materialise
 
 #: Occurrences in a group: its subtree takes some 100 MB.
@@ -29,7 +29,7 @@ GROUP_WORDS = 1 << 20
 #: The commonest words have short codes in what is shuffled; all others are listed.
 CODES = 1 << 16
 #: A language's phrases are ranked in this many parts first.
-SALTS = 64
+SALTS = 16
 #: Elements looked at together; their distinct ones are numbered in 21 bits.
 _BITS, _HELD = 21, 3 << 18
 _MOST = (1 << _BITS) - 8
@@ -308,7 +308,7 @@ def phrase_counts(docs: DataFrame, words: DataFrame, least: int, budget: int = G
 
     ``three`` is 0 in phrases of two.
     """
-    common = np.array([r.key for r in words.orderBy(F.desc("n"), "key").limit(CODES).select("key").collect()], np.int64)
+    common = np.array([r.key for r in commonest(words, "key", CODES).orderBy(F.desc("n"), "key").select("key").collect()], np.int64)
     hot = [r.key for r in words.filter(F.col("n") > budget).select("key").collect()]  # at most total / budget
     partition = Partition(cut_groups(words.filter(F.col("n") <= budget), budget), np.array(hot, np.int64))
     known = None
