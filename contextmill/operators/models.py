@@ -12,6 +12,7 @@ import time
 from collections import deque
 from collections.abc import Callable, Iterable, Iterator
 from concurrent.futures import ThreadPoolExecutor
+from hashlib import md5
 
 import numpy as np
 import pandas as pd
@@ -118,25 +119,40 @@ def with_reply(rows: DataFrame, ask, prompt: Column, name: str) -> DataFrame:
     return ask.ask(rows, prompt, name) if isinstance(ask, ReplyStore) else rows.withColumn(name, ask(prompt))
 
 
-def hashed_embedder(dim: int) -> Model:
-    """Offline embedder: how often each hash bucket of the text's words occurs."""
+#: Words whose buckets a task remembers.
+_KNOWN_WORDS = 1 << 18
 
-    @F.arrow_udf(T.ArrayType(T.FloatType()))
-    def histogram(buckets: pa.Array) -> pa.Array:
-        n = len(buckets)
-        row = np.repeat(np.arange(n), np.asarray(buckets.value_lengths()))
-        cells = row * dim + buckets.flatten().to_numpy(zero_copy_only=False)
-        counts = np.bincount(cells, minlength=n * dim).astype(np.float32)
-        offsets = pa.array(np.arange(0, n * dim + 1, dim, dtype=np.int32))
-        return pa.ListArray.from_arrays(offsets, pa.array(counts))
 
-    def embed(text: Column) -> Column:
-        def bucket(word: Column) -> Column:
-            return (F.conv(F.substring(F.md5(word), 1, 8), 16, 10).cast("long") % dim).cast("int")
+def hashed_embedder(dim: int) -> Model:
+    """Offline embedder: how often each hash bucket of the text's words occurs.
 
-        return histogram(F.transform(word_tokens(F.coalesce(text, F.lit(""))), bucket))
+    A word's bucket is the number of the first eight digits of its MD5, modulo ``dim``. It is worked out
+    once per distinct word of a batch, and remembered by the task.
+    """
 
-    return embed
+    def histograms(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        known: dict[str, int] = {}
+
+        def bucket(word: str) -> int:
+            found = known.get(word)
+            if found is None:
+                if len(known) >= _KNOWN_WORDS:
+                    known.clear()
+                found = known[word] = int(md5(word.encode()).hexdigest()[:8], 16) % dim
+            return found
+
+        for words in batches:
+            n = len(words)
+            coded = words.flatten().dictionary_encode()
+            buckets = np.fromiter(map(bucket, coded.dictionary.to_pylist()), np.int64, len(coded.dictionary))
+            row = np.repeat(np.arange(n), np.asarray(words.value_lengths()))
+            cells = row * dim + buckets[np.asarray(coded.indices)]
+            counts = np.bincount(cells, minlength=n * dim).astype(np.float32)
+            offsets = pa.array(np.arange(0, n * dim + 1, dim, dtype=np.int32))
+            yield pa.ListArray.from_arrays(offsets, pa.array(counts))
+
+    made = F.arrow_udf(histograms, T.ArrayType(T.FloatType()))
+    return lambda text: made(word_tokens(F.coalesce(text, F.lit(""))))
 
 
 def base_prompt(chunk: Column, question: Column) -> Column:

@@ -33,7 +33,7 @@ def _packed(rows: DataFrame, name: str, dim: int, size: int, by_pivot: bool = Fa
 
     ``{name}_run`` tells the runs apart; ``{name}_ball`` holds their direction and the largest
     angle of a member to it, see ``_ball``; ``{name}_pivots`` and ``{name}_floors`` are the third and fourth column.
-    With ``by_pivot`` the third column is the same within a run.
+    With ``by_pivot`` the third column and the fifth, the run's ``{name}_group``, are the same within a run.
     """
     from pyspark.sql.pandas.types import to_arrow_schema
 
@@ -44,6 +44,7 @@ def _packed(rows: DataFrame, name: str, dim: int, size: int, by_pivot: bool = Fa
         T.StructField(f"{name}_ball", T.BinaryType()),
         T.StructField(f"{name}_pivots", T.ArrayType(T.IntegerType())),
         T.StructField(f"{name}_floors", T.ArrayType(T.DoubleType())),
+        T.StructField(f"{name}_group", T.StringType()),
     ])
     arrow = to_arrow_schema(out)
     most = max(1, size // (8 * max(1, dim)))
@@ -54,11 +55,12 @@ def _packed(rows: DataFrame, name: str, dim: int, size: int, by_pivot: bool = Fa
 
         def run(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
             table = pa.Table.from_batches(parts).combine_chunks()
-            ids, vectors, pivots, floors = (c.combine_chunks() for c in table.columns)
+            ids, vectors, pivots, floors, groups = (c.combine_chunks() for c in table.columns)
             values = np.ascontiguousarray(matrix(vectors, dim), np.float64)
             lists = [pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), c) for c in (ids, pivots, floors)]
             columns = [lists[0].cast(arrow.field(0).type), pa.array([values.tobytes()], pa.binary()), pa.array([next(names)]),
-                       pa.array([_ball(values).tobytes()], pa.binary()), *(x.cast(arrow.field(i).type) for x, i in ((lists[1], 4), (lists[2], 5)))]
+                       pa.array([_ball(values).tobytes()], pa.binary()), *(x.cast(arrow.field(i).type) for x, i in ((lists[1], 4), (lists[2], 5))),
+                       groups[:1].cast(pa.string())]
             return pa.RecordBatch.from_arrays(columns, schema=arrow)
 
         def pieces() -> Iterator[pa.RecordBatch]:
@@ -67,14 +69,15 @@ def _packed(rows: DataFrame, name: str, dim: int, size: int, by_pivot: bool = Fa
                     yield batch
                     continue
                 pivot = np.asarray(batch.column("pivot").fill_null(-1))
-                edges = [0, *(np.flatnonzero(np.diff(pivot)) + 1).tolist(), len(pivot)]
+                group = np.asarray(batch.column("group").dictionary_encode().indices.fill_null(-1))
+                edges = [0, *(np.flatnonzero(np.diff(pivot) | np.diff(group)) + 1).tolist(), len(pivot)]
                 for x, y in zip(edges[:-1], edges[1:]):
                     yield batch.slice(x, y - x)
 
         last = None
         for batch in pieces():
             if by_pivot and batch.num_rows:
-                own = batch.column("pivot")[0].as_py()
+                own = batch.column("pivot")[0].as_py(), batch.column("group")[0].as_py()
                 if held and own != last:
                     yield run(held)
                     held = []
@@ -140,14 +143,15 @@ def _search(k: int, dim: int, schema: pa.Schema, own: bool = False, seen=None):
     margin = np.float32(2 * (dim + 8) * 2.0**-24 + 2e-9)
 
     def run(pairs: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        floors: dict[str, np.ndarray] = {}
+        floors: dict[tuple[str, str | None], np.ndarray] = {}
         for batch in pairs:
             for i in range(batch.num_rows):
                 ids, question_ids = (batch.column(c)[i].values for c in ("chunk_ids", "query_ids"))
                 wide, questions = (
                     np.frombuffer(batch.column(c)[i].as_py(), np.float64).reshape(-1, dim)
                     for c in ("chunk_vectors", "query_vectors"))
-                block = batch.column("query_run")[i].as_py()
+                group = batch.column("chunk_group")[i].as_py()
+                block = batch.column("query_run")[i].as_py(), group
                 if block not in floors:
                     given = np.asarray(batch.column("query_floors")[i].values.fill_null(-np.inf), np.float64)
                     floors[block] = given - margin
@@ -188,7 +192,8 @@ def _search(k: int, dim: int, schema: pa.Schema, own: bool = False, seen=None):
                     row_cosine(wide[row[s : s + exact]], questions[question[s : s + exact]])
                     for s in range(0, len(row), exact))])
                 yield pa.RecordBatch.from_arrays(
-                    [question_ids.take(pa.array(question)), ids.take(pa.array(row)), pa.array(sim)], schema=schema)
+                    [question_ids.take(pa.array(question)), ids.take(pa.array(row)), pa.array(sim),
+                     pa.array([group] * len(row), pa.string())], schema=schema)
 
     return run
 
@@ -233,7 +238,8 @@ def read_ordered(spark, path: str) -> tuple[DataFrame, DataFrame]:
 
 
 def knn(questions: DataFrame, corpus: DataFrame, k: int, dim: int,
-        question_bytes: int = QUESTION_BYTES, tile_bytes: int = TILE_BYTES, pivots: DataFrame | None = None, seen=None) -> DataFrame:
+        question_bytes: int = QUESTION_BYTES, tile_bytes: int = TILE_BYTES, pivots: DataFrame | None = None, seen=None,
+        group: str | None = None) -> DataFrame:
     """The k most similar chunks of every question, best first, ties by chunk id.
 
     ``questions(query_id, embedding)`` and ``corpus(chunk_id, embedding)`` give
@@ -248,40 +254,48 @@ def knn(questions: DataFrame, corpus: DataFrame, k: int, dim: int,
     neighbours share tiles (``order_by_pivots``), given with its ``pivots``: then a first pass
     looks into the tiles of each question's own pivot, reading those alone, and its k-th hits are floors for all tasks of the
     second. Without, work is the product of questions and corpus.
+
+    With a ``group`` column of the corpus, such as the chunker, every group is searched on its own, in the same pass:
+    k hits of each question and group, with that column. Floors of a task are kept per group.
     """
-    nothing = F.lit(None).cast("int").alias("pivot"), F.lit(None).cast("double").alias("floor")
+    nothing = (F.lit(None).cast("int").alias("pivot"), F.lit(None).cast("double").alias("floor"), F.lit(None).cast("string").alias("group"))
     questions = questions.select("query_id", "embedding")
+    if group is not None and pivots is not None:
+        raise ValueError("pivots are those of one collection")
     if pivots is None:
-        return materialise(_ranked(_hits(
-            questions.select("*", *nothing), corpus.select("chunk_id", "embedding", *nothing), k, dim, question_bytes, tile_bytes, False, seen), k), "hits")
+        named = nothing[2] if group is None else F.col(group).cast("string").alias("group")
+        found = _hits(questions.select("*", *nothing), corpus.select("chunk_id", "embedding", *nothing[:2], named), k, dim,
+                      question_bytes, tile_bytes, False, seen)
+        ranked = materialise(_ranked(found, k), "hits")
+        return ranked.drop("group") if group is None else ranked.withColumnRenamed("group", group)
     near = questions.withColumn("pivot", _nearest(pivots, dim)(F.col("embedding")))
-    near = materialise(near.withColumn("floor", nothing[1]), "questions-by-pivot")
-    points = corpus.select("chunk_id", "embedding", "pivot", nothing[1])
+    near = materialise(near.withColumns({"floor": nothing[1], "group": nothing[2]}), "questions-by-pivot")
+    points = corpus.select("chunk_id", "embedding", "pivot", *nothing[1:])
     wanted = [r.pivot for r in near.select("pivot").distinct().collect()]  # at most as many as pivots
     first = _ranked(_hits(near, points.filter(F.col("pivot").isin(wanted)), k, dim, question_bytes, tile_bytes, True, None), k)
     floors = first.groupBy("query_id").agg(F.min("sim").alias("floor"), F.count(F.lit(1)).alias("n")).filter(F.col("n") == k)
     floors = materialise(floors.select("query_id", "floor"), "floors")
-    known = near.drop("floor").join(floors, "query_id", "left").select("query_id", "embedding", "pivot", "floor")
-    return materialise(_ranked(_hits(known, points, k, dim, question_bytes, tile_bytes, False, seen), k), "hits")
+    known = near.drop("floor").join(floors, "query_id", "left").select("query_id", "embedding", "pivot", "floor", "group")
+    return materialise(_ranked(_hits(known, points, k, dim, question_bytes, tile_bytes, False, seen), k).drop("group"), "hits")
 
 
 def _hits(questions: DataFrame, corpus: DataFrame, k: int, dim: int, question_bytes: int, tile_bytes: int, own: bool, seen) -> DataFrame:
-    """(query_id, chunk_id, sim): what tasks find of (id, embedding, pivot, floor)."""
+    """(query_id, chunk_id, sim, group): what tasks find of (id, embedding, pivot, floor, group)."""
     from pyspark.sql.pandas.types import to_arrow_schema
 
     out = T.StructType(
-        [questions.schema["query_id"], corpus.schema["chunk_id"], T.StructField("sim", T.DoubleType())]
+        [questions.schema["query_id"], corpus.schema["chunk_id"], T.StructField("sim", T.DoubleType()), T.StructField("group", T.StringType())]
     )
-    blocks = materialise(_packed(questions, "query", dim, question_bytes).drop("query_ball"), "question-blocks")
+    blocks = materialise(_packed(questions, "query", dim, question_bytes).drop("query_ball", "query_group"), "question-blocks")
     # All blocks are one partition on their side, so each part of the corpus is made once.
     pairs = _packed(corpus, "chunk", dim, tile_bytes, True).drop("chunk_floors").crossJoin(blocks.coalesce(1))
     return pairs.mapInArrow(_search(k, dim, to_arrow_schema(out), own, seen), out)
 
 
 def _ranked(partial: DataFrame, k: int) -> DataFrame:
-    """The first k of each question."""
-    by_salt = Window.partitionBy("query_id", "salt").orderBy(F.desc("sim"), "chunk_id")
-    by_query = Window.partitionBy("query_id").orderBy(F.desc("sim"), "chunk_id")
+    """The first k of each question and group."""
+    by_salt = Window.partitionBy("query_id", "group", "salt").orderBy(F.desc("sim"), "chunk_id")
+    by_query = Window.partitionBy("query_id", "group").orderBy(F.desc("sim"), "chunk_id")
     return (
         partial.withColumn("salt", F.pmod(F.xxhash64("chunk_id"), F.lit(SALTS)))
         .withColumn("rank", F.row_number().over(by_salt))
@@ -303,6 +317,13 @@ def attach(hits: DataFrame, payload: DataFrame) -> DataFrame:
     return hits.join(payload.join(wanted, "chunk_id", "left_semi"), "chunk_id", "left")
 
 
+def _neighbours(questions: DataFrame, corpus: DataFrame, k: int, dim: int, group: str | None) -> DataFrame:
+    """Hits of ``knn``; with a group their ``query_id`` is the pair of question and group."""
+    if group is None:
+        return knn(questions, corpus, k, dim)
+    return knn(questions, corpus, k, dim, group=group).withColumn("query_id", F.struct("query_id", group)).drop(group)
+
+
 def retrieve(
     questions: DataFrame,
     corpus: DataFrame,
@@ -310,28 +331,30 @@ def retrieve(
     k: int = 5,
     use_filtering: bool = False,
     score: Callable[[DataFrame], DataFrame] | None = None,
+    group: str | None = None,
 ) -> DataFrame:
     """Retrieval for all questions: top k, or a 3k over-fetch cut by relevance.
 
     ``score`` takes the ranked hits and adds ``final_score``; it is needed when
-    filtering. Returns the hits with ``position``, 1 for the first result.
+    filtering. Returns the hits with ``position``, 1 for the first result. With a ``group`` column of the
+    corpus each group is a collection of its own, and ``query_id`` the pair of question and group.
     """
     if not use_filtering:
-        return knn(questions, corpus, k, dim).withColumn("position", F.col("rank"))
+        return _neighbours(questions, corpus, k, dim, group).withColumn("position", F.col("rank"))
     if score is None:
         raise ValueError("filtering needs a score function")
-    scored = materialise(score(knn(questions, corpus, OVERFETCH * k, dim)), "scores")
+    scored = materialise(score(_neighbours(questions, corpus, OVERFETCH * k, dim, group)), "scores")
     return filter_by_relevance(scored, min_chunks=k).filter(F.col("position") <= k)
 
 
 def retrieve_both(
-    questions: DataFrame, corpus: DataFrame, dim: int, score: Callable[[DataFrame], DataFrame], k: int = 5
+    questions: DataFrame, corpus: DataFrame, dim: int, score: Callable[[DataFrame], DataFrame], k: int = 5, group: str | None = None,
 ) -> DataFrame:
     """Baseline and filtered results out of one search, told apart by ``mode``.
 
     The first k of 3k neighbours are the k neighbours, so one search serves both.
     """
-    judged = judge(materialise(score(knn(questions, corpus, OVERFETCH * k, dim)), "scores"), min_chunks=k)
+    judged = judge(materialise(score(_neighbours(questions, corpus, OVERFETCH * k, dim, group)), "scores"), min_chunks=k)
     places = F.array(
         F.struct(F.lit("baseline").alias("mode"), F.col("rank").alias("position")),
         F.struct(F.lit("filtered").alias("mode"), F.col("position")),

@@ -77,3 +77,40 @@ def test_answers_and_verdicts_by_models(spark, tmp_path):
     )
     row = runs.run_metrics(data, lambda d: judge_claims(d, judge)).filter("query_id = 1").first()
     assert (row.context_recall, row.faithfulness, row.factual_correctness) == (1.0, 0.5, 2 / 3)
+
+
+def test_one_search_serves_all_collections(spark, tmp_path, monkeypatch):
+    """Both collections in one search, with the rows that a search of each alone gives."""
+    from contextmill.operators import retrieval as ret
+
+    searches, plain = [], ret.knn
+    monkeypatch.setattr(ret, "knn", lambda *a, **b: searches.append(b.get("group")) or plain(*a, **b))
+    points = collections(spark, str(tmp_path / "c"))
+
+    def run(chunkers):
+        data = runs.evaluation_dataset(
+            questions(spark), points, known(spark), chunkers, hashed_embedder(DIM), DIM,
+            lambda c: rel.score_with_model(c, reviewer()), ["baseline", "filtered"], k=2)
+        return sorted(map(str, data.collect()))
+
+    both = run(["recursive", "semantic"])
+    assert searches == ["chunker"] and len(both) == 8
+    assert both == sorted(run(["recursive"]) + run(["semantic"]))
+
+
+def test_groups_are_searched_apart(spark, setting):
+    import numpy as np
+
+    from contextmill.operators import retrieval as ret
+
+    setting("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    rng = np.random.default_rng(2)
+    rows = [(i, rng.normal(size=6).tolist(), "abc"[i % 3] if i % 10 else None) for i in range(200)]
+    corpus = spark.createDataFrame(rows, "chunk_id long, embedding array<float>, name string").repartition(3)
+    asked = spark.createDataFrame([(q, rng.normal(size=6).tolist()) for q in range(5)], "query_id long, embedding array<float>")
+    got = sorted((r.query_id, r.name or "", r.rank, r.chunk_id, r.sim) for r in ret.knn(asked, corpus, 4, 6, group="name").toDF("query_id", "chunk_id", "sim", "name", "rank").collect())
+    want = []
+    for name in ("a", "b", "c", None):
+        own = corpus.filter("name is null" if name is None else f"name = '{name}'")
+        want += [(r.query_id, name or "", r.rank, r.chunk_id, r.sim) for r in ret.knn(asked, own, 4, 6).toDF("query_id", "chunk_id", "sim", "rank").collect()]
+    assert got == sorted(want)
