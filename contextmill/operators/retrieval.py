@@ -306,6 +306,51 @@ def _ranked(partial: DataFrame, k: int) -> DataFrame:
     )
 
 
+def merge_hits(stored: DataFrame, found: DataFrame, k: int) -> DataFrame:
+    """The k best of two lists of hits of each question, as ``knn`` over both corpora would give them.
+
+    ``(query_id, chunk_id, sim, rank)`` of points that are in one corpus only. A question's list has at most k rows
+    on either side, so the merge is a window over 2k.
+    """
+    columns = ["query_id", "chunk_id", "sim"]
+    both = stored.select(*columns).unionByName(found.select(*columns))
+    place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("sim"), "chunk_id"))
+    return both.withColumn("rank", place).filter(F.col("rank") <= k)
+
+
+class StoredHits:
+    """The k best hits of a set of questions, kept in a folder and brought up to date by what is appended.
+
+    Every generation is a table of its own, and the newest complete one counts, so an update that fails leaves
+    the one before. Only new points are searched: those of an upload, each to be given once.
+    """
+
+    def __init__(self, path: str, k: int, dim: int):
+        self.path, self.k, self.dim = path.rstrip("/"), k, dim
+
+    def _generations(self, spark) -> list[int]:
+        jvm = spark.sparkContext._jvm.org.apache.hadoop.fs
+        folder = jvm.Path(self.path)
+        files = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        if not files.exists(folder):
+            return []
+        names = [f.getPath() for f in files.listStatus(folder)]
+        return sorted(int(p.getName()) for p in names if p.getName().isdigit() and files.exists(jvm.Path(p, "_SUCCESS")))
+
+    def read(self, spark) -> DataFrame | None:
+        made = self._generations(spark)
+        return spark.read.parquet(f"{self.path}/{made[-1]:08}") if made else None
+
+    def add(self, questions: DataFrame, points: DataFrame) -> DataFrame:
+        """Search ``points`` alone, merge with what is kept, and keep that."""
+        spark = questions.sparkSession
+        found, stored = knn(questions, points, self.k, self.dim), self.read(spark)
+        made = self._generations(spark)
+        path = f"{self.path}/{made[-1] + 1 if made else 0:08}"
+        (found if stored is None else merge_hits(stored, found, self.k)).write.mode("overwrite").parquet(path)
+        return spark.read.parquet(path)
+
+
 def attach(hits: DataFrame, payload: DataFrame) -> DataFrame:
     """Add payload columns, such as the text, to ranked hits by ``chunk_id``.
 

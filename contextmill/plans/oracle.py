@@ -392,6 +392,7 @@ _INTEGERS = {
     "vector_validation": "min_dim max_dim",
     "knn_topk": "rank",
     "knn_pivots": "rank",
+    "knn_append": "rank",
     "retrieve_baseline": "position",
     "retrieve_filtered": "position",
     "hit_preview": "rank",
@@ -523,6 +524,7 @@ ORACLE: dict[str, str] = {
         "collection_append": _stored("overlap"),
         "collection_keyed_upload": _stored("overlap"),
         "knn_topk": "select query_id, chunk_id, sim, rank from vhits where rank <= 10",
+        "knn_append": "select query_id, chunk_id, sim, rank from vhits where rank <= 10",
         "knn_pivots": "select query_id, chunk_id, sim, rank from vhits where rank <= 10",
         "retrieve_baseline": f"""
             select query_id, rank as position, chunk_id, sim, d.text

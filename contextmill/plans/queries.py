@@ -241,6 +241,16 @@ def knn_pivots(spark, folder):
     return ret.knn(inputs.vector_questions(spark, folder), points, 10, DIM, pivots=pivots)
 
 
+@query
+def knn_append(spark, folder):
+    """Hits that are kept, after the corpus came in three uploads."""
+    questions, corpus = inputs.vector_questions(spark, folder), inputs.vector_corpus(spark, folder)
+    kept = ret.StoredHits(work_folder(spark, "kept-hits"), 10, DIM)
+    for i in range(3):
+        hits = kept.add(questions, corpus.filter(F.pmod("chunk_id", F.lit(3)) == i))
+    return hits
+
+
 @query
 def retrieve_baseline(spark, folder):
     questions, corpus = inputs.vector_questions(spark, folder), inputs.vector_corpus(spark, folder)

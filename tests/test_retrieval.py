@@ -227,3 +227,19 @@ def test_an_empty_corpus_in_order(spark, tmp_path):
     ret.order_by_pivots(c.filter("false"), 4, str(tmp_path / "o"))
     points, pivots = ret.read_ordered(spark, str(tmp_path / "o"))
     assert ret.knn(q, points, 3, 4, pivots=pivots).count() == 0
+
+
+def test_kept_hits_after_appends(spark, tmp_path):
+    """Equal to a full search, with ties over uploads, an empty upload, and an update that failed."""
+    corpus = vectors(300, 8, 3)
+    corpus[100:110] = corpus[0]
+    corpus[200:205] = corpus[0]
+    questions = np.concatenate([corpus[:1], vectors(6, 8, 4)])
+    q, c = frames(spark, questions, corpus)
+    kept = ret.StoredHits(str(tmp_path / "kept"), 12, 8)
+    assert kept.read(spark) is None
+    for a, b in ((0, 100), (100, 100), (100, 103), (103, 260)):
+        kept.add(q, c.filter(f"chunk_id >= {a} and chunk_id < {b}"))
+    (tmp_path / "kept" / "00000009").mkdir()  # begun, but never whole
+    hits = kept.add(q, c.filter("chunk_id >= 260"))
+    assert rows(hits) == rows(kept.read(spark)) == brute(questions, corpus, range(300), 12) == rows(ret.knn(q, c, 12, 8))

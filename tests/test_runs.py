@@ -114,3 +114,26 @@ def test_groups_are_searched_apart(spark, setting):
         own = corpus.filter("name is null" if name is None else f"name = '{name}'")
         want += [(r.query_id, name or "", r.rank, r.chunk_id, r.sim) for r in ret.knn(asked, own, 4, 6).toDF("query_id", "chunk_id", "sim", "rank").collect()]
     assert got == sorted(want)
+
+
+def test_means_have_the_same_bits_in_any_order(spark):
+    import random
+
+    from pyspark.sql import functions as F
+
+    r = random.Random(1)
+    rows = [("c", "m", i, r.random() * r.choice([1, 1e-9, 1e3])) for i in range(3000)] + [("c", "m", -1, float("nan")), ("c", "m", -2, None)]
+    found = set()
+    for n in (1, 3, 8):
+        r.shuffle(rows)
+        df = spark.createDataFrame(rows, "chunker string, mode string, query_id int, some double").repartition(n)
+        row = reporting.metric_summary(df, runs.KEYS).first()
+        assert (row.scored, row.questions) == (3000, 3002)
+        found.add(row["mean"].hex())
+    assert len(found) == 1
+    true = sum(x[3] for x in rows if x[2] >= 0) / 3000
+    assert float.fromhex(found.pop()) == pytest.approx(true, rel=1e-12)
+    odd = spark.createDataFrame([(1.0,), (float("inf"),)], "x double").agg(reporting.exact_mean(F.col("x")))
+    assert odd.first()[0] == float("inf")
+    none = spark.createDataFrame([(None,)], "x double").agg(reporting.exact_mean(F.col("x")))
+    assert none.first()[0] is None

@@ -201,3 +201,27 @@ def test_ids_are_filtered_where_they_are_read(spark, tmp_path):
     passed = ids.filter(col._in_filter(some, ["chunker", "chunk_id"], 1 << 14))
     assert some.exceptAll(passed).count() == 0 and passed.count() < 130
     assert ids.filter(col._in_filter(some.filter("false"), ["chunker", "chunk_id"], 64)).count() == 0
+
+
+def page_rows(df):
+    return sorted((r.doc_id, r.source, r.page_no, r.text) for r in df.collect())
+
+
+@pytest.mark.parametrize("size", [16, 1000])
+def test_large_page_files_at_every_cut(spark, tmp_path, setting, size):
+    """Byte ranges of any size give the pages of the whole files."""
+    import random
+
+    r = random.Random(size)
+    odd = ["\f", "a", "é", "漢字", "\n", "\r\n", "\f\f", " ", "page text "]
+    for i in range(4):
+        (tmp_path / f"f{i}.txt").write_text("".join(r.choices(odd, k=r.randrange(10, 20))), encoding="utf-8", newline="")
+    for name, text in (("empty", ""), ("ends", "a\fb\f"), ("only", "\f"), ("two", "\f\f"), ("plain", "no feed"), ("other", "x\fy")):
+        (tmp_path / f"{name}{'.md' if name == 'other' else '.txt'}").write_text(text, encoding="utf-8", newline="")
+    want = page_rows(corpus.read_page_files(spark, str(tmp_path)))
+    setting("spark.sql.files.maxPartitionBytes", str(size))
+    setting("spark.sql.files.openCostInBytes", "0")
+    setting("spark.sql.files.minPartitionNum", "1")
+    pages = corpus.read_large_page_files(spark, str(tmp_path))
+    assert page_rows(pages) == want and len(want) > 15
+    assert spark.read.option("lineSep", "\f").text(str(tmp_path)).rdd.getNumPartitions() >= (6 if size < 100 else 1)
