@@ -51,7 +51,7 @@ def benchmark_windows(benchmark: DataFrame, key: str, text: str, window: int = W
                     ["window", "n", "hash", "item"],
                 )
 
-    source = benchmark.filter(F.col(key).isNotNull()).select(item, F.col(text).alias("text"))
+    source = benchmark.select(item, F.col(text).alias("text"))
     return source.mapInArrow(tidy(cut), "window binary, n int, hash bigint, item string").distinct()
 
 
@@ -62,7 +62,9 @@ class WindowSet:
         self.items: dict[bytes, list[str]] = {}
         hashes: dict[int, set[int]] = {}
         for window, n, value, item in rows:
-            self.items.setdefault(bytes(window), []).append(item)
+            own = self.items.setdefault(bytes(window), [])
+            if item is not None:  # the window counts, but has no id to tell
+                own.append(item)
             hashes.setdefault(n, set()).add(value)
         self.hashes = {n: np.sort(np.array(list(v), np.int64).astype(np.uint64)) for n, v in hashes.items()}
         self.filters = {}
@@ -94,7 +96,7 @@ class WindowSet:
 
 
 def _count_blocks(windows: DataFrame, block_bytes: int) -> int:
-    size = F.sum(F.octet_length("window") + F.octet_length("item") + 100)
+    size = F.sum(F.octet_length("window") + F.coalesce(F.octet_length("item"), F.lit(0)) + 100)
     total = windows.agg(size.alias("bytes")).first()["bytes"] or 0
     return -(-total // block_bytes)
 
@@ -113,8 +115,8 @@ def mark_contamination(
 ) -> DataFrame:
     """``docs`` with n_words, hits (word ranges, disjoint, in order) and items (distinct ids).
 
-    NULL and empty texts have no words and no hits; items without words or with a NULL id are no
-    windows; repeated items and repeated ids of one window count once. Columns of ``docs`` with
+    NULL and empty texts have no words and no hits; items without words have no
+    windows; those with a NULL id hit words, but are not told; repeated items and repeated ids of one window count once. Columns of ``docs`` with
     the three new names are replaced. Without benchmark windows nothing is hit. If the windows
     take several blocks, ``docs`` must yield its rows in the same partitions each time, as a written
     table does.

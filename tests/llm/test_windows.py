@@ -26,9 +26,9 @@ def leaks(docs, items, n=10):
     known = {}
     for key, text in items:
         w = alnum(text)
-        if w and key is not None:
+        if w:
             for i in range(max(1, len(w) - n + 1)):
-                known.setdefault(tuple(w[i : i + n]), set()).add(str(key))
+                known.setdefault(tuple(w[i : i + n]), set()).update([str(key)] * (key is not None))
     out = []
     for key, text in docs:
         w, hit, found = alnum(text), set(), set()
