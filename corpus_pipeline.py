@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from contextmill.llm import byte_bpe, decontamination, exact_dedup, ngram_join, toxicity
+from contextmill.llm.words import small_batches
 from contextmill.session import materialise
 
 #: SQL cannot express the fitted toxicity model or the merges; tests compare with brute force.
@@ -19,6 +20,7 @@ ORACLE_SQL = None
 
 def keep_civil(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that a model of the labelled ones does not call toxic."""
+    small_batches(spark)  # for all stages: what one of them has Spark allocate stays with the executors
     return toxicity.drop_toxic(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
