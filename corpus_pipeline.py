@@ -19,31 +19,34 @@ ORACLE_SQL = None
 
 
 def keep_civil(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that a model of the labelled ones does not call toxic."""
+    """Documents that a model of the labelled ones does not call toxic.
+
+    NULL and empty texts show no evidence and stay, unless the model calls texts without any toxic. NULL ids have no label.
+    """
     small_batches(spark)  # for all stages: what one of them has Spark allocate stays with the executors
     return toxicity.drop_toxic(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def keep_one_of_equal(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The smallest id of texts that are equal up to white space."""
+    """The smallest id of texts that are equal up to white space; NULL counts as an empty text, a NULL id as the largest."""
     return exact_dedup.drop_exact_duplicates(docs)
 
 
 def keep_one_of_similar(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The smallest id of each group linked by five-word shingles of Jaccard similarity 0.8.
 
-    Different texts without words have no shingles to compare and are all kept.
+    Different texts without words have no shingles to compare and are all kept. A NULL id counts as the largest.
     """
     return ngram_join.drop_near_duplicates(docs, wordless_apart=True)
 
 
 def keep_uncontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in which no window of a benchmark item stands."""
+    """Documents in which no window of a benchmark item stands; NULL and empty texts hold none."""
     return decontamination.decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), remove="documents")
 
 
 def tokenise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Ids of each text, and whether they decode to the text again."""
+    """Ids of each text, and whether they decode to the text again; a NULL text has none and is as an empty one."""
     ranks = byte_bpe.read_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken"))
     wanted = docs.select("doc_id", "lang", "source", "text", F.sha2(F.coalesce("text", F.lit("")), 256).alias("__digest"))
     return byte_bpe.encode(wanted, ranks, decoded=True).select(
