@@ -263,7 +263,8 @@ def ngram_join(
     ``wordless_apart`` only those whose texts are equal up to white space are copies. A text
     of fewer words than an n-gram is one n-gram. Rows may repeat; a NULL id is larger than any
     other. ``docs`` must yield its rows in the same partitions each time, as a written table
-    does. Other columns are not read.
+    does. Other columns are not read. A text is read as a whole: one very long text is a slice of its own and takes
+    some 30 times its bytes in its task.
     """
     bands, rows = bands_for(similarity, recall)
     source = docs.select(

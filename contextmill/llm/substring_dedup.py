@@ -228,7 +228,8 @@ def remove_repeats(
 
     Words are runs of anything but ASCII white space. NULL and empty texts have no words; texts
     shorter than a window lose none. Rows that repeat a doc_id are one document for "smaller".
-    A NULL doc_id is neither smaller nor larger than another. Other columns are not read.
+    A NULL doc_id is neither smaller nor larger than another. Other columns are not read. A text is read
+    as a whole: one very long text is a slice of its own and takes some 30 times its bytes in its task.
     """
     if not 0 < seed <= window:
         raise ValueError("a minimiser's words lie within a window")

@@ -240,7 +240,8 @@ def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     """``docs`` with severity (expected grade), grade (the likeliest), p_toxic and toxic.
 
     ``toxic`` says that the probability of a grade above zero reaches the model's cutoff. NULL and empty texts are scored
-    by the thresholds alone. Columns of ``docs`` with these four names are replaced.
+    by the thresholds alone. Columns of ``docs`` with these four names are replaced. A text is read as a whole: one very long text is a slice of its own and takes
+    some 30 times its bytes in its task.
     """
     new = ("severity", "grade", "p_toxic", "toxic")
     held = docs.sparkSession.sparkContext.broadcast(model)
