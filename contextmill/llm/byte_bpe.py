@@ -27,8 +27,8 @@ from contextmill.llm.pretokens import Pretokens, character_classes, gather, hash
 from contextmill.llm.words import commonest, give_back, slices, small_batches, tidy
 from contextmill.session import materialise
 
-#: Distinct words whose ids are broadcast, at most: about 40 MB.
-MEMO_WORDS = 1 << 20
+#: Distinct words whose ids are broadcast, about and at most: some 20 MB.
+MEMO_WORDS = 1 << 19
 #: Characters of a word that the fold takes; its steps grow with the square of the length. Longer
 #: words, which are hardly words, are merged with a heap in the task that reads them.
 FOLD_CHARS = 64
@@ -62,16 +62,19 @@ class PairRanks:
                 left, right = ranks.get(word[:cut]), ranks.get(word[cut:])
                 if left is not None and right is not None:
                     made[(left << self.bits) | right] = rank
-        self.size = 1 << max(4, (2 * len(made)).bit_length())
+        self.size = 1 << max(4, len(made).bit_length())
         self.buckets = max(4, self.size >> 2)
         keys = np.fromiter(made, np.int64, len(made))
         ids = np.fromiter(made.values(), np.int64, len(made))
         turn = 0
         while not self._place(keys, ids, turn):
             turn += 1
+            self.size <<= turn % 3 == 0
         #: Words that are pieces as a whole, but that merging does not lead to.
         self.apart = {w: r for w, r in ranks.items() if len(w) > 1 and merge_long(w, ranks) != [r]}
         self.single = [ranks.get(bytes([b]), -1) for b in range(256)]
+        # Made once: each is some 1.5 MB of plan on the driver.
+        self.literals = tuple(_literal(n, k) for n, k in ((self.slots, "bigint"), (self.moved, "int"), (self.single, "bigint")))
 
     def _place(self, keys: np.ndarray, ids: np.ndarray, turn: int) -> bool:
         spare = 62 - 2 * self.bits
@@ -112,11 +115,8 @@ def merged_ids(word: Column, ranks: dict[bytes, int] | PairRanks) -> Column:
         """``body`` of a value that is worked out once."""
         return F.transform(F.array(value), body)[0]
 
-    def folded(slots: Column) -> Column:
-        return let(_literal(pairs.moved, "int"), lambda moved: let(
-            _literal(pairs.single, "bigint"), lambda single: _fold(word, pairs, slots, moved, single, let)))
-
-    return let(_literal(pairs.slots, "bigint"), folded)
+    slots, moved, single = pairs.literals
+    return let(slots, lambda s: let(moved, lambda m: let(single, lambda one: _fold(word, pairs, s, m, one, let))))
 
 
 def _fold(word: Column, pairs: PairRanks, slots: Column, moved: Column, single: Column, let) -> Column:
@@ -292,13 +292,16 @@ def encode(
     ``decoded`` adds what ``decode`` makes of the ids, in the same pass, and leaves out the text.
 
     Ids are those of the rank file, without special tokens. NULL and empty texts have no ids.
-    Columns of ``docs`` named like the two new ones are replaced.
+    Columns of ``docs`` named like the two new ones are replaced. A text is read as a whole: one very long
+    text takes some 40 times its bytes in its task. The session's Arrow batches become smaller, see
+    ``words.small_batches``.
     """
     context = docs.sparkSession.sparkContext
     small_batches(docs.sparkSession)
     classes, pairs = context.broadcast(character_classes()), PairRanks(ranks)
     memo = context.broadcast(build_memo(docs.select(F.col(text).alias("text")), pairs, classes, memo_words))
     held = context.broadcast(ranks)
+    give_back()  # the driver's own copies
     replaced = ("n_tokens", "ids", "decoded") if decoded else ("n_tokens", "ids")
     kept = docs.select(*[f"`{c}`" for c in docs.columns if c not in replaced])
     left = [f for f in kept.schema.fields if not (decoded and f.name == text)]
