@@ -11,7 +11,6 @@ import uuid
 
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 
 def make_folder(spark: SparkSession, folder: str) -> str:
@@ -32,8 +31,21 @@ def write_file(folder: str, stem: str, suffix: str, pieces: list[bytes]) -> str:
     return name
 
 
-def read_files(spark: SparkSession, folder: str, manifest: DataFrame) -> DataFrame:
-    """``manifest`` (with ``file``) and each file's ``content``; files are of bounded size."""
-    content = spark.read.format("binaryFile").load(folder)
-    named = content.select(F.element_at(F.split("path", "/"), -1).alias("file"), "content")
-    return named.join(manifest, "file")
+def read_file(folder: str, name: str) -> bytes:
+    """A whole file, opened by the task that asks for it."""
+    system, base = fs.FileSystem.from_uri(folder)
+    with system.open_input_file(f"{base}/{name}") as file:
+        return file.read()
+
+
+#: Tasks that a manifest is dealt out to, at most.
+_MOST_TASKS = 20_000
+
+
+def dealt(manifest: DataFrame) -> DataFrame:
+    """The rows of a manifest over as many tasks as it has files, or four files a task and more of very many.
+
+    Only names move: tasks open the files themselves, so no content is shuffled.
+    """
+    files = manifest.count()
+    return manifest.repartition(max(1, min(files, max(200, -(-files // 4)), _MOST_TASKS)))

@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import hashlib
 import struct
+import json
 import unicodedata
 from collections.abc import Iterator
 
@@ -22,7 +23,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from contextmill.llm.pretokens import Pretokens, character_classes, gather, hash_bases
-from contextmill.llm.shared_files import make_folder, read_files, write_file
+from contextmill.llm.shared_files import dealt, make_folder, read_file, write_file
 from contextmill.llm.words import slices, tidy
 from contextmill.session import materialise, work_folder
 
@@ -36,12 +37,35 @@ KNOWN_WORDS = 1 << 20
 _NULL_ID = -(1 << 63)
 
 
+#: What a tokenizer file says that normalises and splits as ``Pretokens`` does (fixed values).
+_NORMALISERS = ["NFC", "Replace", "Lowercase"]
+_REPLACED = {"pattern": {"Regex": r"\s+"}, "content": " "}
+_SPLIT = {"pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True}
+_BYTES = {"add_prefix_space": False, "use_regex": False}
+
+
+def splits_into_words(model: str) -> bool:
+    """Whether a tokenizer's settings are those that ids of words can be put together for."""
+    settings = json.loads(model)
+    before, cut = (settings.get(part) or {} for part in ("normalizer", "pre_tokenizer"))
+    steps, cuts = before.get("normalizers") or [], cut.get("pretokenizers") or []
+
+    def agree(step: dict, wanted: dict) -> bool:
+        return all(step.get(k) == v for k, v in wanted.items())
+
+    return (
+        [x.get("type") for x in steps] == _NORMALISERS and agree(steps[1], _REPLACED)
+        and [x.get("type") for x in cuts] == ["Split", "ByteLevel"] and agree(cuts[0], _SPLIT) and agree(cuts[1], _BYTES)
+        and settings["model"].get("end_of_word_suffix") == "</w>" and not settings["model"].get("dropout")
+    )
+
+
 class WordTokenizer:
     """Ids of whole texts by the tokenizers library, asked once for each distinct word.
 
     For tokenizers that normalise with NFC, white space and lower case and then split into words,
     contractions, single numbers and other characters: there a text's ids are those of its
-    words. Texts with code points that Python's own tables don't know, whose classes may differ
+    words. Of a tokenizer with other settings every text goes to the library whole. Texts with code points that Python's own tables don't know, whose classes may differ
     between versions of Unicode, go to the library whole. With ``added`` an added token's string in a
     text is that token, as by the library's default, and texts that hold one go to the library whole,
     too; without, it is ordinary text. Broadcast, it is one object per worker process, which
@@ -57,6 +81,9 @@ class WordTokenizer:
 
     def _start(self) -> None:
         self.library = Tokenizer.from_str(self.model)
+        self.by_words = splits_into_words(self.model)
+        if not self.by_words:
+            return
         tokens = self.library.get_added_tokens_decoder().values() if self.added else []
         self.strings = [t.content for t in tokens]
         self.normalised = [t.content.lower() for t in tokens if t.normalized]
@@ -95,6 +122,8 @@ class WordTokenizer:
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         if self.library is None:
             self._start()
+        if not self.by_words:
+            return [self._whole(t) for t in texts]
         if self._odd("\n".join(texts)) and (whole := {i for i, t in enumerate(texts) if self._odd(t)}):
             rest = iter(self.encode([t for i, t in enumerate(texts) if i not in whole]))
             return [self._whole(t) if i in whole else next(rest) for i, t in enumerate(texts)]
@@ -250,6 +279,7 @@ def read_tokens(folder: str, manifest: DataFrame) -> DataFrame:
     numbers. A file with another dictionary's hash is an error.
     """
     spark = manifest.sparkSession
+    folder = make_folder(spark, folder)
     found = spark.read.format("binaryFile").option("pathGlobFilter", "*.zdict").load(folder).first()
     dictionary = spark.sparkContext.broadcast(bytes(found["content"])[len(MAGIC):])
     totals = dict(manifest.groupBy("partition").agg(F.sum("tokens")).collect())  # a row per partition
@@ -264,8 +294,8 @@ def read_tokens(folder: str, manifest: DataFrame) -> DataFrame:
 
     def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for content, base in zip(batch.column("content"), batch.column("base").to_pylist()):
-                file = TokenFile(content.as_py(), dictionary.value)
+            for name, base in zip(batch.column("file").to_pylist(), batch.column("base").to_pylist()):
+                file = TokenFile(read_file(folder, name), dictionary.value)
                 starts = base + np.cumsum(file.counts) - file.counts
                 for at in range(0, len(file.keys), 500):
                     rows = range(at, min(at + 500, len(file.keys)))
@@ -278,8 +308,7 @@ def read_tokens(folder: str, manifest: DataFrame) -> DataFrame:
                         ],
                         ["doc_id", "start", "n_tokens", "ids"])
 
-    files = read_files(spark, folder, based).select("content", "base")
-    return files.mapInArrow(tidy(unpack), "doc_id bigint, start bigint, n_tokens bigint, ids binary")
+    return dealt(materialise(based, "files")).mapInArrow(tidy(unpack), "doc_id bigint, start bigint, n_tokens bigint, ids binary")
 
 
 def new_folder(docs: DataFrame) -> str:

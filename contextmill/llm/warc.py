@@ -21,13 +21,15 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from contextmill.llm.shared_files import make_folder, read_files, write_file
+from contextmill.llm.shared_files import dealt, make_folder, read_file, write_file
 from contextmill.llm.words import tidy
 from contextmill.session import materialise
 
 #: Compressed bytes after which a task begins another archive.
 FILE_BYTES = 12 << 20
 #: Captures have no times of their own here: a page's time is this plus its id in seconds.
+#: Captures that a task merges: some 200 MB.
+RANGE_ROWS = 1 << 17
 EPOCH = datetime(2024, 1, 1, tzinfo=timezone.utc)
 _STEP = 1 << 14
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -63,7 +65,8 @@ def record_id(key: object) -> str:
 
 
 def timestamp(key: int | None) -> datetime:
-    return EPOCH + timedelta(seconds=(key or 0) % (1 << 32))
+    """A capture time that follows the page id, a second each; 2**37 seconds are what four digits of a year hold."""
+    return EPOCH + timedelta(seconds=(key or 0) % (1 << 37))
 
 
 def _one_line(value: str | None) -> str:
@@ -221,10 +224,14 @@ def merge_index(captures: DataFrame) -> DataFrame:
     """The captures in global order of (url_key, timestamp, page_id), with ``position``.
 
     ``position`` is a capture's place in the whole index. Ranges of the order go to one task each,
-    a URL with very many captures to several, and a loser tree merges the runs' pieces there.
+    a URL with very many captures to several, and a loser tree merges the runs' pieces there. There are as
+    many ranges as keep one at about ``RANGE_ROWS`` captures, whatever their number: a task holds that many.
+    ``captures`` are a written table.
     """
     order = ["url_key", "timestamp", "page_id", "run", "seq"]
-    pieces = captures.repartitionByRange(*order).sortWithinPartitions("run", "seq")
+    usual = int(captures.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranges = max(usual, -(-captures.count() // RANGE_ROWS))
+    pieces = captures.repartitionByRange(ranges, *order).sortWithinPartitions("run", "seq")
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tables = [pa.Table.from_batches([b]) for b in batches if b.num_rows]
@@ -262,11 +269,13 @@ def read_archives(captures: DataFrame, folder: str) -> DataFrame:
     names = [x.split()[0] for x in kind.split(", ")]
     types = [pa.int64(), pa.string(), pa.int64(), pa.string(), pa.binary(), pa.int64(), pa.string(), pa.int64(), pa.string()]
 
+    folder = make_folder(captures.sparkSession, folder)
+
     def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for file, content in zip(batch.column("file").to_pylist(), batch.column("content")):
+            for file in batch.column("file").to_pylist():
                 rows: list[tuple] = []
-                for offset, _, data in members(content.as_py()):
+                for offset, _, data in members(read_file(folder, file)):
                     headers, block = read_record(data)
                     http, _, payload = block.partition(b"\r\n\r\n")
                     size = int(re.search(rb"Content-Length: (\d+)", http)[1])
@@ -284,7 +293,4 @@ def read_archives(captures: DataFrame, folder: str) -> DataFrame:
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names)
 
-    files = captures.select("file").distinct()
-    if not files.limit(1).count():
-        return captures.sparkSession.createDataFrame([], kind)
-    return read_files(captures.sparkSession, make_folder(captures.sparkSession, folder), files).mapInArrow(tidy(unpack), kind)
+    return dealt(materialise(captures.select("file").distinct(), "files")).mapInArrow(tidy(unpack), kind)

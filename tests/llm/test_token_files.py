@@ -100,3 +100,19 @@ def test_sample_of_repeated_and_null_ids_is_bounded(spark, monkeypatch):
     for key in [None, *range(12)]:
         docs = spark.createDataFrame([(key, f"text {i}") for i in range(1000)], "doc_id long, text string")
         assert 50 <= len(token_files._sample(docs, held, 2, 2)) <= 150
+
+
+def test_other_settings_go_to_the_library(spark):
+    """A tokenizer that does not split as expected gives its own ids, by whole texts."""
+    import json
+
+    with open(public_tokenizers.path("word_bpe_49k.json"), encoding="utf-8") as file:
+        model = json.load(file)
+    assert token_files.splits_into_words(json.dumps(model))
+    texts = ["Some Words, 123 and it's", "", "ÉTÉ  x"]
+    for change in ({"normalizer": None}, {"normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}]}}, {"pre_tokenizer": model["pre_tokenizer"]["pretokenizers"][1]}):
+        own = json.dumps({**model, **change})
+        assert not token_files.splits_into_words(own)
+        library = Tokenizer.from_str(own)
+        got = token_files.WordTokenizer(own, pretokens.character_classes(), added=True).encode(texts)
+        assert [g.tolist() for g in got] == [library.encode(t, add_special_tokens=False).ids for t in texts]

@@ -101,3 +101,19 @@ def test_url_keys():
     same = {warc.url_key(u) for u in ("http://www.Example.com/a?b=2&a=1#x", "https://example.com:443/a?a=1&b=2")}
     assert same == {"com,example)/a?a=1&b=2"}
     assert warc.url_key("http://e.com:8080") == "com,e:8080)/" and warc.url_key(None) == "" and warc.url_key("http://[bad") == "http://[bad"
+
+
+def test_ranges_are_bounded(spark, tmp_path, monkeypatch):
+    """Many runs, one URL with most captures: every task merges about the rows it may hold."""
+    monkeypatch.setattr(warc, "FILE_BYTES", 1500)
+    monkeypatch.setattr(warc, "RANGE_ROWS", 50)
+    pages = [(i, "http://hot.com/" if i % 3 else f"http://e{i}.com/", f"page {i}") for i in range(600)]
+    spark.createDataFrame(pages, "page_id long, url string, html string").repartition(8).write.parquet(str(tmp_path / "p"))
+    captures = warc.write_archives(spark.read.parquet(str(tmp_path / "p")), str(tmp_path / "w"))
+    assert captures.select("run").distinct().count() > 50
+    index = warc.merge_index(captures)
+    in_order(index.collect())
+    from pyspark.sql import functions as F
+
+    held = [r["count"] for r in index.groupBy(F.input_file_name()).count().collect()]
+    assert len(held) >= 8 and max(held) <= 150
