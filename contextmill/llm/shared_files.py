@@ -49,3 +49,11 @@ def dealt(manifest: DataFrame) -> DataFrame:
     """
     files = manifest.count()
     return manifest.repartition(max(1, min(files, max(200, -(-files // 4)), _MOST_TASKS)))
+
+
+def of_files(read: DataFrame) -> DataFrame:
+    """What tasks have read from files that Spark knows the names of only.
+
+    It would take the size of the names for that of the content, and broadcast it in a join.
+    """
+    return read.hint("merge")

@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from contextmill.llm.pretokens import Pretokens, character_classes, gather, hash_bases
-from contextmill.llm.shared_files import dealt, make_folder, read_file, write_file
+from contextmill.llm.shared_files import dealt, make_folder, of_files, read_file, write_file
 from contextmill.llm.words import slices, tidy
 from contextmill.session import materialise, work_folder
 
@@ -308,7 +308,7 @@ def read_tokens(folder: str, manifest: DataFrame) -> DataFrame:
                         ],
                         ["doc_id", "start", "n_tokens", "ids"])
 
-    return dealt(materialise(based, "files")).mapInArrow(tidy(unpack), "doc_id bigint, start bigint, n_tokens bigint, ids binary")
+    return of_files(dealt(materialise(based, "files")).mapInArrow(tidy(unpack), "doc_id bigint, start bigint, n_tokens bigint, ids binary"))
 
 
 def new_folder(docs: DataFrame) -> str:

@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from contextmill.llm.shared_files import dealt, make_folder, read_file, write_file
+from contextmill.llm.shared_files import dealt, make_folder, of_files, read_file, write_file
 from contextmill.llm.words import tidy
 from contextmill.session import materialise
 
@@ -293,4 +293,4 @@ def read_archives(captures: DataFrame, folder: str) -> DataFrame:
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names)
 
-    return dealt(materialise(captures.select("file").distinct(), "files")).mapInArrow(tidy(unpack), kind)
+    return of_files(dealt(materialise(captures.select("file").distinct(), "files")).mapInArrow(tidy(unpack), kind))

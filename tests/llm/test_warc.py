@@ -117,3 +117,10 @@ def test_ranges_are_bounded(spark, tmp_path, monkeypatch):
 
     held = [r["count"] for r in index.groupBy(F.input_file_name()).count().collect()]
     assert len(held) >= 8 and max(held) <= 150
+
+
+def test_what_files_hold_is_not_broadcast(spark):
+    df = QUERIES["op6_warc_index_merge"](spark, SMALL)
+    df.collect()
+    plan = df._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
