@@ -243,3 +243,20 @@ def test_kept_hits_after_appends(spark, tmp_path):
     (tmp_path / "kept" / "00000009").mkdir()  # begun, but never whole
     hits = kept.add(q, c.filter("chunk_id >= 260"))
     assert rows(hits) == rows(kept.read(spark)) == brute(questions, corpus, range(300), 12) == rows(ret.knn(q, c, 12, 8))
+
+
+@pytest.mark.parametrize("parts", [2, 30])
+def test_tasks_send_k_hits_of_a_question(spark, parts):
+    """However many parts the corpus has, a question of several blocks has k rows before they are ranked."""
+    q, c = frames(spark, vectors(60, 8, 9), vectors(900, 8, 10))
+    none = [F.lit(None).cast(t).alias(n) for n, t in (("pivot", "int"), ("floor", "double"), ("group", "string"))]
+    found = ret._hits(q.select("*", *none), c.repartition(parts).select("*", *none), 4, 8, 8 * 8 * 7, 8 * 8 * 11, False, None)
+    assert found.count() == 60 * 4
+
+
+def test_texts_of_winners_alone_are_joined(spark):
+    texts = spark.range(5000).selectExpr("id as chunk_id", "repeat('x', 100) as text")
+    hits = spark.createDataFrame([(1, 10), (1, 4999), (2, 9000)], "query_id long, chunk_id long")
+    assert ret.among(texts, hits, ["chunk_id"]).count() < 50
+    got = sorted((r.chunk_id, len(r.text or "")) for r in ret.attach_texts(hits, texts).collect())
+    assert got == [(10, 100), (4999, 100), (9000, 0)]

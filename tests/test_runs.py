@@ -137,3 +137,12 @@ def test_means_have_the_same_bits_in_any_order(spark):
     assert odd.first()[0] == float("inf")
     none = spark.createDataFrame([(None,)], "x double").agg(reporting.exact_mean(F.col("x")))
     assert none.first()[0] is None
+
+
+def test_scores_hold_no_texts(spark):
+    points = spark.createDataFrame([(1, "cats"), (2, "dogs")], "chunk_id long, text string")
+    hits = spark.createDataFrame([(1, 1), (1, 2)], "query_id long, chunk_id long")
+    score = runs.candidate_scorer(questions(spark), points, lambda rows: rows.selectExpr("*", "length(text) + length(user_input) as final_score"))
+    scored = score(hits)
+    assert "text" not in scored.columns and "user_input" not in scored.columns
+    assert sorted(r.final_score for r in scored.collect()) == [18, 18]
