@@ -19,6 +19,7 @@ from pyspark.sql import types as T
 from contextmill.functions import text as tx
 from contextmill.functions.vectors import matrix, norms, row_cosine
 from contextmill.operators.models import Model, hashed_embedder
+from contextmill.session import bounded_batches
 
 # Overlapping windows, semantic threshold, window and size.
 WINDOW_TOKENS = 512
@@ -267,6 +268,7 @@ CHUNKERS: dict[str, Callable[[DataFrame], DataFrame]] = {
 
 def chunk_documents(docs: DataFrame, chunkers: dict[str, Callable[[DataFrame], DataFrame]]) -> DataFrame:
     """Every document through every chunker, labelled, with stable ids and sizes."""
+    bounded_batches(docs.sparkSession)
     out = None
     for label, chunker in chunkers.items():
         part = chunker(docs).withColumn("chunker", F.lit(label))

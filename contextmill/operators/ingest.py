@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from contextmill.operators.chunking import CHUNKERS, chunk_documents
 from contextmill.operators.models import Model, with_reply
 from contextmill.operators.replies import ReplyStore
-from contextmill.session import materialise
+from contextmill.session import bounded_batches, materialise
 from contextmill.sources import collections
 
 DEFAULT_CHUNKERS = {name: CHUNKERS[name] for name in ("recursive", "semantic")}
@@ -18,6 +18,7 @@ DEFAULT_CHUNKERS = {name: CHUNKERS[name] for name in ("recursive", "semantic")}
 
 def embed_chunks(chunks: DataFrame, embedder: Model | ReplyStore) -> DataFrame:
     """One vector per chunk, made where the chunk is; by a reply store, one call per distinct text."""
+    bounded_batches(chunks.sparkSession)
     return with_reply(chunks, embedder, F.col("text"), "embedding")
 
 

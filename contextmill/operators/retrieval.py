@@ -16,7 +16,7 @@ from pyspark.sql import types as T
 from contextmill.functions.text import preview
 from contextmill.functions.vectors import matrix, norms, row_cosine
 from contextmill.operators.relevance import filter_by_relevance, judge
-from contextmill.session import materialise
+from contextmill.session import bounded_batches, materialise
 from contextmill.sources.collections import among
 
 OVERFETCH = 3
@@ -299,6 +299,7 @@ def knn(questions: DataFrame, corpus: DataFrame, k: int, dim: int,
     With a ``group`` column of the corpus, such as the chunker, every group is searched on its own, in the same pass:
     k hits of each question and group, with that column. Floors of a task are kept per group.
     """
+    bounded_batches(questions.sparkSession)
     nothing = (F.lit(None).cast("int").alias("pivot"), F.lit(None).cast("double").alias("floor"), F.lit(None).cast("string").alias("group"))
     questions = questions.select("query_id", "embedding")
     if group is not None and pivots is not None:

@@ -67,6 +67,17 @@ def shared_uri(spark: SparkSession, folder: str) -> str:
     return whole.replace("file:/", "file:///", 1) if re.match(r"file:/(?!/)", whole) else whole
 
 
+#: Bytes of rows that go to Python at a time; a worker holds some multiples of them, whatever its task has.
+BATCH_BYTES = 4 << 20
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Have Spark send at most ``BATCH_BYTES`` at a time to Python, unless the session's owner chose a size."""
+    setting = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(setting) in ("64MB", "67108864b"):
+        spark.conf.set(setting, str(BATCH_BYTES))
+
+
 def materialise(df: DataFrame, name: str, **options) -> DataFrame:
     """Write a table once and go on from the written copy.
 

@@ -46,3 +46,21 @@ def test_plain_session_without_preset_options(tmp_path):
     assert done.returncode == 0, done.stderr[-2000:]
     base = next(x.split()[1] for x in done.stdout.splitlines() if x.startswith("BASE"))
     assert not os.path.exists(base)
+
+
+def test_long_texts_go_to_models_few_at_a_time(spark, setting):
+    from collections.abc import Iterator
+
+    import pyarrow as pa
+    from pyspark.sql import functions as F
+
+    from contextmill.operators.ingest import embed_chunks
+
+    def sizes(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for batch in batches:
+            yield pa.array([[float(len(batch))]] * len(batch), pa.list_(pa.float32()))
+
+    setting("spark.sql.execution.arrow.maxBytesPerBatch", "64MB")
+    chunks = spark.range(0, 1500, 1, 1).selectExpr("id as chunk_id", "repeat('ab cd ', 2000) as text")
+    largest = embed_chunks(chunks, F.arrow_udf(sizes, "array<float>")).agg(F.max(F.col("embedding")[0])).first()[0]
+    assert largest < 500
