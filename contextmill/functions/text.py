@@ -12,11 +12,12 @@ STRIP_CHARS = (
     "\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 )
 
-# A piece ends after its separator, so the pieces of a text join back to it.
-PARAGRAPH = r"(?s).+?(?:\n\n+|\z)"
-LINE = r"(?s).+?(?:\n+|\z)"
-SENTENCE = r"(?s).+?(?:[.!?]+[ \n\t\r]+|\n+|\z)"
-WORD = r"(?s).+?(?:[ \n\t\r]+|\z)"
+# A piece ends after its separator, so the pieces of a text join back to it. Runs of other characters are taken
+# possessively, which gives the same pieces as ``.+?`` up to the separator without trying that at every character.
+PARAGRAPH = r"(?s).(?:[^\n]++|\n(?!\n))*+(?:\n\n++|\z)"
+LINE = r"(?s).[^\n]*+(?:\n++|\z)"
+SENTENCE = r"(?s).(?:[^.!?\n]++|[.!?](?![.!?]*+[ \n\t\r]))*+(?:[.!?]++[ \n\t\r]++|\n++|\z)"
+WORD = r"(?s).[^ \n\t\r]*+(?:[ \n\t\r]++|\z)"
 WHITESPACE_TOKEN = r"[^ \n\t\r]+"
 SPACED_TOKEN = r"[^ \n\t\r]+[ \n\t\r]*"
 WORD_TOKEN = r"[\p{L}\p{N}]+"

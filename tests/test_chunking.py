@@ -205,3 +205,20 @@ def test_semantic_cap_in_tokens(spark, setting, batch):
         (1, 0, 4), (1, 1, 4), (1, 2, 2), (2, 0, 4), (2, 1, 4), (3, 0, 7)]
     with pytest.raises(ValueError):
         ch.semantic_chunks(docs, unit="words")
+
+
+def test_split_patterns_give_the_pieces_of_their_definition(spark):
+    """Taken possessively, up to the first separator, as the lazy patterns of the SQL do."""
+    import random
+
+    from pyspark.sql import functions as F
+
+    from contextmill.functions import text as tx
+
+    lazy = {"PARAGRAPH": r"\n\n+", "LINE": r"\n+", "SENTENCE": r"[.!?]+[ \n\t\r]+|\n+", "WORD": r"[ \n\t\r]+"}
+    r = random.Random(1)
+    texts = ["".join(r.choice("ab.!?\n\n \t\ré😀.") for _ in range(r.randint(0, 40))) for _ in range(2000)] + ["a" * 100_000, "." * 1000, "a. " * 20_000]
+    df = spark.createDataFrame([(x,) for x in texts], "text string")
+    for name, end in lazy.items():
+        old, new = (tx.split_pieces(F.col("text"), p) for p in (f"(?s).+?(?:{end}|\\z)", getattr(tx, name)))
+        assert df.filter(~old.eqNullSafe(new)).count() == 0
