@@ -64,3 +64,28 @@ def test_long_texts_go_to_models_few_at_a_time(spark, setting):
     chunks = spark.range(0, 1500, 1, 1).selectExpr("id as chunk_id", "repeat('ab cd ', 2000) as text")
     largest = embed_chunks(chunks, F.arrow_udf(sizes, "array<float>")).agg(F.max(F.col("embedding")[0])).first()[0]
     assert largest < 500
+
+
+def test_shuffle_files_and_temporary_tables_are_deleted(spark):
+    import time
+    from pathlib import Path
+
+    from contextmill.session import temporary
+
+    def shuffled():
+        folders = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirs()
+        return {f for d in folders for f in Path(d.getAbsolutePath()).rglob("shuffle_*")}
+
+    before = shuffled()
+    with temporary(spark):
+        inner = materialise(spark.range(1000).repartition(7), "inner")
+        path = Path(inner.inputFiles()[0].removeprefix("file://")).parent
+        assert path.exists()
+        kept = materialise(inner.groupBy((inner.id % 9).alias("k")).count(), "outer", outlive=True)
+    until = time.time() + 10
+    while shuffled() - before and time.time() < until:
+        time.sleep(0.1)
+    assert not shuffled() - before
+    assert not path.exists()
+    assert sum(r["count"] for r in kept.collect()) == 1000
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == "false"

@@ -225,3 +225,11 @@ def test_large_page_files_at_every_cut(spark, tmp_path, setting, size):
     pages = corpus.read_large_page_files(spark, str(tmp_path))
     assert page_rows(pages) == want and len(want) > 15
     assert spark.read.option("lineSep", "\f").text(str(tmp_path)).rdd.getNumPartitions() >= (6 if size < 100 else 1)
+
+
+def test_filters_are_as_large_as_their_ids(spark, monkeypatch):
+    sizes, plain = [], col._places
+    monkeypatch.setattr(col, "_places", lambda keys, bits: sizes.append(bits) or plain(keys, bits))
+    rows = spark.range(20000).withColumnRenamed("id", "chunk_id")
+    assert 1000 <= col.among(rows, rows.limit(1000), ["chunk_id"]).count() < 1500
+    assert set(sizes) == {1 << 14}
