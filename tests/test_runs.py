@@ -146,3 +146,21 @@ def test_scores_hold_no_texts(spark):
     scored = score(hits)
     assert "text" not in scored.columns and "user_input" not in scored.columns
     assert sorted(r.final_score for r in scored.collect()) == [18, 18]
+
+
+def test_a_reference_is_joined_once_for_all_runs(spark):
+    """Texts and references move by question; runs are made of them afterwards, in each mode's own order."""
+    from contextmill.operators.evaluation import build_datasets
+
+    hits = spark.createDataFrame(
+        [(1, "a", [("x", 2), ("y", 1)], "one"), (1, "a", [("x", 1)], "two"), (1, "b", [("y", 1)], "three")],
+        "query_id long, chunker string, places array<struct<mode:string,position:int>>, text string")
+    asked = questions(spark)
+    data = build_datasets(asked, hits, known(spark), [(c, m) for c in "ab" for m in "xy"])
+    got = {(r.query_id, r.chunker, r["mode"]): r.retrieved_contexts for r in data.collect()}
+    assert got == {
+        (1, "a", "x"): ["two", "one"], (1, "a", "y"): ["one"], (1, "b", "x"): [], (1, "b", "y"): ["three"],
+        **{(2, c, m): [] for c in "ab" for m in "xy"},
+    }
+    plan = data._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Generate explode") < plan.index("Join")  # above the joins
