@@ -38,12 +38,13 @@ def score_replies(replies: DataFrame) -> DataFrame:
     )
 
 
-def score_with_model(candidates: DataFrame, ask, keep: bool = True) -> DataFrame:
+def score_with_model(candidates: DataFrame, ask, keep: bool = True, texts: bool = True) -> DataFrame:
     """Score ``candidates(text, user_input, ...)`` by three prompts per row.
 
     ``ask`` turns a prompt column into a reply column, or is a ``ReplyStore``, which asks each distinct prompt
     once and goes on where an earlier run has stopped. With ``keep`` the replies are
-    written once, so a lost executor does not ask the model again.
+    written once, so a lost executor does not ask the model again. Without ``texts`` those two columns are
+    left out of what is written and returned.
     """
     chunk, question = F.col("text"), F.col("user_input")
     if isinstance(ask, ReplyStore):
@@ -53,6 +54,7 @@ def score_with_model(candidates: DataFrame, ask, keep: bool = True) -> DataFrame
     asked = models.with_reply(asked, ask, models.reflect_prompt(chunk, question, base), "reflect_reply")
     reflect = parse_reply(F.col("reflect_reply"), base)
     asked = models.with_reply(asked, ask, models.critic_prompt(chunk, question, reflect), "critic_reply")
+    asked = asked if texts else asked.drop("text", "user_input")
     return score_replies(materialise(asked, "replies") if keep else asked)
 
 

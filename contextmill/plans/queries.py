@@ -422,7 +422,7 @@ def stage_prompts(spark, folder):
 
 @query
 def score_model_chain(spark, folder):
-    scored = rel.score_with_model(_text_pairs(spark, folder, TOP), _digest_model)
+    scored = rel.score_with_model(_text_pairs(spark, folder, TOP), _digest_model, texts=False)
     return scored.select("query_id", "chunk_id", "rank", "scores.*")
 
 

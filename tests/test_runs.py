@@ -164,3 +164,15 @@ def test_a_reference_is_joined_once_for_all_runs(spark):
     }
     plan = data._jdf.queryExecution().optimizedPlan().toString()
     assert plan.index("Generate explode") < plan.index("Join")  # above the joins
+
+
+def test_replies_without_texts(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    written, plain = [], rel.materialise
+    monkeypatch.setattr(rel, "materialise", lambda df, name: written.append(df.columns) or plain(df, name))
+    pairs = spark.createDataFrame([(1, 5, "cats hunt", "cats")], "query_id long, chunk_id long, text string, user_input string")
+    score = lambda **more: rel.score_with_model(pairs, lambda prompt: F.lit("0.5"), **more)
+    assert score(texts=False).columns == [c for c in score().columns if c not in ("text", "user_input")]
+    assert "text" not in written[0] and "text" in written[1]
+    assert score(texts=False).first().final_score == score().first().final_score == 0.5
