@@ -159,7 +159,7 @@ def _fold(word: Column, pairs: PairRanks, slots: Column, moved: Column, single:
         return F.when(n < 2, ids).otherwise(F.transform(done, id_of))
 
     text = F.decode(F.encode(F.coalesce(word, F.lit("")), "UTF-8"), "ISO-8859-1")
-    bytes_of = F.regexp_extract_all(text, F.lit("(?s)."), F.lit(0))
+    bytes_of = F.split(text, "")
     ids = let(F.transform(bytes_of, lambda c: single[F.ascii(c)]), merge).cast("array<int>")
     if pairs.apart:
         whole = F.create_map(*[F.lit(x) for w, r in pairs.apart.items() for x in (w.decode("latin-1"), r)])

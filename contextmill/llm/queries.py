@@ -85,7 +85,8 @@ def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     ranks = byte_bpe.read_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken"))
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
-    return byte_bpe.encode(docs, ranks, decoded=True).select(
+    # Twice the words of the pipeline's memo, since here they have the executors to themselves.
+    return byte_bpe.encode(docs, ranks, memo_words=2 * byte_bpe.MEMO_WORDS, decoded=True).select(
         "doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 

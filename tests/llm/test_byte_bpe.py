@@ -88,3 +88,13 @@ def test_query(spark):
         want[i] = (len(ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest(), hashlib.sha256((t or "").encode()).hexdigest())
     rows = QUERIES["op8_byte_bpe"](spark, SMALL).collect()
     assert {r.doc_id: (r.n_tokens, r.ids_sha256, r.decoded_sha256) for r in rows} == want and len(rows) == len(want)
+
+
+def test_words_are_cut_into_bytes_without_patterns(spark):
+    """Every byte, also line ends, NUL and parts of longer characters, is a piece of its own to begin with."""
+    ranks = {bytes([b]): b for b in range(256)} | {b"\x00\n": 256, "é".encode(): 257, b"\n\r": 258}
+    words = ["\x00\n\r\x85", "".join(map(chr, range(256))), "é€😀", "", "a", "\n\r"]
+    df = spark.createDataFrame([(i, w) for i, w in enumerate(words)], "i int, word string")
+    made = df.select("i", byte_bpe.merged_ids(F.col("word"), ranks).alias("ids"))
+    assert {r.i: r.ids for r in made.collect()} == {i: byte_bpe.merge_long(w.encode(), ranks) for i, w in enumerate(words)}
+    assert "regexp" not in made._jdf.queryExecution().optimizedPlan().toString()
