@@ -260,3 +260,32 @@ def test_texts_of_winners_alone_are_joined(spark):
     assert ret.among(texts, hits, ["chunk_id"]).count() < 50
     got = sorted((r.chunk_id, len(r.text or "")) for r in ret.attach_texts(hits, texts).collect())
     assert got == [(10, 100), (4999, 100), (9000, 0)]
+
+
+@pytest.mark.parametrize("signs", [1, -1])
+def test_chunks_with_few_elements_are_skipped(spark, signs):
+    """Without a layout: what has fewer elements than a question's floor needs is not multiplied, and no hit is lost."""
+    rng = np.random.default_rng(5)
+    short = np.zeros((4000, 32), np.float32)
+    short[np.arange(4000), rng.integers(0, 32, 4000)] = rng.integers(1, 4, 4000) * np.where(rng.random(4000) < 0.5, 1, signs)
+    corpus = np.concatenate([rng.integers(1, 9, (600, 32)).astype(np.float32), short, np.zeros((5, 32), np.float32)])
+    questions = np.concatenate([rng.integers(1, 9, (40, 32)).astype(np.float32), short[:3], np.zeros((1, 32), np.float32)])
+    q, c = frames(spark, questions, corpus)
+    seen = spark.sparkContext.accumulator(0), spark.sparkContext.accumulator(0)
+    found = rows(ret.knn(q, c.coalesce(1), 6, 32, seen=seen))
+    assert found == brute(questions, corpus, range(len(corpus)), 6)
+    assert seen[1].value / seen[0].value > 0.6
+
+
+@pytest.mark.parametrize("k", [1, 30, 600])
+def test_many_candidates_of_one_tile(spark, k):
+    """Floors that rise all the way through a tile, so that every chunk is a candidate, and blocks of all sizes."""
+    base = vectors(1, 16, 1)[0]
+    corpus = (base + vectors(5000, 16, 2) * np.linspace(3, 0.01, 5000)[:, None]).astype(np.float32)
+    questions = np.concatenate([base[None, :], vectors(700, 16, 3)])
+    q, c = frames(spark, questions[:9], corpus)
+    want = brute(questions[:9], corpus, range(5000), k)
+    assert rows(ret.knn(q, c.coalesce(1), k, 16)) == want
+    q, _ = frames(spark, questions, corpus[:1])
+    got = rows(ret.knn(q.repartition(3), c.repartition(2), k, 16, question_bytes=8 * 16 * 100, tile_bytes=8 * 16 * 900))
+    assert [r for r in got if r[0] < 9] == want and len(got) == 701 * k
