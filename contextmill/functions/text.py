@@ -21,6 +21,7 @@ WORD = r"(?s).[^ \n\t\r]*+(?:[ \n\t\r]++|\z)"
 WHITESPACE_TOKEN = r"[^ \n\t\r]+"
 SPACED_TOKEN = r"[^ \n\t\r]+[ \n\t\r]*"
 WORD_TOKEN = r"[\p{L}\p{N}]+"
+BEYOND_LATIN = r"[^\x00-\xff]"
 
 
 def strip(text: Column) -> Column:

@@ -7,6 +7,7 @@ in the task that reads it.
 
 from __future__ import annotations
 
+from bisect import bisect_right
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -155,14 +156,21 @@ def _sizes(sentences: pa.Array, unit: str) -> np.ndarray:
 
 def _starts(cuts: np.ndarray, sizes: np.ndarray, cap: int) -> np.ndarray:
     """Where chunks begin: at each cut, and where a chunk would exceed the cap."""
-    ends = np.append(np.flatnonzero(cuts), len(cuts))
     total = np.concatenate(([0], np.cumsum(sizes)))
-    starts, at = [], 0
-    while at < len(cuts):
-        starts.append(at)
-        full = int(np.searchsorted(total, total[at] + cap, "right")) - 1
-        at = min(int(ends[np.searchsorted(ends, at, "right")]), max(full, at + 1))
-    return np.array(starts)
+    opens = np.flatnonzero(cuts | (np.arange(len(cuts)) == 0))
+    ends = np.append(opens[1:], len(cuts))
+    long = np.flatnonzero(total[ends] - total[opens] > cap)
+    # What fits from one cut to the next is a chunk; the others are packed one by one.
+    more = []
+    for at, end in zip(opens[long].tolist(), ends[long].tolist()):
+        sums = total[at : end + 1].tolist()
+        first = at
+        while True:
+            first = max(at + bisect_right(sums, sums[first - at] + cap) - 1, first + 1)
+            if first >= end:
+                break
+            more.append(first)
+    return np.sort(np.concatenate((opens, np.array(more, opens.dtype)))) if more else opens
 
 
 def _semantic_pack(dim: int, threshold: float, cap: int, window: int, unit: str, schema: pa.Schema):

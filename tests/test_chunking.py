@@ -222,3 +222,54 @@ def test_split_patterns_give_the_pieces_of_their_definition(spark):
     for name, end in lazy.items():
         old, new = (tx.split_pieces(F.col("text"), p) for p in (f"(?s).+?(?:{end}|\\z)", getattr(tx, name)))
         assert df.filter(~old.eqNullSafe(new)).count() == 0
+
+
+def test_words_are_cut_and_hashed_many_at_once():
+    """Texts up to U+00FF by their bytes, as the pattern cuts them; numbers of MD5 for words of all lengths, of slices, too."""
+    import unicodedata
+    from hashlib import md5
+
+    import pyarrow as pa
+
+    from contextmill.operators.models import latin_words, md5_numbers
+
+    r = random.Random(1)
+    texts = ["".join(chr(r.randrange(256)) for _ in range(r.randrange(50))) for _ in range(400)] + ["", "a", "\u00c3", "\u00d7"]
+    spaced = ["".join(c if unicodedata.category(c)[0] in "LN" else " " for c in t.lower()).split() for t in texts]
+    words, counts = latin_words(pa.array(["x y", *texts, "z"]).slice(1, len(texts)))
+    assert [w.decode() for w in words.to_pylist()] == [w for t in spaced for w in t] and counts.tolist() == [len(t) for t in spaced]
+    assert len(latin_words(pa.array([], pa.string()))[0]) == 0
+    some = [bytes(r.randrange(256) for _ in range(n)) for n in range(130)]
+    want = [int(md5(w).hexdigest()[:8], 16) for w in some]
+    assert md5_numbers(pa.array(some, pa.binary())).tolist() == want
+    assert md5_numbers(pa.array(some, pa.binary()).slice(50, 9)).tolist() == want[50:59]
+
+
+def test_embedder_counts_words_of_any_script(spark):
+    from hashlib import md5
+
+    words = {"\u00c4pfel \u00dcber 3\u00b2": ["\u00e4pfel", "\u00fcber", "3\u00b2"], "\u0391\u0392 ab": ["\u03b1\u03b2", "ab"], "\u4e2d\u6587, x": ["\u4e2d\u6587", "x"], "": [], None: []}
+    rows = spark.createDataFrame([(t,) for t in words], "t string").coalesce(1)
+    for r in rows.select("t", hashed_embedder(8)(F.col("t")).alias("v")).collect():
+        want = [0.0] * 8
+        for w in words[r.t]:
+            want[int(md5(w.encode()).hexdigest()[:8], 16) % 8] += 1
+        assert r.v == want
+
+
+def test_starts_of_chunks_between_cuts():
+    def plain(cuts, sizes, cap):
+        starts, held = [], 0
+        for i, (cut, size) in enumerate(zip(cuts, sizes)):
+            if not i or cut or held + size > cap:
+                starts.append(i)
+                held = 0
+            held += size
+        return starts
+
+    rng = np.random.default_rng(3)
+    for n in (1, 2, 40):
+        for share in (0.0, 0.2, 1.0):
+            for _ in range(60):
+                cuts, sizes = rng.random(n) < share, rng.choice([0, 1, 5, 30], n)
+                assert ch._starts(cuts, sizes, 10).tolist() == plain(cuts, sizes, 10)
