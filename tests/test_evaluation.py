@@ -185,3 +185,20 @@ def test_report(spark, tmp_path):
     assert read.configuration.filtering_stages == ["base_score", "self_reflection", "critic_eval"]
     assert read.metrics_summary.factual_correctness.value == 0.314
     assert read.metrics_summary.faithfulness.interpretation and read.raw_results.factual_correctness == 0.314
+
+
+def test_words_of_a_text_are_found_once(spark):
+    """However many texts it is compared with; verdicts are those of the definition over ``claim_rows``."""
+    from contextmill.functions.text import word_set
+
+    texts = ["One two. Two three!\nfour", "", "one. ... - . Four five six", "three two. İstanbul ΣΣ.", "six"]
+    rows = [(i, texts[i % 5], [texts[(i + 1) % 5], texts[(i + 3) % 5]][: i % 3], texts[i * 2 % 5], texts[i * 3 % 5]) for i in range(15)]
+    data = spark.createDataFrame(rows, "query_id long, user_input string, retrieved_contexts array<string>, response string, reference string")
+    got = ev.claim_verdicts(data)
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "regexp_extract_all" not in plan.split("Generate explode(")[0] and plan.count("regexp_extract_all(lower(") == 5
+    want = ev.claim_rows(data).select("query_id", "side", "evidence", "found_in", F.posexplode("claims").alias("claim_id", "claim"))
+    own = word_set(F.col("claim"))
+    share = F.size(F.array_intersect(own, word_set(F.col("found_in")))) / F.size(own)
+    want = want.select("query_id", "side", "evidence", "claim_id", (share >= 0.5).alias("supported"))
+    assert sorted(got.collect()) == sorted(want.collect()) and got.count() > 30
