@@ -289,3 +289,26 @@ def test_many_candidates_of_one_tile(spark, k):
     q, _ = frames(spark, questions, corpus[:1])
     got = rows(ret.knn(q.repartition(3), c.repartition(2), k, 16, question_bytes=8 * 16 * 100, tile_bytes=8 * 16 * 900))
     assert [r for r in got if r[0] < 9] == want and len(got) == 701 * k
+
+
+def test_questions_are_dealt_evenly(spark):
+    """Every task of the search has as many blocks, of as many questions, however the questions are partitioned."""
+    assert [ret._blocks(n, 8192, 15, 16) for n in (0, 1, 2048, 2049, 13315, 69201, 120_000, 800_000)] == [0, 1, 1, 2, 7, 16, 32, 112]
+    assert ret._blocks(69201, 8192, 1000, 16) == 48
+    q, c = frames(spark, vectors(700, 8, 1), vectors(40, 8, 2))
+    none = [F.lit(None).cast(t).alias(n) for n, t in (("pivot", "int"), ("floor", "double"), ("group", "string"))]
+    sizes = []
+    plain = ret._packed
+
+    def packed(rows, name, *more):
+        if name == "query":
+            sizes.extend(r[0] for r in rows.groupBy(F.spark_partition_id()).count().select("count").collect())
+        return plain(rows, name, *more)
+
+    ret._packed = packed
+    try:
+        ret._hits(q.coalesce(3).select("*", *none), c.select("*", *none), 4, 8, 8 * 8 * 100, 8 * 8 * 11, False, None)
+    finally:
+        ret._packed = plain
+    tasks = 2 * spark.sparkContext.defaultParallelism
+    assert len(sizes) == ret._blocks(700, 100, 4, tasks) and max(sizes) - min(sizes) <= 6
